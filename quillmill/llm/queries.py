@@ -1,0 +1,31 @@
+"""Queries of this package over the project's tables, and their SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import contamination
+from .common import table
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold an evaluation item wholly or in part."""
+    return contamination.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+QUERIES = {"p6_found": p6_found}
+
+#: Units are split by putting spaces around Han characters and in place of everything that is neither letter nor digit.
+_UNITS = "list_filter(string_split(regexp_replace(regexp_replace(lower({0}), '([\\x{{4E00}}-\\x{{9FFF}}])', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda u: u <> '')"
+SQL = {
+    "p6_found": f"""
+WITH i AS (SELECT item_id, {_UNITS.format('text')} AS u FROM (SELECT DISTINCT item_id, text FROM eval_items WHERE text IS NOT NULL)),
+d AS (SELECT doc_id, {_UNITS.format('text')} AS u FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, least(13, len(u)) AS n, array_to_string(u[k:k + 12], ' ') AS w
+       FROM (SELECT item_id, u, unnest(range(1, greatest(1, len(u) - 12) + 1)) AS k FROM i WHERE len(u) > 0)),
+lengths AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT DISTINCT doc_id, n, array_to_string(u[k:k + n - 1], ' ') AS w
+       FROM (SELECT doc_id, u, n, unnest(range(1, len(u) - n + 2)) AS k FROM d, lengths WHERE len(u) >= n))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, w)
+""",
+}
