@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination
+from . import contamination, mojibake
 from .common import table
 
 
@@ -13,7 +13,17 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p6_found": p6_found}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages whose content holds wrongly decoded text."""
+    return mojibake.find_garbled(extracts(spark, folder)).select("page_id").distinct()
+
+
+def extracts(spark: SparkSession, folder: str) -> DataFrame:
+    """Fetched pages; failed ones hold no text."""
+    return table(spark, folder, "url_extracts").where("success")
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found}
 
 #: Units are split by putting spaces around Han characters and in place of everything that is neither letter nor digit.
 _UNITS = "list_filter(string_split(regexp_replace(regexp_replace(lower({0}), '([\\x{{4E00}}-\\x{{9FFF}}])', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda u: u <> '')"
