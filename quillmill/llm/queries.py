@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, mojibake
+from . import contamination, mojibake, pii
 from .common import table
 
 
@@ -23,7 +23,12 @@ def extracts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "url_extracts").where("success")
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every e-mail address, phone number, identity number, street address and name."""
+    return pii.find_personal(table(spark, folder, "documents"), table(spark, folder, "name_parts")).select("doc_id", "kind", "start_pos")
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
 
 #: Units are split by putting spaces around Han characters and in place of everything that is neither letter nor digit.
 _UNITS = "list_filter(string_split(regexp_replace(regexp_replace(lower({0}), '([\\x{{4E00}}-\\x{{9FFF}}])', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda u: u <> '')"
