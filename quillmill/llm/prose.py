@@ -86,7 +86,7 @@ _NAMES = [
 CLASS = {n: i for i, n in enumerate(_NAMES)}
 K = len(CLASS)
 EOL, START = CLASS["eol"], CLASS["start"]
-_PUNCT = {c: CLASS[k] for k, cs in {"stop": ".!?。！？…", "comma": ",，、", "semi": ";；", "colon": ":：", "dash": "-–—", "sep": "/|·•»›>→*↑＊", "quote": "\"“”„«‹'’‘「」『』", "open": "([（【¿¡", "close": ")]）】", "money": "$€£¥￥%℃°"}.items() for c in cs}
+_PUNCT = {c: CLASS[k] for k, cs in {"stop": ".!?。！？", "comma": ",，、", "semi": ";；", "colon": ":：", "dash": "-–—", "sep": "/|·•»›>→*↑＊", "quote": "\"“”„«‹'’‘「」『』", "open": "([（【¿¡", "close": ")]）】", "money": "$€£¥￥%℃°"}.items() for c in cs}
 _FUNCTION = {lang: {w: CLASS[f"f_{k}"] for k, ws in kinds.items() for w in ws.split()} for lang, kinds in FUNCTION_WORDS.items()}
 _ANY: dict[str, int] = {}
 _VOTES: dict[str, list[int]] = {}
@@ -95,11 +95,11 @@ for _lang, _words in _FUNCTION.items():
         _ANY.setdefault(_w, _c)
         _VOTES.setdefault(_w, []).append(LANGS.index(_lang))
 _HAN_CLASS = {c: CLASS[f"h_{k}"] for k, cs in HAN_FUNCTION.items() for c in cs}
-#: token -> (class, vote): the vote is a bit mask of languages that hold the function word.
-_memo: dict[str, tuple[int, int]] = {}
+#: token -> class + 256 * vote; the vote is a bit mask of the languages that hold the function word.
+_memo: dict[str, int] = {}
 
 
-def _classify(token: str) -> tuple[int, int]:
+def _classify(token: str) -> int:
     first = token[0]
     if token == "\n":
         out = EOL, 0
@@ -129,8 +129,12 @@ def _classify(token: str) -> tuple[int, int]:
         out = _PUNCT.get(first, CLASS["mark"]), 0
     if len(_memo) > 500_000:
         _memo.clear()
-    _memo[token] = out
-    return out
+    _memo[token] = out[0] + 256 * out[1]
+    return _memo[token]
+
+
+#: For each vote, the languages in it.
+_BITS = np.array([[(v >> i) & 1 for i in range(len(LANGS))] for v in range(1 << len(LANGS))])
 
 
 @dataclass
@@ -148,11 +152,10 @@ def read_lines(text: str) -> Lines:
     tokens = TOKEN.findall(text)
     tokens.append("\n")
     get = _memo.get
-    pairs = [get(t) or _classify(t) for t in tokens]
-    both = np.array(pairs, np.int16)
-    classes = both[:, 0]
-    votes = np.array([((both[:, 1] >> i) & 1).sum() for i in range(len(LANGS))])
-    votes[1] = votes[1] // 2
+    codes = np.array([get(t) or _classify(t) for t in tokens], np.int64)
+    classes = codes & 255
+    votes = np.bincount(codes >> 8, minlength=1 << len(LANGS)) @ _BITS
+    votes[1] //= 2
     lang = int(votes.argmax()) if votes.max() > 0 else 0
     ends = np.flatnonzero(classes == EOL)
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -161,7 +164,7 @@ def read_lines(text: str) -> Lines:
 
 def trigrams(lines: Lines) -> np.ndarray:
     """Cell of each token in the table of its language; a line starts with two start classes."""
-    c = lines.classes.astype(np.int64)
+    c = lines.classes
     before = np.concatenate([[START], c[:-1]])
     before[lines.starts] = START
     before2 = np.concatenate([[START, START], c[:-2]])[: len(c)]
@@ -176,18 +179,16 @@ def is_prose_like(lines: Lines) -> np.ndarray:
     """Lines that the model learns from: long enough, ended as a sentence, with a share of function words."""
     c = lines.classes
     n = lines.ends - lines.starts
-    function = np.isin(c, FUNCTION_CLASSES).astype(np.int32)
-    content = np.isin(c, CONTENT_CLASSES).astype(np.int32)
-    cf, cc = np.concatenate([[0], function.cumsum()]), np.concatenate([[0], content.cumsum()])
+    cf, cc = np.concatenate([[0], IS_FUNCTION[c].cumsum()]), np.concatenate([[0], IS_CONTENT[c].cumsum()])
     f, w = cf[lines.ends] - cf[lines.starts], cc[lines.ends] - cc[lines.starts]
     last = c[np.maximum(lines.ends - 1, 0)]
     before_last = c[np.maximum(lines.ends - 2, 0)]
-    ended = (last == CLASS["stop"]) | ((np.isin(last, [CLASS["quote"], CLASS["close"]])) & (before_last == CLASS["stop"]))
+    ended = (last == CLASS["stop"]) | (((last == CLASS["quote"]) | (last == CLASS["close"])) & (before_last == CLASS["stop"]))
     return (n >= 12) & ended & (f >= 0.25 * w)
 
 
-FUNCTION_CLASSES = [i for n, i in CLASS.items() if n[:2] in ("f_", "h_")]
-CONTENT_CLASSES = [CLASS["word"], CLASS["cap"], CLASS["upper"], *(CLASS[f"han{n}"] for n in range(1, 9)), CLASS["hanlong"]]
+IS_FUNCTION = np.array([n[:2] in ("f_", "h_") for n in _NAMES], np.int32)
+IS_CONTENT = np.array([n in ("word", "cap", "upper") or n.startswith("han") for n in _NAMES], np.int32)
 
 
 @dataclass
@@ -216,13 +217,15 @@ def train(pages: DataFrame, text: str) -> ProseModel:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(LANGS) * K**3, np.int64)
         for batch in batches:
+            found = []
             for body in batch.column(0).to_pylist():
                 if body:
                     lines = read_lines(body)
                     good = is_prose_like(lines)
                     if good.any():
-                        keep = np.repeat(good, lines.ends - lines.starts + 1)
-                        np.add.at(total, trigrams(lines)[keep], 1)
+                        found.append(trigrams(lines)[np.repeat(good, lines.ends - lines.starts + 1)])
+            if found:
+                total += np.bincount(np.concatenate(found), minlength=len(total))
         cells = np.flatnonzero(total)
         if len(cells):
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, mojibake, pii
+from . import contamination, mojibake, pii, spam
 from .common import table
 
 
@@ -13,6 +13,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages made of keywords, links or tags."""
+    return spam.spam_pages(extracts(spark, folder))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pages whose content holds wrongly decoded text."""
     return mojibake.find_garbled(extracts(spark, folder)).select("page_id").distinct()
@@ -28,7 +33,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal(table(spark, folder, "documents"), table(spark, folder, "name_parts")).select("doc_id", "kind", "start_pos")
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
 
 #: Units are split by putting spaces around Han characters and in place of everything that is neither letter nor digit.
 _UNITS = "list_filter(string_split(regexp_replace(regexp_replace(lower({0}), '([\\x{{4E00}}-\\x{{9FFF}}])', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda u: u <> '')"
