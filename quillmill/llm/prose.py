@@ -230,7 +230,12 @@ def train(pages: DataFrame, text: str) -> ProseModel:
         if len(cells):
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
-    rows = pages.select(F.col(text)).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    return fit_rows(pages.select(F.col(text)).mapInArrow(count, "cell long, n long"))
+
+
+def fit_rows(counts: DataFrame) -> ProseModel:
+    """The model from partial (cell, n) counts."""
+    rows = counts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     return fit(np.array(rows.column("cell"), np.int64), np.array(rows.column("n"), np.int64))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, history, mojibake, near_dups, pii, spam
+from . import contamination, history, main_body, mojibake, near_dups, pii, spam
 from .common import table
 
 
@@ -23,6 +23,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.spam_pages(extracts(spark, folder))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of each page's main body."""
+    return main_body.find_body(extracts(spark, folder))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Notes and entries of the history that hold nearly the same content."""
     return history.known_already(table(spark, folder, "notes"), table(spark, folder, "dedup_features")).select("id", "path")
@@ -43,7 +48,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal(table(spark, folder, "documents"), table(spark, folder, "name_parts")).select("doc_id", "kind", "start_pos")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
 
 #: Units are split by putting spaces around Han characters and in place of everything that is neither letter nor digit.
 _UNITS = "list_filter(string_split(regexp_replace(regexp_replace(lower({0}), '([\\x{{4E00}}-\\x{{9FFF}}])', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda u: u <> '')"

@@ -50,8 +50,11 @@ def recycled(lines: prose.Lines) -> np.ndarray:
 def page_shares(text: str, model: prose.ProseModel) -> tuple[float, float]:
     """(share of characters in lines unlike prose, share in lines that recycle phrases)"""
     text = repaired(text)
-    lines = prose.read_lines(text)
-    parts = text.split("\n")
+    return line_shares(text.split("\n"), prose.read_lines(text), model)
+
+
+def line_shares(parts: list[str], lines: prose.Lines, model: prose.ProseModel) -> tuple[float, float]:
+    """The same, of a repaired text's lines that are read already."""
     size = np.array([len(p) for p in parts])
     n = lines.ends - lines.starts
     sound = np.array([wreckage(p) <= WRECKED * max(1, len(p)) for p in parts])
