@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -115,7 +114,7 @@ def words_after(text: str, at: int) -> str:
 
 
 #: A context whose nearest word is a real word or an opening mark says more than a line end or a full stop.
-SPEAKING = r"^L:.*(?:[^\W\d_]{2,}|[:—(<@])$|^R:(?:[^\W\d_]{2,}|[;<@/’]).*"
+SPEAKING = re.compile(r"(?s)L:.*(?:[^\W\d_]{2,}|[:—(<@])$|R:(?:[^\W\d_]{2,}|[;<@/’]).*")
 GENERIC_WEIGHT = 0.35
 
 
@@ -286,49 +285,64 @@ def learn(documents: DataFrame, parts: DataFrame, text: str = "text", rounds: in
     least = max(2, int(pattern_share * totals.get("value", 0)))
     contexts = {r.pattern: "id_number" if r.ids > 4 * r.phones else "phone" for r in values.where((F.col("n") >= least) & ((F.col("ids") > 4 * F.col("phones")) | (F.col("phones") > 4 * F.col("ids")))).collect()}
 
-    # Latin names
-    names = found.where("what = 'name'")
+    # Latin names: each round scores the contexts by the parts known so far, then the parts by the contexts
+    names = found.where("what = 'name'").select("a", "b", "left", "right", "n")
     total = totals.get("name", 0)
-    given = known.where("kind = 'given'").select("part", F.lit(1.0).alias("score"))
-    family = known.where("kind = 'family'").select("part", F.lit(1.0).alias("score"))
+    given = {p: 1.0 for p, k in seeds if k == "given"}
+    family = {p: 1.0 for p, k in seeds if k == "family"}
     least_n, least_part = max(3, int(pattern_share * total)), max(1, int(part_share * total))
-    first = names.withColumn("first", F.split("a", "-")[0])
-    patterns = None
+    patterns: dict[str, float] = {}
+    context = spark.sparkContext
     for _ in range(rounds):
-        scored = (
-            first.join(given.select(F.col("part").alias("first"), F.col("score").alias("gs")), "first", "left")
-            .join(family.select(F.col("part").alias("b"), F.col("score").alias("fs")), "b", "left")
-            .withColumn("gs", F.coalesce("gs", F.lit(0.0)))
-            .withColumn("fs", F.coalesce("fs", F.lit(0.0)))
-            # an initial vouches for nothing by itself
-            .withColumn("positive", F.when(F.col("a") == "", F.col("fs")).otherwise(F.greatest(F.col("gs") * F.col("fs"), 0.6 * F.greatest("gs", "fs"))))
-        )
-        sides = [scored.select(F.col(side).alias("pattern"), "positive", "n", "a", "b") for side in ("left", "right")]
-        patterns = (
-            reduce(DataFrame.unionByName, sides)
-            .groupBy("pattern")
-            .agg(F.sum("n").alias("n"), (F.sum(F.col("positive") * F.col("n")) / F.sum("n")).alias("trust"), F.count("*").alias("kinds"))
-            .where((F.col("n") >= least_n) & (F.col("kinds") >= 3) & (F.col("trust") >= least_pattern))
-            .select("pattern", F.when(F.col("pattern").rlike("(?U)" + SPEAKING), F.col("trust")).otherwise(GENERIC_WEIGHT * F.col("trust")).alias("trust"))
-        )
-        votes = (
-            scored.join(patterns.select(F.col("pattern").alias("left"), F.col("trust").alias("lt")), "left", "left")
-            .join(patterns.select(F.col("pattern").alias("right"), F.col("trust").alias("rt")), "right", "left")
-            .withColumn("trust", 1 - (1 - F.coalesce("lt", F.lit(0.0))) * (1 - F.coalesce("rt", F.lit(0.0))))
-        )
-        new_given = votes.where("a <> ''").groupBy(F.col("first").alias("part")).agg((F.sum(F.col("n") * F.col("trust") * (0.7 + 0.3 * F.col("fs"))) / F.sum("n")).alias("score"), F.sum("n").alias("n"))
-        new_family = votes.groupBy(F.col("b").alias("part")).agg((F.sum(F.col("n") * F.col("trust") * (0.7 + 0.3 * F.col("gs"))) / F.sum("n")).alias("score"), F.sum("n").alias("n"))
-
-        def grown(old: DataFrame, new: DataFrame) -> DataFrame:
-            fresh = new.where((F.col("score") >= 0.45) & (F.col("n") >= least_part)).select("part", F.least("score", F.lit(0.95)).alias("score"))
-            return checkpointed(old.unionByName(fresh).groupBy("part").agg(F.max("score").alias("score")))
-
-        given, family = grown(given, new_given), grown(family, new_family)
+        sent = context.broadcast((given, family))
+
+        def score_patterns(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            given, family = sent.value
+            for batch in batches:
+                sums: dict[str, list[float]] = {}
+                for a, b, left, right, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    gs, fs = given.get(a.split("-")[0], 0.0), family.get(b, 0.0)
+                    # an initial vouches for nothing by itself
+                    positive = fs if not a else max(gs * fs, 0.6 * max(gs, fs))
+                    for side in (left, right):
+                        s = sums.setdefault(side, [0, 0.0, 0])
+                        s[0] += n
+                        s[1] += positive * n
+                        s[2] += 1
+                if sums:
+                    yield _batch([(k, *v) for k, v in sums.items()], ["pattern", "n", "positive", "kinds"], [pa.string(), pa.int64(), pa.float64(), pa.int64()])
+
+        scored = names.mapInArrow(score_patterns, "pattern string, n long, positive double, kinds long").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"), F.sum("kinds").alias("kinds"))
+        kept = scored.where((F.col("n") >= least_n) & (F.col("kinds") >= 3) & (F.col("positive") >= least_pattern * F.col("n")))
+        patterns = {r.pattern: r.positive / r.n * (1.0 if SPEAKING.match(r.pattern) else GENERIC_WEIGHT) for r in kept.collect()}
+        sent = context.broadcast((given, family, patterns))
+
+        def score_parts(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            given, family, patterns = sent.value
+            for batch in batches:
+                sums: dict[tuple[str, str], list[float]] = {}
+                for a, b, left, right, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    trust = 1 - (1 - patterns.get(left, 0.0)) * (1 - patterns.get(right, 0.0))
+                    first = a.split("-")[0]
+                    for key, other in ((("given", first), family.get(b, 0.0)), (("family", b), given.get(first, 0.0))):
+                        if key[1]:
+                            s = sums.setdefault(key, [0, 0.0])
+                            s[0] += n
+                            s[1] += n * trust * (0.7 + 0.3 * other)
+                if sums:
+                    yield _batch([(*k, *v) for k, v in sums.items()], ["kind", "part", "n", "votes"], [pa.string(), pa.string(), pa.int64(), pa.float64()])
+
+        parts_now = names.mapInArrow(score_parts, "kind string, part string, n long, votes double").groupBy("kind", "part").agg(F.sum("n").alias("n"), F.sum("votes").alias("votes"))
+        for r in parts_now.where((F.col("n") >= least_part) & (F.col("votes") >= 0.45 * F.col("n"))).collect():
+            known_parts = given if r.kind == "given" else family
+            known_parts[r.part] = max(known_parts.get(r.part, 0.0), min(0.95, r.votes / r.n))
     # Han names: a context is one of names if several surnames stand in it, none of which makes up most of it
     least_h = max(3, int(pattern_share * totals.get("han", 0)))
 
+    han = found.where("what = 'han'")
+
     def contexts_of(*by: str) -> DataFrame:
-        each = found.where("what = 'han'").groupBy(*by, "a").agg(F.sum("n").alias("n"))
+        each = han.groupBy(*by, "a").agg(F.sum("n").alias("n"))
         return each.groupBy(*by).agg(F.count("*").alias("surnames"), F.sum("n").alias("n"), F.max("n").alias("most")).where((F.col("surnames") >= 3) & (F.col("most") <= 0.6 * F.col("n")) & (F.col("n") >= least_h))
 
     pairs = contexts_of("left", "right").where("left <> '' and right <> ''").select("left", "right", "n")
@@ -339,9 +353,9 @@ def learn(documents: DataFrame, parts: DataFrame, text: str = "text", rounds: in
     spoken = r"[一-鿿]{2}$|[一-鿿]：$"  # one side alone must hold words
     return {
         "contexts": contexts,
-        "patterns": {r.pattern: r.trust for r in patterns.collect()},
-        "given": {r.part: r.score for r in given.collect()},
-        "family": {r.part: r.score for r in family.collect()},
+        "patterns": patterns,
+        "given": given,
+        "family": family,
         "han_pairs": sorted((r.left, r.right, r.n) for r in pairs.collect()),
         "han_lefts": {r.left: r.n for r in contexts_of("left").where((F.col("surnames") >= 5) & (F.col("most") <= 0.4 * F.col("n")) & F.col("left").rlike(spoken)).collect()},
         "han_rights": {r.right: r.n for r in contexts_of("right").where((F.col("surnames") >= 5) & (F.col("most") <= 0.4 * F.col("n")) & F.col("right").rlike(spoken)).collect()},
