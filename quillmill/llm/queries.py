@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, history, main_body, mojibake, near_dups, pii, spam
+from . import contamination, history, main_body, mixing, mojibake, near_dups, pii, spam
 from .common import table
 
 
@@ -43,12 +43,32 @@ def extracts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "url_extracts").where("success")
 
 
+def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of each plan's mixture, with the times each is taken."""
+    return mixing.selection(*(table(spark, folder, name) for name in ("documents", "mix_plans", "mix_targets")))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of every plan and source."""
+    return mixing.shares(*(table(spark, folder, name) for name in ("documents", "mix_plans", "mix_targets")))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every e-mail address, phone number, identity number, street address and name."""
     return pii.find_personal(table(spark, folder, "documents"), table(spark, folder, "name_parts")).select("doc_id", "kind", "start_pos")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
+def p8_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with a typed placeholder for every personal value."""
+    return pii.mask_personal(table(spark, folder, "documents"), table(spark, folder, "name_parts"))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every note with its class of equal texts and its group of near-duplicates."""
+    return near_dups.near_duplicate_groups(table(spark, folder, "notes"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_masked": p8_masked, "p1_groups": p1_groups}
 
 #: Units are split by putting spaces around Han characters and in place of everything that is neither letter nor digit.
 _UNITS = "list_filter(string_split(regexp_replace(regexp_replace(lower({0}), '([\\x{{4E00}}-\\x{{9FFF}}])', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda u: u <> '')"
