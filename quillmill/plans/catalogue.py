@@ -2,5 +2,379 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import hashing, text, tokens
+from ..functions.similarity import edit_similarity, fitted
+from ..operators import claims, dedup, dense, gate, notes, profiles, related, review, vectors
+from ..sources import readers, state
+from ..streaming import changes
+from . import oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    def register(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = function
+        if sql:
+            SQL[name] = sql
+        return function
+
+    return register
+
+
+def distinct_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes once each, with a number by id in their batch."""
+    return table(spark, folder, "notes").select("id", "title", "content", "source", "batch").distinct()
+
+
+NOTES = "(SELECT DISTINCT id, title, content, source, batch FROM notes)"
+
+# ---- gate ---------------------------------------------------------------------------------------------------------------------
+_METRIC = {"length": "len", "quality": "quality_hits", "html": "html_hits", "mojibake": "mojibake_hits", "links": "link_count", "stuffing": "token_top", "density": "token_distinct", "noise": "noise_ratio", "paragraphs": "paragraph_similarity"}
+_STATUS_SQL = oracle.gate_statuses(oracle.limits())
+
+
+def _rule(rule: str) -> None:
+    metric = _METRIC[rule]
+
+    @query(f"gate_{rule}", f"WITH {oracle.gate_metrics()} SELECT doc_id, {metric} AS metric, {_STATUS_SQL[rule]} AS status FROM m")
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        rows = gate.cheap_metrics(table(spark, folder, "documents").select("doc_id", "text"), "text")
+        if rule in gate.DEAR:
+            rows = gate.dear_metrics(rows, "text")
+        return rows.select("doc_id", F.col(metric).alias("metric"), gate.statuses()[rule].alias("status"))
+
+
+for _r in _METRIC:
+    _rule(_r)
+
+_by_profile = oracle.gate_statuses(oracle.limits("profile"))
+_cheap = " + ".join(f"({_by_profile[r]} = 'block')::INT" for r in gate.CHEAP)
+_all_block = " + ".join(f"({_by_profile[r]} = 'block')::INT" for r in _METRIC)
+_first = lambda rules: "CASE " + " ".join(f"WHEN {_by_profile[r]} = 'block' THEN '{r}'" for r in rules) + " END"
+_warns = lambda rules: " + ".join(f"({_by_profile[r]} = 'warn')::INT" for r in rules)
+
+
+@query(
+    "gate_verdict",
+    f"""WITH {oracle.gate_metrics()}, {oracle.densities()},
+j AS (SELECT doc_id, profile, f, {_cheap} AS cb, CASE WHEN {_cheap} > 0 THEN {_cheap} ELSE {_all_block} END AS blocks, CASE WHEN {_cheap} > 0 THEN {_warns(gate.CHEAP)} ELSE {_warns(list(_METRIC))} END AS warns,
+  CASE WHEN {_cheap} > 0 THEN {_first(gate.CHEAP)} ELSE {_first(list(_METRIC))} END AS first FROM m JOIN prof USING (doc_id))
+SELECT doc_id, profile, blocks, warns, CASE WHEN blocks = 0 AND warns >= greatest(3, least(6, floor(f * 1.8))) THEN 'escalated' ELSE first END AS summary,
+  blocks = 0 AND warns < greatest(3, least(6, floor(f * 1.8))) AS passed FROM j""",
+)
+def gate_verdict(spark: SparkSession, folder: str) -> DataFrame:
+    """Flagship: each document's profile, and the gate's verdict with that profile's thresholds."""
+    rows = profiles.classified(table(spark, folder, "documents").select("doc_id", "text"), "text").select("doc_id", "text", "profile")
+    limits = F.broadcast(profiles.threshold_table(spark))
+    joined = rows.join(limits, "profile")
+    judged = gate.judged(joined, "text", {k: F.col(k) for k in profiles.THRESHOLDS})
+    return judged.select("doc_id", "profile", "blocks", "warns", "summary", "passed")
+
+
+@query("profile_densities", f"WITH {oracle.densities()} SELECT doc_id, profile, code_blocks, round(term_density, 6) AS term_density, round(data_density, 6) AS data_density, round(avg_paragraph, 6) AS avg_paragraph, round(narrative_density, 6) AS narrative_density FROM prof")
+def profile_densities(spark: SparkSession, folder: str) -> DataFrame:
+    rows = profiles.classified(table(spark, folder, "documents").select("doc_id", "text"), "text")
+    return rows.select("doc_id", "profile", "code_blocks", *[F.round(c, 6).alias(c) for c in ("term_density", "data_density", "avg_paragraph", "narrative_density")])
+
+
+# ---- tokens and vectors -------------------------------------------------------------------------------------------------------
+@query("token_counts", f"SELECT doc_id, token, count(*) AS cnt FROM (SELECT doc_id, unnest({oracle.tokens('text', 3)}) AS token FROM documents) GROUP BY ALL")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_counts(table(spark, folder, "documents"), "doc_id", F.col("text")).select("doc_id", "token", "cnt")
+
+
+_DOC_VECTORS = oracle.vectors("documents", "doc_id", "text")
+
+
+@query("idf_table", f"WITH {_DOC_VECTORS} SELECT k AS token, df, round(idf, 9) AS idf FROM idf")
+def idf_table(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").where("text is not null")
+    found = vectors.counts(docs, "doc_id", "text")
+    return vectors.idf(found, vectors.corpus_size(docs, "doc_id", "text")).select("token", "df", F.round("idf", 9).alias("idf"))
+
+
+@query("bm25_norms", f"WITH {_DOC_VECTORS} SELECT doc_id, n_tokens, round(norm, 6) AS norm FROM vn")
+def bm25_norms(spark: SparkSession, folder: str) -> DataFrame:
+    long = vectors.vectors(table(spark, folder, "documents").where("text is not null"), "doc_id", "text")
+    return vectors.summary(long, "doc_id").select("doc_id", "n_tokens", F.round("norm", 6).alias("norm"))
+
+
+@query("top_tokens", f"WITH {_DOC_VECTORS} SELECT doc_id, r AS rank, k AS token FROM vr WHERE r <= 5")
+def top_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    long = vectors.vectors(table(spark, folder, "documents").where("text is not null"), "doc_id", "text")
+    return vectors.summary(long, "doc_id").select("doc_id", F.posexplode("top_tokens").alias("p", "token")).select("doc_id", (F.col("p") + 1).alias("rank"), "token")
+
+
+@query(
+    "fnv64_vocabulary",
+    rf"""SELECT DISTINCT token, CASE WHEN h >= 9223372036854775808 THEN (h::HUGEINT - 18446744073709551616)::BIGINT ELSE h::BIGINT END AS hash FROM (
+SELECT token, list_reduce(list_transform(string_split(token, ''), lambda c: unicode(c)::UHUGEINT), lambda h, x: (xor(h, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT) AS h
+FROM (SELECT DISTINCT unnest({oracle.tokens('text', 3)}) AS token FROM documents))""",
+)
+def fnv64_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    words = table(spark, folder, "documents").select(F.explode(tokens.tokens(F.col("text"), 3)).alias("token")).distinct()
+    return words.select("token", hashing.fnv64("token").alias("hash"))
+
+
+@query("fnv32_titles")
+def fnv32_titles(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "notes").select("title").distinct().select("title", hashing.fnv32_lossy("title").alias("hash"))
+
+
+# ---- duplicates ---------------------------------------------------------------------------------------------------------------
+@query(
+    "batch_near_dups",
+    f"""WITH n AS {NOTES}, {oracle.vectors('n', 'id', 'content', 'batch').replace('FROM n WHERE', 'FROM n WHERE')},
+tops AS (SELECT batch, id, list(k) AS top FROM vr WHERE r <= 5 GROUP BY ALL),
+b AS (SELECT n.batch, n.id, n.content AS t, length(n.content) AS len, coalesce(top, []) AS top, coalesce(norm, 0) AS norm, coalesce(n_tokens, 0) AS nt FROM n LEFT JOIN tops USING (batch, id) LEFT JOIN vn USING (batch, id) WHERE n.content IS NOT NULL),
+p AS (SELECT x.batch, x.id AS later, y.id AS earlier, x.t AS xt, y.t AS yt, x.len AS xl, y.len AS yl, x.norm AS xn, y.norm AS yn, x.nt AS xk, y.nt AS yk,
+  coalesce(len(list_intersect(x.top, y.top)) / nullif(len(list_distinct(x.top || y.top)), 0), 0) AS o
+  FROM b x JOIN b y ON x.batch = y.batch AND y.id < x.id AND abs(x.len - y.len) / greatest(x.len, y.len) <= 0.3),
+q AS (SELECT * FROM p WHERE o > 0 OR least(xl, yl) <= 30),
+dots AS (SELECT q.batch, later, earlier, sum(a.w * c.w) AS d FROM q JOIN v a ON a.batch = q.batch AND a.id = later JOIN v c ON c.batch = q.batch AND c.id = earlier AND c.k = a.k GROUP BY ALL),
+s AS (SELECT q.batch, later, earlier, CASE WHEN xl < 100 AND yl < 100 THEN CASE WHEN 1 - levenshtein(xt, yt) / greatest(xl, yl) >= 0.7 THEN 1 - levenshtein(xt, yt) / greatest(xl, yl) END
+  ELSE 0.5 * CASE WHEN xk < 3 OR yk < 3 THEN 0 ELSE least(1, coalesce(d, 0) / (xn * yn)) END + 0.3 * o END AS similarity FROM q LEFT JOIN dots USING (batch, later, earlier))
+SELECT batch, later, earlier, round(similarity, 6) AS similarity FROM s WHERE similarity > 0.65""",
+)
+def batch_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = dedup.batch_pairs(distinct_notes(spark, folder), "id", "content", "id", ("batch",))
+    return pairs.select("batch", "later", "earlier", F.round("similarity", 6).alias("similarity"))
+
+
+@query("batch_dropped")
+def batch_dropped(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes dropped by the greedy pass over each batch, with the kept note that each repeats."""
+    return dedup.greedy_kept(dedup.batch_pairs(distinct_notes(spark, folder), "id", "content", "id", ("batch",)), ("batch",))
+
+
+@query("corpus_matches")
+def corpus_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes of later batches with their best partner in the first batch."""
+    rows = distinct_notes(spark, folder).where("content is not null")
+    return dedup.corpus_matches(rows.where("batch > 1"), rows.where("batch = 1"), "id", "content")
+
+
+@query("simhash_pairs")
+def simhash_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes of a batch and history entries whose fingerprints differ in fewer than three bits."""
+    prints = dedup.fingerprints(distinct_notes(spark, folder).where("content is not null"), "id", "content").select(F.col("id").alias("key"), "simhash")
+    clean = F.lower(F.regexp_replace("simhash_fp", "^0[xX]", ""))
+    known = table(spark, folder, "dedup_features").where("path is not null").select(F.col("path").alias("key"), F.conv(F.nullif(clean, F.lit("")), 16, -10).cast("long").alias("simhash")).where("simhash is not null and simhash <> 0")
+    return dedup.fingerprint_pairs(state.checkpointed(prints).where("simhash <> 0"), known.distinct())
+
+
+@query(
+    "nearest_vectors",
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT q.vec_id AS vec_id, b.vec_id AS other, round(greatest(0, least(1, list_cosine_similarity(q.v, b.v))), 12) AS s FROM e q JOIN e b ON q.vec_id <> b.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, other) AS n FROM p)
+SELECT vec_id, CASE WHEN s >= 0.3 THEN other END AS other, CASE WHEN s >= 0.3 THEN round(s, 9) END AS similarity FROM r WHERE n = 1""",
+)
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    found = dense.nearest(rows.where("vec_id % 100 = 0"), rows, "vec_id", "embedding", 0.3)
+    return found.select("vec_id", "other", F.round("similarity", 9).alias("similarity"))
+
+
+@query("fitted_vectors", "SELECT vec_id, round(list_sum(list_transform((embedding::DOUBLE[])[1:32], lambda x: x * x)), 9) AS energy, 32 AS dimension FROM embeddings")
+def fitted_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    vector = fitted(F.col("embedding"), 32)
+    return table(spark, folder, "embeddings").select("vec_id", F.round(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x), 9).alias("energy"), F.size(vector).alias("dimension"))
+
+
+@query("title_edits", f"SELECT DISTINCT a.id AS id, b.id AS other, round(1 - levenshtein(a.title, b.title) / greatest(length(a.title), length(b.title)), 9) AS similarity FROM {NOTES} a JOIN {NOTES} b ON a.title = b.title AND a.id < b.id WHERE length(a.title) > 0")
+def title_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """Edit similarity of notes with equal titles, a check of the scalar function."""
+    rows = distinct_notes(spark, folder).where("length(title) > 0").select("id", "title")
+    both = rows.join(rows.select(F.col("id").alias("other"), "title", F.col("title").alias("t2")), "title").where("id < other")
+    return both.select("id", "other", F.round(edit_similarity(F.col("title"), F.col("t2")), 9).alias("similarity"))
+
+
+# ---- search -------------------------------------------------------------------------------------------------------------------
+_KEYWORDS = f"SELECT doc_id, list_distinct({oracle.tokens('text', 2)}) AS k FROM documents"
+
+
+@query(
+    "related_documents",
+    f"""WITH kw AS ({_KEYWORDS}), x AS (SELECT doc_id, len(k) AS n, unnest(k) AS w FROM kw),
+p AS (SELECT a.doc_id AS query, b.doc_id AS other, count(*) / (max(a.n) + max(b.n) - count(*)) AS s FROM x a JOIN x b USING (w) WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, other) AS n FROM p WHERE s >= 0.08)
+SELECT query, other, round(s, 9) AS similarity FROM r WHERE n <= 5""",
+)
+def related_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = related.related(docs.where("doc_id % 100 = 0"), docs, "doc_id", "text")
+    return found.select("query", "other", F.round("similarity", 9).alias("similarity"))
+
+
+@query("related_diverse")
+def related_diverse(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = related.related(docs.where("doc_id % 100 = 0"), docs, "doc_id", "text", top=100)
+    return related.diverse(found, docs.select("doc_id", tokens.keyword_set(F.col("text")).alias("keywords")), "doc_id")
+
+
+# ---- claims and notes ---------------------------------------------------------------------------------------------------------
+@query("claims", oracle.claims_sql("documents", "doc_id", "text"))
+def document_claims(spark: SparkSession, folder: str) -> DataFrame:
+    return claims.claims(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("claims_traced")
+def claims_traced(spark: SparkSession, folder: str) -> DataFrame:
+    """Claims of every note traced in the history entry of the same beginning."""
+    rows = distinct_notes(spark, folder).where("content is not null")
+    found = claims.claims(rows, "id", "title").join(rows.select("id", "content"), "id")
+    return claims.located(found, "anchor", "type", "content").drop("content")
+
+
+@query("note_counts", "SELECT batch, count(*) AS notes, coalesce(sum(traced_count), 0) AS traced, coalesce(sum(needs_compare_count), 0) AS needs_compare, coalesce(sum(out_of_scope_count), 0) AS out_of_scope, count(*) FILTER (NOT coalesce(len(list_filter(verification, lambda v: v.status = '超源')) > 0, false)) AS verified FROM notes GROUP BY batch")
+def note_counts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "notes")
+    beyond = F.coalesce(F.exists("verification", lambda v: v["status"] == claims.BEYOND), F.lit(False))
+    return rows.groupBy("batch").agg(F.count("*").alias("notes"), *[F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("traced_count", "traced"), ("needs_compare_count", "needs_compare"), ("out_of_scope_count", "out_of_scope"))], F.count_if(~beyond).alias("verified"))
+
+
+@query("valid_notes", rf"SELECT id, NOT ({oracle.trim(chr(39) * 2 + ' || coalesce(title, ' + chr(39) * 2 + ')')} = '' OR length(coalesce(content, '')) < 10) AS valid, len(regexp_extract_all(coalesce(content, ''), '(?m)^##\s+')) > 1 AS several_topics FROM (SELECT DISTINCT id, title, content FROM notes)")
+def valid_notes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "notes").select("id", "title", "content").distinct()
+    return rows.select("id", notes.is_valid(F.col("title"), F.col("content")).alias("valid"), F.array_contains(notes.issues(F.col("title"), F.col("content")), "several_topics").alias("several_topics"))
+
+
+@query("note_tags")
+def note_tags(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "notes").select("id", "title", "content", "tags").distinct()
+    return rows.select("id", notes.ensured_tags(F.col("tags"), F.col("title"), F.col("content"), ["note"]).alias("tags"))
+
+
+@query("clean_titles")
+def clean_titles(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "notes").select("title").distinct().select("title", notes.cleaned_title("title").alias("clean"))
+
+
+@query("chunks")
+def chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return notes.chunked(table(spark, folder, "documents"), "doc_id", "text", 1000, 100)
+
+
+@query("paragraphs", rf"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '\n{oracle.WS}*\n'), lambda p: {oracle.trim('p')}), lambda p: p <> '')) AS paragraphs FROM documents")
+def paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    parts = F.filter(F.transform(F.split("text", rf"\n{text.WHITE}*\n"), text.trimmed), lambda p: p != "")
+    return table(spark, folder, "documents").select("doc_id", F.size(parts).alias("paragraphs"))
+
+
+@query("parsed_outputs")
+def parsed_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents read as if a model had written them."""
+    return notes.notes_of(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("review_scores", """WITH r AS (SELECT o_orderkey AS k, o_custkey % 4 AS n, row_number() OVER () AS x FROM orders)
+SELECT o_orderkey AS k, i AS idx, CASE WHEN i = 0 THEN greatest(1, least(5, (o_custkey % 7)))::INT ELSE 3 END AS insight, CASE WHEN i = 0 THEN greatest(1, least(5, (o_orderkey % 9)))::INT ELSE 3 END AS knowledge,
+CASE WHEN i = 0 THEN greatest(1, least(5, (o_custkey % 7))) + greatest(1, least(5, (o_orderkey % 9))) ELSE 6 END::INT AS final,
+CASE WHEN (CASE WHEN i = 0 THEN greatest(1, least(5, (o_custkey % 7))) + greatest(1, least(5, (o_orderkey % 9))) ELSE 6 END) >= 6 THEN '保留' ELSE '丢弃' END AS verdict
+FROM (SELECT o_orderkey, o_custkey, unnest(range(0, o_custkey % 4)) AS i FROM orders)""")
+def review_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Review outputs built from the orders' keys: the first note is scored, the others take the default."""
+    raw = F.format_string('Scores: [{"index": 1, "insight_score": %d, "knowledge_score": %d, "verdict": "保留"}, {"index": 99, "insight_score": 5}]', F.col("o_custkey") % 7, F.col("o_orderkey") % 9)
+    rows = table(spark, folder, "orders").select(F.col("o_orderkey").alias("k"), raw.alias("raw"), (F.col("o_custkey") % 4).cast("int").alias("n"))
+    return review.parsed(rows, "k", "raw", "n").drop("reason")
+
+
+# ---- sources and sinks --------------------------------------------------------------------------------------------------------
+@query("text_rows", f"SELECT page_id, {oracle.length('content')} AS len FROM url_extracts WHERE {oracle.trim('content')} <> ''")
+def text_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return readers.text_rows(table(spark, folder, "url_extracts"), "content").select("page_id", text.utf16_length(F.col("content")).alias("len"))
+
+
+@query("web_addresses", r"SELECT page_id, coalesce(lower(regexp_extract(url, '^\s*([A-Za-z][A-Za-z0-9+.-]*)://[^\s/]+', 1)) IN ('http', 'https'), false) AS web FROM url_extracts")
+def web_addresses(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "url_extracts").select("page_id", readers.is_web_address(F.col("url")).alias("web"))
+
+
+@query("folder_scan", "SELECT path, mtime FROM dedup_features WHERE path = 'archive' OR starts_with(path, 'archive/')")
+def folder_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "dedup_features").where(readers.in_folder(F.col("path"), "archive")).select("path", "mtime")
+
+
+@query("front_matter", rf"SELECT doc_id, md5({oracle.trim('regexp_replace(text, ' + oracle.quoted(chr(92) + 'A' + chr(92) + 'x{FEFF}?---' + chr(92) + 's*' + chr(92) + 'n[' + chr(92) + 's' + chr(92) + 'S]*?' + chr(92) + 'n---' + chr(92) + 's*(?:' + chr(92) + 'n|' + chr(92) + 'z)') + ', ' + oracle.quoted('') + ')')}) AS body FROM documents")
+def front_matter(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", F.md5(text.without_front_matter(F.col("text"))).alias("body"))
+
+
+@query("note_titles")
+def note_titles(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", text.note_title(F.col("text"), F.col("doc_id").cast("string")).alias("title"))
+
+
+@query("clipboard_texts")
+def clipboard_texts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "notes").where("source = 'clipboard'")
+    return rows.select("id", text.image_noise_removed(F.col("content")).alias("content")).distinct()
+
+
+@query("truncated_texts", "SELECT doc_id, md5(substr(text, 1, 500)) AS head FROM documents WHERE len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) = 0")
+def truncated_texts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").where(F.regexp_count("text", F.lit(r"[\x{10000}-\x{10FFFF}]")) == 0)
+    return rows.select("doc_id", F.md5(text.truncated(F.col("text"), 500)).alias("head"))
+
+
+_STEM = rf"substr({oracle.trim('regexp_replace(coalesce(title, ' + chr(39) * 2 + '), ' + oracle.quoted('[' + chr(92) * 2 + '/:*?' + chr(34) + '<>|#^' + chr(92) + '[' + chr(92) + ']' + chr(92) + 'n' + chr(92) + 'r' + chr(92) + 't]') + ', ' + oracle.quoted('-') + ', ' + oracle.quoted('g') + ')')}, 1, 100)"
+
+
+@query("file_names", f"WITH n AS (SELECT id, CASE WHEN {_STEM} = '' THEN 'note' ELSE {_STEM} END AS stem FROM {NOTES}), r AS (SELECT id, stem, row_number() OVER (PARTITION BY stem ORDER BY id) - 1 AS k FROM n) SELECT id, CASE WHEN k = 0 THEN stem WHEN k <= 99 THEN stem || ' ' || k END AS file FROM r")
+def file_names(spark: SparkSession, folder: str) -> DataFrame:
+    rows = distinct_notes(spark, folder).select("id", notes.file_stem(F.col("title"), F.current_timestamp()).alias("stem"))
+    return notes.numbered_names(rows, "stem", "id").select("id", "file")
+
+
+@query("markdown_notes")
+def markdown_notes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "notes").select("id", "title", "content", "source", "tags").distinct()
+    return rows.select("id", notes.markdown(F.coalesce("title", F.lit("")), F.col("content"), F.col("source"), F.col("tags")).alias("body"))
+
+
+# ---- state and changes --------------------------------------------------------------------------------------------------------
+@query("history_tail", "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def history_tail(spark: SparkSession, folder: str) -> DataFrame:
+    return state.history_tail(table(spark, folder, "events").select("event_id", "ts", "event_type"), "ts", "event_id")
+
+
+@query("first_entries", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+def first_entries(spark: SparkSession, folder: str) -> DataFrame:
+    return state.first_entry(table(spark, folder, "events"), ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id")
+
+
+@query(
+    "change_bursts",
+    """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 3600 SECOND OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM g)
+SELECT user_id, min(ts) AS burst_start, max(ts) AS burst_end, count(*) AS n, arg_max(event_type, (ts, event_id)) AS last FROM i GROUP BY user_id, island""",
+)
+def change_bursts(spark: SparkSession, folder: str) -> DataFrame:
+    return changes.bursts(table(spark, folder, "events"), "user_id", "ts", "event_type", "event_id", 3600)
+
+
+@query(
+    "index_after_changes",
+    """WITH base AS (SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE event_id % 2 = 0 GROUP BY 1),
+chg AS (SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE event_id % 2 = 1 AND user_id % 3 <> 0 GROUP BY 1)
+SELECT * FROM base WHERE user_id NOT IN (SELECT user_id FROM chg) UNION ALL SELECT * FROM chg WHERE event_type <> 'error'""",
+)
+def index_after_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """An index of users' last events, kept current by a feed of later events; errors remove."""
+    rows = table(spark, folder, "events").select("user_id", "event_type", "event_id")
+    base = changes.latest(rows.where("event_id % 2 = 0"), "user_id", "event_id")
+    feed = rows.where("event_id % 2 = 1 and user_id % 3 <> 0").withColumn("op", F.when(F.col("event_type") == "error", "delete").otherwise("modify"))
+    return changes.upserted(base, feed, "user_id", "event_id")
