@@ -32,7 +32,7 @@ def cosine(a: Column, b: Column) -> Column:
     n = F.least(F.size(a), F.size(b))
     x, y = F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)
     norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    return F.when(norm == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(x, y) / F.nullif(norm, F.lit(0.0)))))
+    return F.when(norm == 0, 0.0).when(norm.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(x, y) / F.nullif(norm, F.lit(0.0)))))
 
 
 def fitted(vector: Column, dimension: int) -> Column:

@@ -47,13 +47,16 @@ def keyword_set(text: Column) -> Column:
     return F.array_distinct(tokens(text, 2))
 
 
-def run_lengths(values: Column) -> Column:
-    """Counts of the distinct values of an array, from its sorted form; in no particular order."""
-    ordered = F.array_sort(values)
-    size = F.size(values)
-    starts = F.filter(F.sequence(F.lit(1), size), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(size + 1))
-    return F.when(size > 0, F.zip_with(starts, ends, lambda a, b: b - a)).otherwise(F.array().cast("array<int>"))
+def token_stats(values: Column) -> Column:
+    """Struct of the number of values, of distinct values, and of the most frequent value, in one pass over the sorted array."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("different"), F.lit(0).alias("top"))
+
+    def step(a: Column, v: Column) -> Column:
+        same = a["last"].eqNullSafe(v)
+        run = F.when(same, a["run"] + 1).otherwise(1)
+        return F.struct(v.alias("last"), run.alias("run"), (a["different"] + F.when(same, 0).otherwise(1)).alias("different"), F.greatest(a["top"], run).alias("top"))
+
+    return F.aggregate(F.array_sort(values), start, step, lambda a: F.struct(F.size(values).alias("total"), a["different"].alias("different"), a["top"].alias("top")))
 
 
 def token_counts(rows: DataFrame, key: str, text: Column, n: int = 3) -> DataFrame:

@@ -23,7 +23,7 @@ BANDS = ((0, 22), (22, 21), (43, 21))
 
 
 def _length_ok(a: Column, b: Column) -> Column:
-    return F.abs(a - b) / F.greatest(a, b) <= LENGTH_RATIO
+    return F.abs(a - b) <= LENGTH_RATIO * F.greatest(a, b)
 
 
 def _prefix(threshold: float, size: Column) -> Column:

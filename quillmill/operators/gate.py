@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE, trimmed, utf16_length
-from ..functions.tokens import run_lengths, tokens
+from ..functions.tokens import token_stats, tokens
 from .profiles import DEFAULTS
 
 # Advertising phrases and click-bait.
@@ -68,7 +68,7 @@ def sampled_places(n: Column) -> Column:
 
 def dear_metrics(rows: DataFrame, text: str) -> DataFrame:
     c = F.coalesce(F.col(text), F.lit(""))
-    with_tokens = rows.withColumn("_tokens", tokens(c, 2)).withColumn("_counts", run_lengths(F.col("_tokens")))
+    with_tokens = rows.withColumn("_stats", token_stats(tokens(c, 2)))
     whole = F.filter(F.transform(F.split(c, rf"\n{WHITE}*\n"), trimmed), lambda p: p != "")
     parts = with_tokens.withColumn("_all", whole).withColumn("_parts", F.transform(sampled_places(F.size("_all")), lambda i: F.get(F.col("_all"), i - 1)))
     sets = parts.withColumn("_sets", F.filter(F.transform("_parts", lambda p: F.array_distinct(tokens(p, 2))), lambda s: F.size(s) >= PARAGRAPH_TOKENS))
@@ -80,9 +80,9 @@ def dear_metrics(rows: DataFrame, text: str) -> DataFrame:
     pairs = F.flatten(F.transform("_sets", lambda a, i: F.transform(F.slice(F.col("_sets"), i + 2, F.greatest(F.size("_sets") - i - 1, F.lit(0))), lambda b: likeness(a, b))))
     return sets.select(
         *rows.columns,
-        F.size("_tokens").alias("token_total"),
-        F.size("_counts").alias("token_distinct"),
-        F.coalesce(F.array_max("_counts"), F.lit(0)).alias("token_top"),
+        F.col("_stats.total").alias("token_total"),
+        F.col("_stats.different").alias("token_distinct"),
+        F.col("_stats.top").alias("token_top"),
         (F.regexp_count(c, F.lit(f"[^{CLEAN_RANGES}]")) / F.greatest(utf16_length(c), F.lit(1))).alias("noise_ratio"),
         F.coalesce(F.array_max(pairs), F.lit(0.0)).alias("paragraph_similarity"),
     )

@@ -24,7 +24,7 @@ def debounced(events: DataFrame, key: str, ts: str, value: str, gap: str = "1 se
 def bursts(events: DataFrame, key: str, ts: str, value: str, tie: str, gap_seconds: float) -> DataFrame:
     """The same over a table by gaps and islands, with ties settled: (key, burst_start, burst_end, n, last)."""
     order = Window.partitionBy(key).orderBy(ts, tie)
-    micros = F.unix_micros(ts)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     new = F.coalesce((micros - F.lag(micros).over(order)) >= int(gap_seconds * 1_000_000), F.lit(True))
     islands = events.withColumn("_new", new.cast("int")).withColumn("_island", F.sum("_new").over(order))
     return islands.groupBy(key, "_island").agg(F.min(ts).alias("burst_start"), F.max(ts).alias("burst_end"), F.count("*").alias("n"), F.max_by(value, F.struct(ts, tie)).alias("last")).drop("_island")
