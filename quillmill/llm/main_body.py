@@ -61,6 +61,7 @@ _NOTICE = re.compile(
     re.IGNORECASE,
 )
 _BAR = re.compile(r"\s(?:[|/·•»›>→]|&gt;)\s|\s{2,}|\s—\s")
+_TRAIL = re.compile(r"\s[>›»/|·→]\s")
 _ENDED = re.compile(r"[.!?。！？][\"”’»“）)\]]*$")
 
 
@@ -69,8 +70,17 @@ def plain(line: str) -> str:
     return re.sub(r"\d+", "0", _BULLET.sub("", line.strip()).strip())
 
 
+_keys: dict[str, int] = {}
+
+
 def line_key(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(plain(line)) - (1 << 63)
+    """Key of a line without its numbers; furniture comes again and again, so keys are remembered."""
+    key = _keys.get(line)
+    if key is None:
+        if len(_keys) > 200_000:
+            _keys.clear()
+        key = _keys[line] = xxhash.xxh3_64_intdigest(plain(line)) - (1 << 63)
+    return key
 
 
 def article_key(lines: list[str]) -> int:
@@ -178,28 +188,51 @@ def _titles(title: str | None) -> set[str]:
     return {p.casefold() for p in parts if len(p) > 3}
 
 
+#: What a line is by its words alone, for lines short enough to come again.
+_marks: dict[str, tuple[str, bool]] = {}
+
+
+def _marked(line: str, tokens: int) -> tuple[str, bool]:
+    """(kind by words, or empty; whether it ends as a sentence)"""
+    found = _marks.get(line)
+    if found is None:
+        ended = _ENDED.search(line) is not None
+        kind = ""
+        if _COMMENTS.match(line):
+            kind = "comments"
+        elif tokens <= 20 and not ended and _SECTION.match(line):
+            kind = "section"
+        elif _REPLY.match(line) or _BYLINE.match(line) or _TAGS.match(line):
+            kind = "meta"
+        elif tokens < 16 and _TIME.search(line):
+            kind = "time"
+        elif tokens <= 60 and _NOTICE.search(line):
+            kind = "notice"
+        if len(_marks) > 200_000:
+            _marks.clear()
+        found = _marks[line] = kind, ended
+    return found
+
+
 def _kind(line: str, excess: float, tokens: int, shared: set[int], own: set[int], heads: set[str]) -> str:
     if not line:
         return "blank"
-    if line.casefold() in heads:
+    low = line.casefold() if len(line) <= LONGEST_SHARED else line
+    if low in heads:
         return "title"
-    short = len(line) <= LONGEST_SHARED
-    if _COMMENTS.match(line):
-        return "comments"
-    if short and _SECTION.match(line) and tokens <= 20 and not _ENDED.search(line):
-        return "section"
-    if short:
+    prosaic = excess < 3.5 and tokens >= 6
+    if len(line) > LONGEST_SHARED:
+        mark, ended = "", _ENDED.search(line) is not None
+    else:
+        mark, ended = _marked(line, tokens)
+        if mark in ("comments", "section"):
+            return mark
         key = line_key(line)
         if key in own or key in shared:
             return "furniture"
-    prosaic = excess < 3.5 and tokens >= 6
     if line.endswith("…") and (" — " in line or tokens < 30):
         return "teaser"
-    if short and (_REPLY.match(line) or _BYLINE.match(line) or _TAGS.match(line)) and not (prosaic and tokens > 20):
-        return "furniture"
-    if short and tokens < 16 and _TIME.search(line):
-        return "furniture"
-    if short and _NOTICE.search(line) and not (prosaic and tokens > 25):
+    if mark == "time" or (mark == "meta" and not (prosaic and tokens > 20)) or (mark == "notice" and not (prosaic and tokens > 25)):
         return "furniture"
     if _CAPTION.match(line):
         return "caption"
@@ -209,12 +242,13 @@ def _kind(line: str, excess: float, tokens: int, shared: set[int], own: set[int]
         return "item"
     if _QUOTE.match(line):
         return "quote"
-    if len(_BAR.findall(line)) >= 2 and excess > 5:
-        return "furniture"
-    if any(h in line.casefold() for h in heads) and re.search(r"\s[>›»/|·→]\s", line):
-        return "furniture"  # a trail that ends in the title
-    if tokens >= 8 and (prosaic or (_ENDED.search(line) and excess < 8)) and (_ENDED.search(line) or tokens >= 25):
+    if tokens >= 8 and (prosaic or (ended and excess < 8)) and (ended or tokens >= 25):
         return "paragraph"
+    if len(line) <= LONGEST_SHARED:
+        if excess > 5 and len(_BAR.findall(line)) >= 2:
+            return "furniture"
+        if _TRAIL.search(line) and any(h in low for h in heads):
+            return "furniture"  # a trail that ends in the title
     if wreckage(line) > 0.15 * len(line):
         return "paragraph" if len(line) > 60 else "label"
     return "label"

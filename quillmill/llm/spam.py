@@ -35,9 +35,8 @@ def recycled(lines: prose.Lines) -> np.ndarray:
     n = lines.ends - lines.starts
     if len(lines.tokens) < 4 * RECYCLED_TOKENS:
         return np.zeros(len(n))
-    ids: dict[str, int] = {}
-    words = np.array([ids.setdefault(t, len(ids)) for t in map(str.lower, lines.tokens)], np.int64)
-    keys = (words[:-2] * len(ids) + words[1:-1]) * len(ids) + words[2:]
+    words = np.fromiter(map(hash, lines.tokens), np.int64, len(lines.tokens))
+    keys = (words[:-2] * 1_000_003 + words[1:-1]) * 1_000_003 + words[2:]  # wraps; equal trigrams have equal keys
     _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
     often = counts[inverse] >= RECYCLED_TIMES
     covered = np.zeros(len(words), bool)
