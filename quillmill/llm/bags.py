@@ -18,7 +18,7 @@ import xxhash
 from .common import HAN_RUN, WORD4
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-BITMAP_WORDS = 2
+BITMAP_WORDS = 4
 _memo: dict[str, int] = {}
 
 

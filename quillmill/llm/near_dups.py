@@ -5,8 +5,8 @@ each member row brings the bitmap of its tokens, the bound on the overlap of a q
 that the group's union lacks, and only what the bound lets through is opened, that is, compared exactly on whole element sets.
 Within a group the bound is taken against the unions of sub-groups first, then against single members.
 
-Equal records collapse to one class before anything else, so copies cost nothing however many there are. With 30 bands of 4 rows a
-pair of similarity 0.65 lies in a common group with probability 0.997, one of 0.7 with 0.9997; the bound loses nothing.
+Equal records collapse to one class before anything else, so copies cost nothing however many there are. With 28 bands of 4 rows a
+pair of similarity 0.65 lies in a common group with probability 0.996, one of 0.7 with 0.9995; the bound loses nothing.
 
 Null titles count as empty; null or blank contents and null ids take no part; repeated rows count once; texts without tokens are
 similar to nothing; other columns are ignored.
@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from . import bags
 from .common import checkpointed, js_blank
 
-BANDS, ROWS = 30, 4
+BANDS, ROWS = 28, 4
 #: Members of a sub-group, whose union is bounded before its members are.
 SUBGROUP = 64
 _SIZE_BITS = 12
+#: Keys that are broadcast at most, eight bytes each; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def text_sets(rows: DataFrame, ident: str, text: Column, tokens=bags.word_tokens) -> DataFrame:
@@ -45,7 +47,7 @@ def text_sets(rows: DataFrame, ident: str, text: Column, tokens=bags.word_tokens
 
 
 def band_rows(sets: DataFrame, bands: int, rows: int, side: int = 0) -> DataFrame:
-    """(place, class_key, bits0, bits1): one row per set and band. ``place`` holds the group (upper bits), the side, and the set's size."""
+    """(place, class_key, bits0, ...): one row per set and band. ``place`` holds the group (upper bits), the side, and the set's size."""
     hasher = bags.MinHash(bands, rows)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,9 +62,10 @@ def band_rows(sets: DataFrame, bands: int, rows: int, side: int = 0) -> DataFram
             size = np.minimum(read.sizes(), (1 << (_SIZE_BITS - 1)) - 1).astype(np.uint64) | np.uint64(side << (_SIZE_BITS - 1))
             place = ((keys >> np.uint64(_SIZE_BITS)) << np.uint64(_SIZE_BITS)) | size[:, None]
             again = lambda x: np.repeat(x, bands)
-            yield pa.RecordBatch.from_arrays([pa.array(place.ravel().view(np.int64)), pa.array(again(batch.column(0).to_numpy())), pa.array(again(bits[:, 0]).view(np.int64)), pa.array(again(bits[:, 1]).view(np.int64))], names=["place", "class_key", "bits0", "bits1"])
+            words = [pa.array(again(bits[:, w]).view(np.int64)) for w in range(bits.shape[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(place.ravel().view(np.int64)), pa.array(again(batch.column(0).to_numpy())), *words], names=["place", "class_key", *(f"bits{w}" for w in range(len(words)))])
 
-    return sets.select("class_key", "elements").mapInArrow(spread, "place long, class_key long, bits0 long, bits1 long")
+    return sets.select("class_key", "elements").mapInArrow(spread, "place long, class_key long, " + ", ".join(f"bits{w} long" for w in range(bags.BITMAP_WORDS)))
 
 
 def _may_reach(size_a, bits_a, size_b, bits_b, least: float) -> np.ndarray:
@@ -110,18 +113,27 @@ def qualifying(place: np.ndarray, key: np.ndarray, bits: np.ndarray, least: floa
         yield pairs(i[same], j[same])
     for g in np.flatnonzero(count > SUBGROUP):
         at = np.arange(start[g], start[g] + count[g])
-        at = at[np.lexsort((bits[at, 1], bits[at, 0], size[at]))]
-        blocks = [at[k : k + SUBGROUP] for k in range(0, len(at), SUBGROUP)]
-        union = np.array([np.bitwise_or.reduce(bits[b], axis=0) for b in blocks])
-        low = np.array([size[b].min() for b in blocks])
-        for k, block in enumerate(blocks):
-            for query in block:
-                # a set of the sub-group is at least as large as its smallest and shares at most what the union covers
-                lacking = np.bitwise_count(bits[query] & ~union[k:]).sum(axis=1).astype(np.int64)
-                opened = np.flatnonzero(size[query] - lacking >= least / (1 + least) * (size[query] + low[k:]) - 1e-9) + k
-                if len(opened):
-                    others = np.concatenate([blocks[o] for o in opened])
-                    yield pairs(np.full(len(others), query), others)
+        if two_sided:
+            queries, others = at[side[at] == 0], at[side[at] == 1]
+        else:
+            queries = others = at
+        if not len(queries) or not len(others):
+            continue
+        queries, others = (x[np.lexsort((bits[x, 0], size[x]))] for x in (queries, others))
+        edges = np.arange(0, len(others), SUBGROUP)
+        union = np.bitwise_or.reduceat(bits[others], edges, axis=0)
+        low = size[others[edges]]  # sorted by size: the first is the smallest
+        for k in range(0, len(queries), SUBGROUP):
+            block = queries[k : k + SUBGROUP]
+            # a set of the sub-group is at least as large as its smallest and shares at most what the union covers
+            lacking = np.bitwise_count(bits[block][:, None, :] & ~union[None, :, :]).sum(axis=2).astype(np.int64)
+            opened = (size[block][:, None] - lacking >= least / (1 + least) * (size[block][:, None] + low[None, :]) - 1e-9) | (size[block][:, None] >= (1 << (_SIZE_BITS - 1)) - 1)
+            if not two_sided:
+                opened[:, edges + SUBGROUP <= k] = False  # each pair of sub-groups once
+            i, o = np.nonzero(opened)
+            members = np.minimum(edges[o][:, None] + np.arange(SUBGROUP)[None, :], len(others) - 1).ravel()
+            left = np.repeat(block[i], SUBGROUP)
+            yield pairs(left, others[members])
 
 
 def candidate_pairs(rows: DataFrame, least: float, two_sided: bool = False) -> DataFrame:
@@ -132,7 +144,7 @@ def candidate_pairs(rows: DataFrame, least: float, two_sided: bool = False) -> D
         parts = list(batches)
         if not parts:
             return
-        columns = [np.concatenate([p.column(k).to_numpy() for p in parts]) for k in range(4)]
+        columns = [np.concatenate([p.column(k).to_numpy() for p in parts]) for k in range(2 + bags.BITMAP_WORDS)]
         del parts
         held: list[np.ndarray] = []
         total = 0
@@ -160,7 +172,7 @@ def _unique(held: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def compared(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(a, b, overlap) of the pairs whose exact overlap reaches ``least``; both sides give (class_key, elements), one row a class."""
+    """(a, b, overlap) of the pairs whose exact overlap reaches ``least``; both sides give (class_key, elements), in one row or more a class."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,8 +182,16 @@ def compared(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float)
             good = pa.array(overlap >= least - 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(overlap)], names=["a", "b", "overlap"]).filter(good)
 
-    joined = pairs.join(left.select(F.col("class_key").alias("a"), F.col("elements").alias("ea")), "a").join(right.select(F.col("class_key").alias("b"), F.col("elements").alias("eb")), "b")
-    return joined.select("a", "b", "ea", "eb").mapInArrow(check, "a long, b long, overlap double")
+    pairs = checkpointed(pairs)
+    sides = [wanted(side, pairs.select(F.col(name).alias("class_key"))).select(F.col("class_key").alias(name), F.col("elements").alias(f"e{name}")) for name, side in (("a", left), ("b", right))]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ea", "eb").mapInArrow(check, "a long, b long, overlap double")
+
+
+def wanted(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row per class that a pair needs; the keys go out as a broadcast while their counted number is small, else by shuffle."""
+    keys = keys.distinct()
+    few = keys.count() <= BROADCAST_KEYS
+    return classes(sets.join(F.broadcast(keys) if few else keys, "class_key", "left_semi"))
 
 
 def classes(sets: DataFrame) -> DataFrame:
@@ -181,9 +201,7 @@ def classes(sets: DataFrame) -> DataFrame:
 
 def class_links(sets: DataFrame, least: float = 0.6, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(a, b, overlap): links between different classes, each once."""
-    found = candidate_pairs(band_rows(sets, bands, rows), least)
-    distinct = classes(sets)
-    return compared(found, distinct, distinct, least)
+    return compared(candidate_pairs(band_rows(sets, bands, rows), least), sets, sets, least)
 
 
 def note_text() -> Column:
