@@ -1,7 +1,7 @@
 """New batches against all history.
 
 The history is kept as shards of an index: one row per accepted entry and band of its min-hashes, with the bitmap of its tokens,
-and one row per class of equal entries with its elements. A batch is split into the same bands and meets only the groups that it
+and the elements of every entry. A batch is split into the same bands and meets only the groups that it
 shares with the shards; the token-union bound of ``near_dups`` drops what can't reach the overlap, and what is left is compared
 exactly. The history's texts and tokens are never read again: a batch costs its own size and its hits. Each accepted batch becomes a
 shard of its own (``append``); ``compacted`` merges shards and drops entries that are no longer in force.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import bags, near_dups
 from .common import HAN, checkpointed, js_blank
 
-BANDS, ROWS = 50, 4
+BANDS, ROWS = 28, 3
 _RUN = re.compile(rf"[a-z0-9_{HAN}]+")
 _HAN = re.compile(f"[{HAN}]")
 
@@ -86,7 +86,7 @@ class Shards:
     @classmethod
     def build(cls, sets: DataFrame, shard: int = 0, bands: int = BANDS, rows: int = ROWS) -> Shards:
         """A shard over (path, class_key, elements)."""
-        entries = near_dups.classes(sets)
+        entries = sets.select("class_key", "elements")
         return cls(sets.select("path", "class_key", F.lit(shard).alias("shard")), entries.withColumn("shard", F.lit(shard)), near_dups.band_rows(entries, bands, rows, side=1).withColumn("shard", F.lit(shard)))
 
     def write(self, folder: str) -> None:
@@ -112,10 +112,9 @@ class Shards:
 
 def probe(batch: DataFrame, shards: Shards, least: float = 0.5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, path, overlap): entries of the shards whose overlap with a row of (id, class_key, elements) is at least ``least``."""
-    fresh = near_dups.classes(batch)
-    spread = near_dups.band_rows(fresh, bands, rows).unionByName(shards.bands.drop("shard"))
+    spread = near_dups.band_rows(batch, bands, rows).unionByName(shards.bands.drop("shard"))
     pairs = near_dups.candidate_pairs(spread, least, two_sided=True)
-    links = near_dups.compared(pairs, fresh, shards.entries.select("class_key", "elements").dropDuplicates(["class_key"]), least)
+    links = near_dups.compared(pairs, batch, shards.entries.select("class_key", "elements"), least)
     ids = batch.select("id", F.col("class_key").alias("a")).distinct()
     paths = shards.members.select("path", F.col("class_key").alias("b")).distinct()
     return links.join(ids, "a").join(paths, "b").select("id", "path", "overlap")
