@@ -66,8 +66,9 @@ def sampled_places(n: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<int>")).when(n <= SAMPLED, F.sequence(F.lit(1), n)).otherwise(many)
 
 
-def dear_metrics(rows: DataFrame, text: str) -> DataFrame:
-    c = F.coalesce(F.col(text), F.lit(""))
+def dear_metrics(rows: DataFrame, text: str, where: Column | None = None) -> DataFrame:
+    """Metrics on tokens and paragraphs; rows outside ``where`` are measured as empty texts, which costs nothing."""
+    c = F.coalesce(F.col(text) if where is None else F.when(where, F.col(text)), F.lit(""))
     with_tokens = rows.withColumn("_stats", token_stats(tokens(c, 2)))
     whole = F.filter(F.transform(F.split(c, rf"\n{WHITE}*\n"), trimmed), lambda p: p != "")
     parts = with_tokens.withColumn("_all", whole).withColumn("_parts", F.transform(sampled_places(F.size("_all")), lambda i: F.get(F.col("_all"), i - 1)))
@@ -130,16 +131,14 @@ def statuses(limits: dict[str, Column] | None = None, selection: bool = False) -
 def judged(rows: DataFrame, text: str, limits: dict[str, Column] | None = None, selection: bool = False) -> DataFrame:
     """Rows with ``rules`` (name and status of every rule that ran), ``blocks``, ``warns``, ``summary`` and ``passed``.
 
-    Rows that a cheap rule blocks never reach the dear group. Warnings add up: from a number on that grows with length they block.
+    One pass: rows that a cheap rule blocks go through the dear group as empty texts. Warnings add up: from a number on that grows with length they block.
     """
     of = statuses(limits, selection)
     struct = lambda names: F.array(*[F.struct(F.lit(k).alias("rule"), of[k].alias("status")) for k in names])
     cheap = cheap_metrics(rows, text).withColumn("_cheap", struct(CHEAP))
     stopped = F.exists("_cheap", lambda r: r["status"] == "block")
-    keep = [*rows.columns, "len"]
-    blocked = cheap.where(stopped).select(*keep, F.col("_cheap").alias("rules"))
-    passed = dear_metrics(cheap.where(~stopped), text).select(*keep, F.concat("_cheap", struct(DEAR)).alias("rules"))
-    both = blocked.unionByName(passed)
+    full = dear_metrics(cheap.withColumn("_stopped", stopped), text, ~F.col("_stopped"))
+    both = full.select(*rows.columns, "len", F.when(F.col("_stopped"), F.col("_cheap")).otherwise(F.concat("_cheap", struct(DEAR))).alias("rules"))
     count = lambda status: F.size(F.filter("rules", lambda r: r["status"] == status))
     patience = F.greatest(F.lit(3), F.least(F.lit(6), F.floor(factor(F.col("len")) * 1.8)))
     found = both.withColumn("blocks", count("block")).withColumn("warns", count("warn"))

@@ -50,6 +50,11 @@ def vectors(rows: DataFrame, key: str, text: str, group: tuple[str, ...] = (), n
     return weighed.select(*group, key, "len", "token", "cnt", "pos", "df", weight(F.col("cnt"), F.col("len"), F.col("avg_len"), F.col("idf")).alias("w"))
 
 
+def norms(long: DataFrame, key: str, group: tuple[str, ...] = ()) -> DataFrame:
+    """(group, key, n_tokens, norm) by partial sums alone."""
+    return long.groupBy(*group, key).agg(F.count("*").alias("n_tokens"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
 def summary(long: DataFrame, key: str, group: tuple[str, ...] = (), top: int = 5) -> DataFrame:
     """(group, key, len, n_tokens, norm, top_tokens): distinct tokens, L2 norm, and the heaviest tokens, earlier ones first among equals.
 

@@ -18,8 +18,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: Tables of texts, whose rows cost much more than reading them.
+TEXTS = {"documents", "notes", "url_extracts"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table; texts that lie in fewer pieces than there are cores are spread, so that one small file doesn't end in one task."""
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in TEXTS and rows.rdd.getNumPartitions() < cores // 2 else rows
 
 
 def query(name: str, sql: str | None = None):
@@ -107,7 +114,7 @@ def idf_table(spark: SparkSession, folder: str) -> DataFrame:
 @query("bm25_norms", f"WITH {_DOC_VECTORS} SELECT doc_id, n_tokens, round(norm, 6) AS norm FROM vn")
 def bm25_norms(spark: SparkSession, folder: str) -> DataFrame:
     long = vectors.vectors(table(spark, folder, "documents").where("text is not null"), "doc_id", "text")
-    return vectors.summary(long, "doc_id").select("doc_id", "n_tokens", F.round("norm", 6).alias("norm"))
+    return vectors.norms(long, "doc_id").select("doc_id", "n_tokens", F.round("norm", 6).alias("norm"))
 
 
 @query("top_tokens", f"WITH {_DOC_VECTORS} SELECT doc_id, r AS rank, k AS token FROM vr WHERE r <= 5")
