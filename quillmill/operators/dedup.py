@@ -126,7 +126,7 @@ def best_match(pairs: DataFrame, keys: DataFrame, key: str, other: str, score: s
     top = pairs.groupBy(key).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(other).alias("o"))).alias("_best"))
     found = keys.join(top, key, "left").select(*keys.columns, F.col("_best.o").alias(other), (-F.col("_best.s")).alias(score))
     if length:
-        found = found.withColumn(score, F.when(F.col(length) < SHORT, F.least(F.col(score) * BOOST, F.lit(1.0))).otherwise(F.col(score)))
+        found = found.withColumn(score, F.when(F.col(score).isNotNull() & (F.col(length) < SHORT), F.least(F.col(score) * BOOST, F.lit(1.0))).otherwise(F.col(score)))
     return found
 
 

@@ -82,7 +82,7 @@ def sparse_dot(a: Column, b: Column) -> Column:
 def sparse_cosine(a: Column, b: Column, norm_a: Column, norm_b: Column, n_a: Column, n_b: Column) -> Column:
     """0 for texts with too few distinct tokens or without weight, else clamped to [0, 1]."""
     few = (n_a < LEAST_TOKENS) | (n_b < LEAST_TOKENS) | (norm_a == 0) | (norm_b == 0)
-    return F.when(few, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sparse_dot(a, b) / (norm_a * norm_b))))
+    return F.when(F.coalesce(few, F.lit(True)), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sparse_dot(a, b) / (norm_a * norm_b))))
 
 
 def first_rows(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
