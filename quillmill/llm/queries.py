@@ -38,6 +38,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.find_garbled(extracts(spark, folder)).select("page_id").distinct()
 
 
+def p5_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Damaged pages with their text put right as far as it can be recovered."""
+    return mojibake.restored(extracts(spark, folder))
+
+
 def extracts(spark: SparkSession, folder: str) -> DataFrame:
     """Fetched pages; failed ones hold no text."""
     return table(spark, folder, "url_extracts").where("success")
@@ -68,7 +73,7 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicate_groups(table(spark, folder, "notes"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_masked": p8_masked, "p1_groups": p1_groups}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_masked": p8_masked, "p1_groups": p1_groups}
 
 #: Units are split by putting spaces around Han characters and in place of everything that is neither letter nor digit.
 _UNITS = "list_filter(string_split(regexp_replace(regexp_replace(lower({0}), '([\\x{{4E00}}-\\x{{9FFF}}])', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda u: u <> '')"

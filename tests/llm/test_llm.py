@@ -129,6 +129,8 @@ def test_garbled_pages(spark, clash):
     got = {r.page_id for r in mojibake.find_garbled(df).collect()}
     assert got == {100, 101, 103}
     assert mojibake.find_garbled(df.limit(0)).count() == 0
+    put_right = {r.page_id: r.content for r in mojibake.restored(df).where("changed").collect()}
+    assert put_right == {100: clean[0], 101: clean[2]}
     assert mojibake.repaired(mojibake.garble(clean[0], "utf8>cp1252")) == clean[0] and mojibake.repaired(clean[1]) == clean[1]
 
 
