@@ -1,12 +1,14 @@
 """Groups of records that say nearly the same.
 
-Token-group matrix: similar records are partitioned into groups (overlapping ones, by bands of min-hashes of their element sets),
-each member row brings the bitmap of its tokens, the bound on the overlap of a query and a group follows from the bits of the query
-that the group's union lacks, and only what the bound lets through is opened, that is, compared exactly on whole element sets.
-Within a group the bound is taken against the unions of sub-groups first, then against single members.
+Token-group matrix: similar records are partitioned into groups (overlapping ones), each member row brings the bitmap of its tokens, the
+bound on the overlap of a query and a group follows from the bits of the query that the group's union lacks, and only what the bound lets
+through is opened, that is, compared exactly on whole element sets. Within a group the bound is taken against the unions of sub-groups
+first, then against single members.
 
-Equal records collapse to one class before anything else, so copies cost nothing however many there are. With 28 bands of 4 rows a
-pair of similarity 0.65 lies in a common group with probability 0.996, one of 0.7 with 0.9995; the bound loses nothing.
+Groups are the elements of a prefix filter: all sets are put in one order, rare elements first, and a set of n elements joins the groups of
+its first n - ceil(least * n) + 1. Two sets whose overlap reaches ``least`` share one of them, at places that leave enough of both behind,
+so no pair is lost, neither by the groups nor by the bounds. Equal records collapse to one class before anything else, so copies cost
+nothing however many there are.
 
 Null titles count as empty; null or blank contents and null ids take no part; repeated rows count once; texts without tokens are
 similar to nothing; other columns are ignored.
@@ -24,10 +26,15 @@ from pyspark.sql import functions as F
 from . import bags
 from .common import checkpointed, js_blank
 
-BANDS, ROWS = 28, 4
 #: Members of a sub-group, whose union is bounded before its members are.
 SUBGROUP = 64
-_SIZE_BITS = 12
+#: ``place`` holds the place of the group's element in the set (16 bits), the group (32), the side (1) and the set's size (15).
+_SIZE_BITS = 16
+_GROUP = np.uint64(0xFFFFFFFF)
+_BIG = (1 << (_SIZE_BITS - 1)) - 1
+#: Share of all sets from which on an element's frequency counts in the order; a set has few such elements, so their list is bounded.
+COMMON_SHARE = 1e-4
+_PAIR_COLUMNS = 2048
 #: Keys that are broadcast at most, eight bytes each; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -59,8 +66,8 @@ def band_rows(sets: DataFrame, bands: int, rows: int, side: int = 0) -> DataFram
                 continue
             keys = hasher.band_keys(read.flat, read.starts)
             bits = bags.bitmaps(read.flat, read.starts)
-            size = np.minimum(read.sizes(), (1 << (_SIZE_BITS - 1)) - 1).astype(np.uint64) | np.uint64(side << (_SIZE_BITS - 1))
-            place = ((keys >> np.uint64(_SIZE_BITS)) << np.uint64(_SIZE_BITS)) | size[:, None]
+            size = np.minimum(read.sizes(), _BIG).astype(np.uint64) | np.uint64(side << (_SIZE_BITS - 1))
+            place = ((keys >> np.uint64(32)) << np.uint64(_SIZE_BITS)) | size[:, None]
             again = lambda x: np.repeat(x, bands)
             words = [pa.array(again(bits[:, w]).view(np.int64)) for w in range(bits.shape[1])]
             yield pa.RecordBatch.from_arrays([pa.array(place.ravel().view(np.int64)), pa.array(again(batch.column(0).to_numpy())), *words], names=["place", "class_key", *(f"bits{w}" for w in range(len(words)))])
@@ -68,72 +75,145 @@ def band_rows(sets: DataFrame, bands: int, rows: int, side: int = 0) -> DataFram
     return sets.select("class_key", "elements").mapInArrow(spread, "place long, class_key long, " + ", ".join(f"bits{w} long" for w in range(bags.BITMAP_WORDS)))
 
 
-def _may_reach(size_a, bits_a, size_b, bits_b, least: float) -> np.ndarray:
-    """Exact bound: elements of one set whose bit the other lacks are in no intersection."""
-    lacking = np.bitwise_count(bits_a & ~bits_b).sum(axis=-1).astype(np.int64)
-    lacking_b = np.bitwise_count(bits_b & ~bits_a).sum(axis=-1).astype(np.int64)
-    big = (1 << (_SIZE_BITS - 1)) - 1
-    top = np.minimum(size_a - lacking, size_b - lacking_b)
-    return (top >= least / (1 + least) * (size_a + size_b) - 1e-9) | (size_a >= big) | (size_b >= big)
+def common_elements(sets: DataFrame, share: float = COMMON_SHARE) -> np.ndarray:
+    """Elements that more than ``share`` of all sets hold, the rarest first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(bags.Sets(batch.column(0)).flat, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n)], names=["element", "n"])
+
+    least = share * sets.count()
+    counted = sets.select("elements").mapInArrow(count, "element long, n long").groupBy("element").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    found = counted.toArrow()
+    element, n = (found.column(k).to_numpy() for k in (0, 1))
+    return element[np.lexsort((element, n))].astype(np.uint32)
+
+
+def prefix_rows(sets: DataFrame, least: float, common: np.ndarray, side: int = 0, salt: int = 0) -> DataFrame:
+    """(place, class_key, bits0, ...): one row per set and element of its prefix, in the order of ``common``; other elements come before them.
+
+    Both sides of a comparison need the same ``common`` and ``salt``.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(common)
+    salted = np.uint64(bags.mix(np.array([salt], np.uint64))[0] >> np.uint64(32))
+    first = np.uint64(1 << 32)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = sent.value.astype(np.uint64)
+        by_element = np.argsort(common)
+        ordered = common[by_element]
+        for batch in batches:
+            _, rows = np.unique(batch.column(0).to_numpy(), return_index=True)
+            batch = batch.take(pa.array(rows))
+            read = bags.Sets(batch.column(1))
+            if not len(read.flat):
+                continue
+            size = read.sizes()
+            flat = read.flat.astype(np.uint64)
+            rank = flat
+            if len(ordered):
+                at = np.minimum(np.searchsorted(ordered, flat), len(ordered) - 1)
+                rank = np.where(ordered[at] == flat, by_element[at].astype(np.uint64) + first, flat)
+            rank = np.sort((np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(34)) | rank)
+            place = np.arange(len(rank)) - np.repeat(read.starts[:-1], size)
+            length = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+            inside = place < np.repeat(np.minimum(length, size), size)
+            doc = (rank[inside] >> np.uint64(34)).astype(np.int64)
+            rank = rank[inside] & np.uint64((1 << 34) - 1)
+            element = rank.copy()
+            element[rank >= first] = common[(rank[rank >= first] - first).astype(np.int64)]
+            # sets too large for their size to be told are never bounded
+            place = np.where(size[doc] >= _BIG, 0, place[inside]).astype(np.uint64)
+            place = (place << np.uint64(48)) | ((element ^ salted) << np.uint64(_SIZE_BITS)) | np.uint64(side << (_SIZE_BITS - 1)) | np.minimum(size[doc], _BIG).astype(np.uint64)
+            bits = bags.bitmaps(read.flat, read.starts)[doc].view(np.int64)
+            words = [pa.array(np.ascontiguousarray(bits[:, w])) for w in range(bits.shape[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(batch.column(0).to_numpy()[doc]), *words], names=["place", "class_key", *(f"bits{w}" for w in range(len(words)))])
+
+    return sets.select("class_key", "elements").mapInArrow(spread, "place long, class_key long, " + ", ".join(f"bits{w} long" for w in range(bags.BITMAP_WORDS)))
 
 
 def qualifying(place: np.ndarray, key: np.ndarray, bits: np.ndarray, least: float, two_sided: bool) -> Iterator[np.ndarray]:
-    """Pairs of members of a common group that the bound lets through, in pieces of (n, 2) keys.
+    """Pairs of members of a common group that the bounds let through, in pieces of (n, 2) keys.
 
+    A pair needs ``least / (1 + least)`` of both sizes in common. The first common element must leave that many in both sets from its
+    place on, and the bits that both have, with the elements that share a bit, bound what is common. Both bounds are exact.
     Groups of up to ``SUBGROUP`` members are compared member by member, all groups of a partition at once, by distance in the
-    sorted order. In larger groups each member first meets the unions of sub-groups and only opens those that qualify.
+    sorted order. In larger groups blocks of members first meet the unions of sub-groups and only open those that qualify.
     """
-    group = place.view(np.uint64) >> np.uint64(_SIZE_BITS)
-    side = (place >> (_SIZE_BITS - 1)) & 1
-    size = (place & ((1 << (_SIZE_BITS - 1)) - 1)).astype(np.int64)
-    order = np.lexsort((key, side, group))
-    group, side, size, key, bits = group[order], side[order], size[order], key[order], bits[order]
+    word = place.view(np.uint64)
+    group = (word >> np.uint64(_SIZE_BITS)) & _GROUP
+    side = ((word >> np.uint64(_SIZE_BITS - 1)) & np.uint64(1)).astype(np.int8)
+    size = (word & np.uint64(_BIG)).astype(np.int64)
+    skipped = (word >> np.uint64(48)).astype(np.int64)
+    order = np.lexsort((skipped, key, side, group))
+    group, side, size, skipped, key, bits = group[order], side[order], size[order], skipped[order], key[order], bits[order]
     keep = np.ones(len(group), bool)
     keep[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1]) | (side[1:] != side[:-1])
-    start = np.flatnonzero(np.concatenate([[True], group[keep][1:] != group[keep][:-1]])) if keep.any() else np.empty(0, np.int64)
-    count = np.diff(np.append(start, keep.sum()))
-    group, side, size, key, bits = group[keep], side[keep], size[keep], key[keep], bits[keep]
+    group, side, size, skipped, key, bits = group[keep], side[keep], size[keep], skipped[keep], key[keep], bits[keep]
+    if not len(group):
+        return
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    count = np.diff(np.append(start, len(group)))
     members = np.repeat(count, count)
-    crowd = members > SUBGROUP
-    alone = members == 1
-
-    def pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        differ = (side[i] != side[j]) if two_sided else (key[i] != key[j])
-        i, j = i[differ], j[differ]
-        good = _may_reach(size[i], bits[i], size[j], bits[j], least)
-        return np.stack([key[i[good]], key[j[good]]], axis=1)
-
-    small = np.flatnonzero(~crowd & ~alone)
+    part = least / (1 + least)
+    big = size >= _BIG
+    ones = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+    # part of the size; what is left for the other's part from the element on; common bits needed besides the other's part
+    share = (part * size).astype(np.float32)
+    room = (size - skipped - part * size + 0.01).astype(np.float32)
+    need = (part * size - (size - ones) - 0.01).astype(np.float32)
+
+    small = np.flatnonzero((members > 1) & (members <= SUBGROUP))
     for step in range(1, SUBGROUP):
         i = small[: len(small) - step] if step < len(small) else small[:0]
         j = small[step:] if step < len(small) else small[:0]
         same = group[i] == group[j]
         if not same.any():
             break
-        yield pairs(i[same], j[same])
+        i, j = i[same], j[same]
+        good = (((room[i] >= share[j]) & (room[j] >= share[i])) | big[i] | big[j]) & ((side[i] != side[j]) if two_sided else (key[i] != key[j]))
+        i, j = i[good], j[good]
+        common = np.bitwise_count(bits[i] & bits[j]).sum(axis=1)
+        good = (common >= np.maximum(need[i] + share[j], need[j] + share[i])) | big[i] | big[j]
+        yield np.stack([key[i[good]], key[j[good]]], axis=1)
     for g in np.flatnonzero(count > SUBGROUP):
         at = np.arange(start[g], start[g] + count[g])
-        if two_sided:
-            queries, others = at[side[at] == 0], at[side[at] == 1]
-        else:
-            queries = others = at
+        queries, others = (at[side[at] == 0], at[side[at] == 1]) if two_sided else (at, at)
         if not len(queries) or not len(others):
             continue
         queries, others = (x[np.lexsort((bits[x, 0], size[x]))] for x in (queries, others))
         edges = np.arange(0, len(others), SUBGROUP)
         union = np.bitwise_or.reduceat(bits[others], edges, axis=0)
-        low = size[others[edges]]  # sorted by size: the first is the smallest
+        low = share[others[edges]]  # sorted by size: the first is the smallest
+        sizes = size[others]
+        columns = np.ascontiguousarray(bits[others].T)
         for k in range(0, len(queries), SUBGROUP):
-            block = queries[k : k + SUBGROUP]
-            # a set of the sub-group is at least as large as its smallest and shares at most what the union covers
-            lacking = np.bitwise_count(bits[block][:, None, :] & ~union[None, :, :]).sum(axis=2).astype(np.int64)
-            opened = (size[block][:, None] - lacking >= least / (1 + least) * (size[block][:, None] + low[None, :]) - 1e-9) | (size[block][:, None] >= (1 << (_SIZE_BITS - 1)) - 1)
+            q = queries[k : k + SUBGROUP]
+            # sizes differ by the factor of the overlap at most
+            left = int(np.searchsorted(sizes, least * size[q[0]] - 0.01))
+            right = int(np.searchsorted(sizes, size[q[-1]] / least + 0.01, "right"))
             if not two_sided:
-                opened[:, edges + SUBGROUP <= k] = False  # each pair of sub-groups once
-            i, o = np.nonzero(opened)
-            members = np.minimum(edges[o][:, None] + np.arange(SUBGROUP)[None, :], len(others) - 1).ravel()
-            left = np.repeat(block[i], SUBGROUP)
-            yield pairs(left, others[members])
+                left = max(left, k)  # each pair once
+            if left >= right:
+                continue
+            # a set of the sub-group is at least as large as its smallest and shares at most what the union covers
+            covered = np.bitwise_count(bits[q][:, None, :] & union[None, :, :]).sum(axis=2)
+            opened = ((covered >= need[q][:, None] + low[None, :]) | big[q][:, None]).any(axis=0)
+            reached = left + np.flatnonzero(opened[np.arange(left, right) // SUBGROUP])
+            for c in range(0, len(reached), _PAIR_COLUMNS):
+                at = reached[c : c + _PAIR_COLUMNS]
+                o = others[at]
+                good = (room[q][:, None] >= share[o][None, :]) & (room[o][None, :] >= share[q][:, None])
+                common = np.zeros(good.shape, np.uint16)
+                for w in range(len(columns)):
+                    common += np.bitwise_count(bits[q, w][:, None] & columns[w, at][None, :])
+                good &= (common >= need[q][:, None] + share[o][None, :]) & (common >= need[o][None, :] + share[q][:, None])
+                good |= big[q][:, None] | big[o][None, :]
+                if not two_sided:
+                    good &= at[None, :] > np.arange(k, k + len(q))[:, None]
+                i, j = np.nonzero(good)
+                yield np.stack([key[q[i]], key[o[j]]], axis=1)
 
 
 def candidate_pairs(rows: DataFrame, least: float, two_sided: bool = False) -> DataFrame:
@@ -159,7 +239,7 @@ def candidate_pairs(rows: DataFrame, least: float, two_sided: bool = False) -> D
         if total:
             yield _unique(held)
 
-    spread = rows.repartition(F.expr(f"shiftrightunsigned(place, {_SIZE_BITS})"))
+    spread = rows.repartition(F.expr(f"shiftrightunsigned(place, {_SIZE_BITS}) & {_GROUP}"))
     return spread.mapInArrow(match, schema).distinct()
 
 
@@ -199,34 +279,34 @@ def classes(sets: DataFrame) -> DataFrame:
     return sets.groupBy("class_key").agg(F.any_value("elements").alias("elements"))
 
 
-def class_links(sets: DataFrame, least: float = 0.6, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def class_links(sets: DataFrame, least: float = 0.6) -> DataFrame:
     """(a, b, overlap): links between different classes, each once."""
-    return compared(candidate_pairs(band_rows(sets, bands, rows), least), sets, sets, least)
+    return compared(candidate_pairs(prefix_rows(sets, least, common_elements(sets)), least), sets, sets, least)
 
 
 def note_text() -> Column:
     return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("content"))
 
 
-def near_duplicate_pairs(notes: DataFrame, least: float = 0.6, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicate_pairs(notes: DataFrame, least: float = 0.6) -> DataFrame:
     """(id_a, id_b): all pairs of records with different ids whose overlap is at least ``least``, copies included."""
     sets = checkpointed(text_sets(notes.where(~js_blank(F.col("content"))), "id", note_text()))
     members = sets.select("id", "class_key").distinct()
-    links = class_links(sets, least, bands, rows)
+    links = class_links(sets, least)
     first, second = (members.select(F.col("class_key").alias(k), F.col("id").alias(f"id_{k}")) for k in "ab")
     across = links.select("a", "b").join(first, "a").join(second, "b").select("id_a", "id_b")
     inside = first.join(second, F.col("a") == F.col("b")).where("id_a < id_b").select("id_a", "id_b")
     return across.unionByName(inside).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
-def near_duplicate_groups(notes: DataFrame, least: float = 0.6, bands: int = BANDS, rows: int = ROWS, rounds: int = 30) -> DataFrame:
+def near_duplicate_groups(notes: DataFrame, least: float = 0.6, rounds: int = 30) -> DataFrame:
     """(id, class_key, group_key, links): every record with its class of equal texts, its group of linked classes, and its class' links.
 
     Groups are connected components by smallest key, in alternating star steps over the links of classes; every step is a shuffle
     of links, cut by a checkpoint, and the loop ends when nothing changes.
     """
     sets = checkpointed(text_sets(notes.where(~js_blank(F.col("content"))), "id", note_text()))
-    links = checkpointed(class_links(sets, least, bands, rows).select("a", "b"))
+    links = checkpointed(class_links(sets, least).select("a", "b"))
     labels = components(links, rounds)
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").count()
     return (

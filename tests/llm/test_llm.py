@@ -69,6 +69,20 @@ def test_near_duplicates_against_brute_force(spark, clash):
     assert near_dups.near_duplicate_pairs(df.limit(0)).count() == 0
 
 
+def test_no_pair_is_lost(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(150):  # pairs with 46 to 48 of 61 to 62 words in common: overlaps just above 0.6
+        words = rng.sample(WORDS, 80)
+        n = 46 + k % 3
+        rows += [(f"x{k:03d}", "", " ".join(words[:61])), (f"y{k:03d}", "", " ".join(words[:n] + words[61 : 61 + 61 - n]))]
+    texts = {i: set(c.split()) for i, _, c in rows}
+    keys = sorted(texts)
+    true = {(a, b) for x, a in enumerate(keys) for b in keys[x + 1 :] if len(texts[a] & texts[b]) / len(texts[a] | texts[b]) >= 0.6}
+    got = [(r.id_a, r.id_b) for r in near_dups.near_duplicate_pairs(spark.createDataFrame(rows, "id string, title string, content string")).collect()]
+    assert len(true) >= 150 and set(got) == true and len(got) == len(true)
+
+
 def test_bound_is_exact_in_large_groups():
     rng = np.random.default_rng(0)
     n = 300
