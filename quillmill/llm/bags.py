@@ -1,4 +1,4 @@
-"""Bags of tokens as sorted element arrays, with min-hash bands and token-union bitmaps.
+"""Bags of tokens as sorted element arrays, with token-union bitmaps.
 
 The n-th occurrence of a token in a text is an element of its own, so that the sum of smaller counts over the sum of larger
 counts of two texts is the Jaccard similarity of their element sets. Elements are 32-bit hashes; two different elements of one
@@ -107,36 +107,6 @@ class Sets:
         return np.diff(self.starts)
 
 
-class MinHash:
-    """``bands`` keys of ``rows`` minima each."""
-
-    def __init__(self, bands: int, rows: int, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.bands, self.rows = bands, rows
-        self.a = rng.integers(1, 2**32, bands * rows, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-        self.b = rng.integers(0, 2**32, bands * rows, dtype=np.uint64).astype(np.uint32)
-
-    def band_keys(self, flat: np.ndarray, starts: np.ndarray, chunk: int = 40_000) -> np.ndarray:
-        """(sets, bands) keys; empty sets must be taken out before."""
-        n = len(starts) - 1
-        out = np.empty((n, self.bands), np.uint64)
-        unique, inverse = np.unique(flat, return_inverse=True)
-        table = unique[:, None] * self.a[None, :] + self.b[None, :]  # mod 2^32
-        table ^= table >> np.uint32(15)
-        table *= np.uint32(0x2C1B3C6D)
-        at = 0
-        while at < n:
-            end = max(at + 1, int(np.searchsorted(starts, starts[at] + chunk, "right")) - 1)
-            minima = np.minimum.reduceat(table[inverse[starts[at] : starts[end]]], starts[at:end] - starts[at], axis=0).astype(np.uint64)
-            minima = minima.reshape(end - at, self.bands, self.rows)
-            key = np.broadcast_to(np.arange(self.bands, dtype=np.uint64) * GOLDEN, (end - at, self.bands))
-            for r in range(self.rows):
-                key = mix(key + minima[:, :, r] + np.uint64(r + 1))
-            out[at:end] = key
-            at = end
-        return out
-
-
 def bitmaps(flat: np.ndarray, starts: np.ndarray, words: int = BITMAP_WORDS) -> np.ndarray:
     """(sets, words) union bitmaps of the elements: one bit an element, by hash."""
     place = mix(flat.astype(np.uint64) * GOLDEN) % np.uint64(64 * words)

@@ -1,10 +1,11 @@
 """New batches against all history.
 
-The history is kept as shards of an index: one row per accepted entry and band of its min-hashes, with the bitmap of its tokens,
-and the elements of every entry. A batch is split into the same bands and meets only the groups that it
-shares with the shards; the token-union bound of ``near_dups`` drops what can't reach the overlap, and what is left is compared
-exactly. The history's texts and tokens are never read again: a batch costs its own size and its hits. Each accepted batch becomes a
-shard of its own (``append``); ``compacted`` merges shards and drops entries that are no longer in force.
+The history is kept as shards of an index: one row per accepted entry and element of its prefix (see ``near_dups``), with the bitmap of
+its tokens, the elements of every entry, and the order of common elements by which the shard's prefixes were taken. A batch's prefixes
+are taken in the order of each shard and meet only the groups that it shares with it; the bounds of ``near_dups`` drop what can't reach
+the overlap, and what is left is compared exactly, so no entry is lost. The history's texts and tokens are never read again. Each
+accepted batch becomes a shard of its own (``build`` with the next number, then ``write``, which appends); ``compacted`` merges shards
+and drops entries that are no longer in force. ``known_already`` has one table of history and one of notes: one shard, one batch.
 
 Null or blank contents and null ids or paths take no part; repeated rows count once; of a path only the row with the greatest mtime
 is in force (of equal ones the one with the greater key); entries without counted tokens are similar to nothing.
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from . import bags, near_dups
 from .common import HAN, checkpointed, js_blank
 
-BANDS, ROWS = 28, 3
+#: Least overlap that a shard's prefixes are made for.
+LEAST = 0.5
 _RUN = re.compile(rf"[a-z0-9_{HAN}]+")
 _HAN = re.compile(f"[{HAN}]")
 
@@ -78,41 +80,48 @@ def entry_sets(features: DataFrame) -> DataFrame:
 
 
 class Shards:
-    """The index: (path, class_key, shard) members, (class_key, elements) classes, and band rows."""
+    """The index: (path, class_key, shard) members, (class_key, elements) entries, prefix rows, and (element, rank) of common elements."""
 
-    def __init__(self, members: DataFrame, entries: DataFrame, bands: DataFrame):
-        self.members, self.entries, self.bands = members, entries, bands
+    TABLES = ("members", "entries", "prefixes", "common")
+
+    def __init__(self, members: DataFrame, entries: DataFrame, prefixes: DataFrame, common: DataFrame):
+        self.members, self.entries, self.prefixes, self.common = members, entries, prefixes, common
 
     @classmethod
-    def build(cls, sets: DataFrame, shard: int = 0, bands: int = BANDS, rows: int = ROWS) -> Shards:
+    def build(cls, sets: DataFrame, shard: int = 0) -> Shards:
         """A shard over (path, class_key, elements)."""
+        number = F.lit(shard).alias("shard")
         entries = sets.select("class_key", "elements")
-        return cls(sets.select("path", "class_key", F.lit(shard).alias("shard")), entries.withColumn("shard", F.lit(shard)), near_dups.band_rows(entries, bands, rows, side=1).withColumn("shard", F.lit(shard)))
+        common = near_dups.common_elements(entries)
+        ranks = sets.sparkSession.createDataFrame(pa.table({"element": common.astype(np.int64), "rank": np.arange(len(common))}))
+        return cls(sets.select("path", "class_key", number), entries.select("*", number), near_dups.prefix_rows(entries, LEAST, common, side=1, salt=shard).select("*", number), ranks.select("*", number))
 
     def write(self, folder: str) -> None:
         """Append these shards to a folder of Parquet tables; shards already there stay as they are."""
-        for name in ("members", "entries", "bands"):
+        for name in self.TABLES:
             getattr(self, name).write.mode("append").partitionBy("shard").parquet(f"{folder}/{name}")
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Shards:
-        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in ("members", "entries", "bands")))
+        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in cls.TABLES))
 
     def union(self, other: Shards) -> Shards:
-        return Shards(self.members.unionByName(other.members), self.entries.unionByName(other.entries), self.bands.unionByName(other.bands))
+        return Shards(*(getattr(self, name).unionByName(getattr(other, name)) for name in self.TABLES))
 
     def compacted(self, shard: int) -> Shards:
-        """All shards as one: of a path that several shards hold, the latest shard's entry stays."""
+        """All shards as one, in an order of its own: of a path that several shards hold, the latest shard's entry stays."""
         last = self.members.groupBy("path").agg(F.max_by("class_key", "shard").alias("class_key"))
-        keys = last.select("class_key").distinct()
-        entries = self.entries.join(keys, "class_key", "left_semi").groupBy("class_key").agg(F.any_value("elements").alias("elements"))
-        bands = self.bands.drop("shard").join(keys, "class_key", "left_semi").distinct()
-        return Shards(last.withColumn("shard", F.lit(shard)), entries.withColumn("shard", F.lit(shard)), bands.withColumn("shard", F.lit(shard)))
+        return Shards.build(checkpointed(last.join(near_dups.classes(self.entries), "class_key").select("path", "class_key", "elements")), shard)
 
 
-def probe(batch: DataFrame, shards: Shards, least: float = 0.5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def probe(batch: DataFrame, shards: Shards, least: float = LEAST) -> DataFrame:
     """(id, path, overlap): entries of the shards whose overlap with a row of (id, class_key, elements) is at least ``least``."""
-    spread = near_dups.band_rows(batch, bands, rows).unionByName(shards.bands.drop("shard"))
+    if least < LEAST:
+        raise ValueError(f"the shards hold prefixes for overlaps from {LEAST} on")
+    spread = shards.prefixes.drop("shard")
+    for shard in sorted(r.shard for r in shards.members.select("shard").distinct().collect()):
+        ranks = shards.common.where(F.col("shard") == shard).select("element", "rank").toArrow().sort_by("rank")
+        spread = spread.unionByName(near_dups.prefix_rows(batch, LEAST, ranks.column("element").to_numpy().astype(np.uint32), salt=shard))
     pairs = near_dups.candidate_pairs(spread, least, two_sided=True)
     links = near_dups.compared(pairs, batch, shards.entries.select("class_key", "elements"), least)
     ids = batch.select("id", F.col("class_key").alias("a")).distinct()
@@ -124,7 +133,7 @@ def batch_sets(notes: DataFrame, ident: str = "id", content: str = "content") ->
     return near_dups.text_sets(notes.where(~js_blank(F.col(content))), ident, F.col(content), content_tokens)
 
 
-def known_already(notes: DataFrame, features: DataFrame, least: float = 0.5) -> DataFrame:
+def known_already(notes: DataFrame, features: DataFrame, least: float = LEAST) -> DataFrame:
     """(id, path, overlap) of all notes against the entries in force."""
     shards = Shards.build(checkpointed(entry_sets(features)))
     return probe(checkpointed(batch_sets(notes)), shards, least)

@@ -53,28 +53,6 @@ def text_sets(rows: DataFrame, ident: str, text: Column, tokens=bags.word_tokens
     return source.mapInArrow(split, f"id {kind}, class_key long, elements binary")
 
 
-def band_rows(sets: DataFrame, bands: int, rows: int, side: int = 0) -> DataFrame:
-    """(place, class_key, bits0, ...): one row per set and band. ``place`` holds the group (upper bits), the side, and the set's size."""
-    hasher = bags.MinHash(bands, rows)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-            batch = batch.take(pa.array(first))
-            read = bags.Sets(batch.column(1))
-            if not len(read.flat):
-                continue
-            keys = hasher.band_keys(read.flat, read.starts)
-            bits = bags.bitmaps(read.flat, read.starts)
-            size = np.minimum(read.sizes(), _BIG).astype(np.uint64) | np.uint64(side << (_SIZE_BITS - 1))
-            place = ((keys >> np.uint64(32)) << np.uint64(_SIZE_BITS)) | size[:, None]
-            again = lambda x: np.repeat(x, bands)
-            words = [pa.array(again(bits[:, w]).view(np.int64)) for w in range(bits.shape[1])]
-            yield pa.RecordBatch.from_arrays([pa.array(place.ravel().view(np.int64)), pa.array(again(batch.column(0).to_numpy())), *words], names=["place", "class_key", *(f"bits{w}" for w in range(len(words)))])
-
-    return sets.select("class_key", "elements").mapInArrow(spread, "place long, class_key long, " + ", ".join(f"bits{w} long" for w in range(bags.BITMAP_WORDS)))
-
-
 def common_elements(sets: DataFrame, share: float = COMMON_SHARE) -> np.ndarray:
     """Elements that more than ``share`` of all sets hold, the rarest first."""
 

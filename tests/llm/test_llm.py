@@ -124,6 +124,24 @@ def test_history(spark, tmp_path):
     assert again == packed == got
 
 
+def test_no_entry_of_the_history_is_lost(spark):
+    rng = random.Random(6)
+    notes, features, true = [], [], set()
+    for k in range(300):  # 34 or 35 of 50 words in common: overlaps of 0.515 and 0.538
+        words = rng.sample(WORDS, 80)
+        n = 34 + k % 2
+        notes.append((f"n{k}", " ".join(words[:50])))
+        features.append((f"f{k}", k, [(w, 1) for w in words[:n] + words[50 : 100 - n]]))
+    for i, c in notes:
+        for p, _, t in features:
+            both = len(set(c.split()) & {w for w, _ in t})
+            if both >= 0.5 * (100 - both):
+                true.add((i, p))
+    n = spark.createDataFrame(notes, "id string, content string")
+    f = spark.createDataFrame(features, "path string, mtime long, tokens array<struct<token:string,cnt:int>>")
+    assert len(true) >= 300 and {(r.id, r.path) for r in history.known_already(n, f).collect()} == true
+
+
 def test_content_tokens():
     assert history.content_tokens("abc abcd 中文字符 ab中 a中b_cd") == ["abcd", "中文字", "文字符", "ab中", "a中b", "中b_"]
 
