@@ -5,8 +5,9 @@ Bootstrapped contextual extraction. A first pass over all texts collects candida
 unknown parts and for values whose form allows several kinds; Spark scores this graph of patterns and instances for some rounds.
 A second pass finds all occurrences with the lexicon and the patterns learned.
 
-What reaches every worker is bounded: a pattern or part is kept only with a stated share of all candidate occurrences behind it
-(``pattern_share``, ``part_share``), so there are at most 1/share of them, whatever the size of the corpus.
+A pattern or part is kept with a fixed number of occurrences behind it (``least_value``, ``least_pattern_n``, ``least_part``,
+``least_han``), whatever the size of the corpus, so that no document loses a value because others were added. What is learned is
+collected and sent to every worker; it grows with the different contexts and name parts of the corpus and is not bounded.
 
 Null and empty texts hold nothing, rows with a null id are kept out, repeated rows count once, other columns are ignored. Positions
 are 1-based code points of the text as given.
@@ -244,8 +245,8 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def learn(documents: DataFrame, parts: DataFrame, text: str = "text", rounds: int = 3, pattern_share: float = 2e-4, part_share: float = 2e-5, least_pattern: float = 0.4) -> dict:
-    """Patterns and name parts from the graph of contexts and candidates; every table that is collected is bounded by the shares."""
+def learn(documents: DataFrame, parts: DataFrame, text: str = "text", rounds: int = 3, least_value: int = 2, least_pattern_n: int = 3, least_part: int = 1, least_han: int = 3, least_pattern: float = 0.4) -> dict:
+    """Patterns and name parts from the graph of contexts and candidates; all support is counted in occurrences, not in shares."""
     spark = documents.sparkSession
     known = parts.select(F.lower(F.trim("name_part")).alias("part"), F.lower(F.trim("name_kind")).alias("kind")).where("part is not null and part <> '' and kind in ('given', 'family')").distinct()
     seeds = {(r.part, r.kind) for r in known.collect()}  # a fixed list of known parts, some hundreds
@@ -277,20 +278,16 @@ def learn(documents: DataFrame, parts: DataFrame, text: str = "text", rounds: in
 
     found = documents.select(F.col(text).alias("body")).where("body is not null").mapInArrow(collect, "what string, a string, b string, left string, right string, n long")
     found = checkpointed(found.groupBy("what", "a", "b", "left", "right").agg(F.sum("n").alias("n")))
-    totals = {r.what: r.n for r in found.groupBy("what").agg(F.sum("n").alias("n")).collect()}
 
     # values of ambiguous form: which kind do their contexts belong to?
     values = found.where("what = 'value'").groupBy(F.col("left").alias("pattern")).agg(
         F.sum(F.when((F.col("a") == "id_number"), F.col("n")).otherwise(0)).alias("ids"), F.sum(F.when(F.col("a") == "phone", F.col("n")).otherwise(0)).alias("phones"), F.sum("n").alias("n"))
-    least = max(2, int(pattern_share * totals.get("value", 0)))
-    contexts = {r.pattern: "id_number" if r.ids > 4 * r.phones else "phone" for r in values.where((F.col("n") >= least) & ((F.col("ids") > 4 * F.col("phones")) | (F.col("phones") > 4 * F.col("ids")))).collect()}
+    contexts = {r.pattern: "id_number" if r.ids > 4 * r.phones else "phone" for r in values.where((F.col("n") >= least_value) & ((F.col("ids") > 4 * F.col("phones")) | (F.col("phones") > 4 * F.col("ids")))).collect()}
 
     # Latin names: each round scores the contexts by the parts known so far, then the parts by the contexts
     names = found.where("what = 'name'").select("a", "b", "left", "right", "n")
-    total = totals.get("name", 0)
     given = {p: 1.0 for p, k in seeds if k == "given"}
     family = {p: 1.0 for p, k in seeds if k == "family"}
-    least_n, least_part = max(3, int(pattern_share * total)), max(1, int(part_share * total))
     patterns: dict[str, float] = {}
     context = spark.sparkContext
     for _ in range(rounds):
@@ -313,7 +310,7 @@ def learn(documents: DataFrame, parts: DataFrame, text: str = "text", rounds: in
                     yield _batch([(k, *v) for k, v in sums.items()], ["pattern", "n", "positive", "kinds"], [pa.string(), pa.int64(), pa.float64(), pa.int64()])
 
         scored = names.mapInArrow(score_patterns, "pattern string, n long, positive double, kinds long").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"), F.sum("kinds").alias("kinds"))
-        kept = scored.where((F.col("n") >= least_n) & (F.col("kinds") >= 3) & (F.col("positive") >= least_pattern * F.col("n")))
+        kept = scored.where((F.col("n") >= least_pattern_n) & (F.col("kinds") >= 3) & (F.col("positive") >= least_pattern * F.col("n")))
         patterns = {r.pattern: r.positive / r.n * (1.0 if SPEAKING.match(r.pattern) else GENERIC_WEIGHT) for r in kept.collect()}
         sent = context.broadcast((given, family, patterns))
 
@@ -337,16 +334,14 @@ def learn(documents: DataFrame, parts: DataFrame, text: str = "text", rounds: in
             known_parts = given if r.kind == "given" else family
             known_parts[r.part] = max(known_parts.get(r.part, 0.0), min(0.95, r.votes / r.n))
     # Han names: a context is one of names if several surnames stand in it, none of which makes up most of it
-    least_h = max(3, int(pattern_share * totals.get("han", 0)))
-
     han = found.where("what = 'han'")
 
     def contexts_of(*by: str) -> DataFrame:
         each = han.groupBy(*by, "a").agg(F.sum("n").alias("n"))
-        return each.groupBy(*by).agg(F.count("*").alias("surnames"), F.sum("n").alias("n"), F.max("n").alias("most")).where((F.col("surnames") >= 3) & (F.col("most") <= 0.6 * F.col("n")) & (F.col("n") >= least_h))
+        return each.groupBy(*by).agg(F.count("*").alias("surnames"), F.sum("n").alias("n"), F.max("n").alias("most")).where((F.col("surnames") >= 3) & (F.col("most") <= 0.6 * F.col("n")) & (F.col("n") >= least_han))
 
     pairs = contexts_of("left", "right").where("left <> '' and right <> ''").select("left", "right", "n")
-    strong = pairs.where((F.col("n") >= 2 * least_h) & F.col("right").rlike("[一-鿿：，、/）]")).select("left", "right")
+    strong = pairs.where((F.col("n") >= 2 * least_han) & F.col("right").rlike("[一-鿿：，、/）]")).select("left", "right")
     inside = found.where("what in ('han', 'han?')").join(strong, ["left", "right"])
     fresh = inside.where("what = 'han?'").groupBy("a").agg(F.count_distinct("left", "right").alias("contexts"), F.count_distinct("b").alias("given")).where("contexts >= 2 and given >= 3")
     chars = inside.where("what = 'han'").select(F.explode(F.split("b", "")).alias("c"), "a").where("c <> ''").groupBy("c").agg(F.count_distinct("a").alias("n")).where("n >= 3")

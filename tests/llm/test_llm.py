@@ -283,6 +283,16 @@ def test_names_are_learned(spark, clash):
     assert pii.find_personal(df.limit(0), parts).count() == 0 and pii.find_personal(df, parts.limit(0)).where("kind = 'phone'").count() == 80
 
 
+def test_names_stay_known_in_a_larger_corpus(spark):
+    given, family = ["Ada", "Bruno", "Clara", "Dario"], ["Harlow", "Ibsen", "Jarvis", "Keller"]
+    parts = spark.createDataFrame([(g, "given", "en") for g in given] + [(f, "family", "en") for f in family], "name_part string, name_kind string, lang string")
+    few = [(k, f"Thanks to {given[k % 4]} {family[k // 2 % 4]} for the proofreading.") for k in range(6)] + [(9, "Thanks to Zelda Quigley for the proofreading.")]
+    more = [(100 + k, " ".join(f"Yesterday {given[n % 4]} {family[n // 4 % 4]} arrived." for n in range(1000))) for k in range(40)]
+    find = lambda docs: {(r.doc_id, r.kind, r.start_pos) for r in pii.find_personal(spark.createDataFrame(docs, "doc_id long, text string"), parts).collect() if r.doc_id < 100}
+    small = find(few)
+    assert (9, "person", 11) in small and find(few + more) == small
+
+
 def test_extra_columns(spark, clash):
     df = clash(spark.createDataFrame([(1, "t")], "doc_id long, text string"))
     assert df.select(F.count("*")).first()[0] == 1
