@@ -277,7 +277,7 @@ def near_duplicate_pairs(notes: DataFrame, least: float = 0.6) -> DataFrame:
     return across.unionByName(inside).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
-def near_duplicate_groups(notes: DataFrame, least: float = 0.6, rounds: int = 30) -> DataFrame:
+def near_duplicate_groups(notes: DataFrame, least: float = 0.6) -> DataFrame:
     """(id, class_key, group_key, links): every record with its class of equal texts, its group of linked classes, and its class' links.
 
     Groups are connected components by smallest key, in alternating star steps over the links of classes; every step is a shuffle
@@ -285,7 +285,7 @@ def near_duplicate_groups(notes: DataFrame, least: float = 0.6, rounds: int = 30
     """
     sets = checkpointed(text_sets(notes.where(~js_blank(F.col("content"))), "id", note_text()))
     links = checkpointed(class_links(sets, least).select("a", "b"))
-    labels = components(links, rounds)
+    labels = components(links)
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").count()
     return (
         sets.select("id", "class_key").distinct()
@@ -295,10 +295,10 @@ def near_duplicate_groups(notes: DataFrame, least: float = 0.6, rounds: int = 30
     )
 
 
-def components(links: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, label): the smallest key of each node's component."""
+def components(links: DataFrame) -> DataFrame:
+    """(node, label): the smallest key of each node's component; the loop ends when nothing changes."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

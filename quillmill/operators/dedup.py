@@ -72,24 +72,27 @@ def batch_pairs(rows: DataFrame, key: str, text: str, order: str, group: tuple[s
     return scored.where(F.col("similarity") > threshold).select(*group, "later", "earlier", "similarity")
 
 
-def greedy_kept(pairs: DataFrame, group: tuple[str, ...] = (), order: DataFrame | None = None, rounds: int = 50) -> DataFrame:
+def greedy_kept(pairs: DataFrame, group: tuple[str, ...] = (), order: DataFrame | None = None) -> DataFrame:
     """(group, later, earlier): each dropped row with the first kept row that it repeats.
 
     Sequentially, a row is dropped if it repeats an earlier kept row. In rounds: rows without undecided earlier neighbours are kept
     unless a kept one stands before them, so each round settles at least the first undecided row of every chain; the loop ends when
-    none is left. ``pairs`` must order rows by their keys.
+    none is left, after as many rounds as the longest chain has rows. ``pairs`` must order rows by their keys; an order that runs in
+    a circle settles nothing and raises an error.
     """
     edges = checkpointed(pairs.select(*group, "later", "earlier"))
     nodes = edges.select(*group, F.col("later").alias("node")).unionByName(edges.select(*group, F.col("earlier").alias("node"))).distinct()
     state = nodes.withColumn("kept", F.lit(None).cast("boolean"))
-    for _ in range(rounds):
+    left = None
+    while left != 0:
         before = edges.join(state.select(*group, F.col("node").alias("earlier"), F.col("kept").alias("k")), [*group, "earlier"])
         found = before.groupBy(*group, F.col("later").alias("node")).agg(F.max(F.coalesce("k", F.lit(False))).alias("any_kept"), F.max(F.col("k").isNull()).alias("open"))
         state = checkpointed(
             state.join(found, [*group, "node"], "left").select(*group, "node", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("any_kept", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True).alias("kept"))
         )
-        if not state.where("kept is null").head(1):
-            break
+        last, left = left, state.where("kept is null").count()
+        if left and left == last:
+            raise ValueError("rows repeat each other in a circle: pairs must be ordered")
     dropped = state.where("not kept").select(*group, F.col("node").alias("later"))
     kept = state.where("kept").select(*group, F.col("node").alias("earlier"))
     return edges.join(dropped, [*group, "later"]).join(kept, [*group, "earlier"]).groupBy(*group, "later").agg(F.min("earlier").alias("earlier"))

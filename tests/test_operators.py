@@ -94,6 +94,13 @@ def test_nearest(spark):
     assert dense.nearest(rows.limit(0), rows, "id", "v", 0.8).count() == 0
 
 
+def test_greedy_settles_long_chains(spark):
+    edges = spark.createDataFrame([(k + 1, k) for k in range(54)], "later int, earlier int").coalesce(1)
+    assert {(r.later, r.earlier) for r in dedup.greedy_kept(edges).collect()} == {(k, k - 1) for k in range(1, 55, 2)}
+    with pytest.raises(ValueError):
+        dedup.greedy_kept(spark.createDataFrame([(1, 2), (2, 1)], "later int, earlier int"))
+
+
 def test_related_and_diverse(spark):
     index = spark.createDataFrame([("a", ["x", "y", "z"]), ("b", ["x", "y", "w"]), ("c", ["q"]), ("d", [])], "k string, kw array<string>")
     got = {(r.query, r.other): r.similarity for r in related.keyword_jaccard(index, index, "k", "kw").collect()}
