@@ -227,9 +227,9 @@ def related_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("related_diverse")
 def related_diverse(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    found = related.related(docs.where("doc_id % 100 = 0"), docs, "doc_id", "text", top=100)
-    return related.diverse(found, docs.select("doc_id", tokens.keyword_set(F.col("text")).alias("keywords")), "doc_id")
+    """All documents compete, as far from the query as they may be."""
+    docs = table(spark, folder, "documents").select("doc_id", tokens.keyword_set(F.col("text")).alias("keywords"))
+    return related.diverse_of_all(docs.where("doc_id % 100 = 0"), docs, "doc_id", "keywords")
 
 
 # ---- claims and notes ---------------------------------------------------------------------------------------------------------

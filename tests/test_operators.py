@@ -236,3 +236,22 @@ def test_vectors(spark):
     import math
 
     assert {r.token: round(r.idf, 9) for r in found} == {t: round(math.log(4 / (df + 1)) + 1, 9) for t, df in (("alpha", 3), ("beta", 2), ("gamma", 1))}
+
+
+def test_all_documents_compete_for_diversity(spark):
+    from quillmill.functions import tokens
+    from quillmill.plans import catalogue
+
+    folder = "/root/testdata/sf0.001"
+    docs = catalogue.table(spark, folder, "documents").select("doc_id", tokens.keyword_set(F.col("text")).alias("k"))
+    sets = {r.doc_id: set(r.k or []) for r in docs.collect()}
+    alike = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+    expected = []
+    for q in (d for d in sets if d % 100 == 0):
+        left, taken = sorted(set(sets) - {q}), []
+        while left and len(taken) < 10:
+            taken.append(max(left, key=lambda c: (0.6 * alike(q, c) - (1 - 0.6) * max((alike(c, t) for t in taken), default=0.0), -c)))
+            left.remove(taken[-1])
+            expected.append((q, len(taken), taken[-1], round(alike(q, taken[-1]), 9)))
+    got = [(r.query, r["rank"], r.other, round(r.similarity, 9)) for r in catalogue.QUERIES["related_diverse"](spark, folder).collect()]
+    assert expected and sorted(got) == sorted(expected)
