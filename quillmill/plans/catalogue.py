@@ -337,6 +337,12 @@ def truncated_texts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.md5(text.truncated(F.col("text"), 500)).alias("head"))
 
 
+@query("truncated_all")
+def truncated_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The beginning of every document by code units; characters beyond the basic plane count as two."""
+    return table(spark, folder, "documents").select("doc_id", F.md5(text.truncated(F.col("text"), 500)).alias("head"))
+
+
 _STEM = rf"substr({oracle.trim('regexp_replace(coalesce(title, ' + chr(39) * 2 + '), ' + oracle.quoted('[' + chr(92) * 2 + '/:*?' + chr(34) + '<>|#^' + chr(92) + '[' + chr(92) + ']' + chr(92) + 'n' + chr(92) + 'r' + chr(92) + 't]') + ', ' + oracle.quoted('-') + ', ' + oracle.quoted('g') + ')')}, 1, 100)"
 
 
@@ -385,3 +391,20 @@ def index_after_changes(spark: SparkSession, folder: str) -> DataFrame:
     base = changes.latest(rows.where("event_id % 2 = 0"), "user_id", "event_id")
     feed = rows.where("event_id % 2 = 1 and user_id % 3 <> 0").withColumn("op", F.when(F.col("event_type") == "error", "delete").otherwise("modify"))
     return changes.upserted(base, feed, "user_id", "event_id")
+
+
+@query(
+    "index_after_all_changes",
+    """WITH e AS (SELECT user_id, event_type, event_id, ts, coalesce(ts > (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events), false) AS late FROM events),
+last AS (SELECT user_id, late, arg_max(event_type, (coalesce(ts, TIMESTAMP '0001-01-01'), event_id)) AS event_type, arg_max(event_id, (coalesce(ts, TIMESTAMP '0001-01-01'), event_id)) AS event_id FROM e GROUP BY ALL)
+SELECT user_id, event_type, event_id FROM last WHERE NOT late AND user_id NOT IN (SELECT user_id FROM last WHERE late) UNION ALL SELECT user_id, event_type, event_id FROM last WHERE late AND event_type <> 'error'""",
+)
+def index_after_all_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``index_after_changes`` with every event: those up to the middle of the time make the index, all later ones are the feed."""
+    rows = table(spark, folder, "events").select("user_id", "event_type", "event_id", "ts")
+    at = F.struct(F.coalesce("ts", F.lit("0001-01-01").cast("timestamp")).alias("ts"), "event_id").alias("at")
+    middle = rows.agg(((F.unix_micros(F.min(F.col("ts").cast("timestamp"))) + F.unix_micros(F.max(F.col("ts").cast("timestamp")))) / 2).alias("middle"))
+    split = rows.crossJoin(F.broadcast(middle)).select("user_id", "event_type", "event_id", at, F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) > F.col("middle"), F.lit(False)).alias("late"))
+    base = changes.latest(split.where("not late").drop("late"), "user_id", "at")
+    feed = split.where("late").drop("late").withColumn("op", F.when(F.col("event_type") == "error", "delete").otherwise("modify"))
+    return changes.upserted(base, feed, "user_id", "at").select("user_id", "event_type", "event_id")

@@ -255,3 +255,20 @@ def test_all_documents_compete_for_diversity(spark):
             expected.append((q, len(taken), taken[-1], round(alike(q, taken[-1]), 9)))
     got = [(r.query, r["rank"], r.other, round(r.similarity, 9)) for r in catalogue.QUERIES["related_diverse"](spark, folder).collect()]
     assert expected and sorted(got) == sorted(expected)
+
+
+def test_whole_tables_are_cut_and_indexed(spark):
+    import hashlib
+
+    from quillmill.plans import catalogue
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    head = lambda t: t.encode("utf-16-le")[:1000].decode("utf-16-le", "ignore")
+    got = {r.doc_id: r.head for r in catalogue.QUERIES["truncated_all"](spark, folder).collect()}
+    assert got == {k: None if t is None else hashlib.md5(head(t).encode()).hexdigest() for k, t in texts.items()}
+    last = {}
+    for r in sorted(spark.read.parquet(f"{folder}/events.parquet").collect(), key=lambda r: (r.ts, r.event_id)):
+        last[r.user_id] = r
+    users = {r.user_id: r.event_id for r in catalogue.QUERIES["index_after_all_changes"](spark, folder).collect()}
+    assert all(users.get(u) == r.event_id for u, r in last.items() if r.event_type != "error") and set(users) <= set(last)
