@@ -98,6 +98,33 @@ def greedy_kept(pairs: DataFrame, group: tuple[str, ...] = (), order: DataFrame
     return edges.join(dropped, [*group, "later"]).join(kept, [*group, "earlier"]).groupBy(*group, "later").agg(F.min("earlier").alias("earlier"))
 
 
+def edit_pairs(rows: DataFrame, text: str, least: float) -> DataFrame:
+    """(a, b, similarity): pairs a < b of different texts whose edit similarity is at least ``least``, which must be above 0.5; no pair is lost.
+
+    An edit touches two pairs of adjacent characters at most, so texts of up to n characters at that similarity have
+    (2 * least - 1) * n - 1 in common, the n-th occurrence of a pair counting as its own. They share one in a prefix of the rarest. Texts
+    so short that this demands none are compared with all that are as short.
+    """
+    share = 2 * least - 1
+    if share <= 0:
+        raise ValueError("edit similarities up to 0.5 leave no pair of characters in common")
+    source = rows.select(F.col(text).alias("t")).where(F.length("t") > 0).distinct().withColumn("n", F.length("t"))
+    demand = lambda n: F.ceil(share * n - 1 - 1e-9)
+    grams = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.col("t").substr(i, F.lit(2)))
+    long = checkpointed(source.where("n > 1").select("t", "n", F.explode(grams).alias("g")).groupBy("t", "n", "g").agg(F.count("*").alias("c")).select("t", "n", "g", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("k")))
+    df = long.groupBy("g", "k").agg(F.count("*").alias("df"))
+    ordered = long.join(df, ["g", "k"]).groupBy("t", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g", "k"))).alias("all"))
+    length = F.col("n") - 1 - F.greatest(F.lit(1), demand(F.col("n"))) + 1
+    prefix = ordered.select("t", "n", F.explode(F.slice("all", F.lit(1), length.cast("int"))).alias("x")).select("t", "n", "x.g", "x.k")
+    # demand is below one up to this length
+    tiny = source.where(demand(F.col("n")) < 1).select("t", "n", F.lit("").alias("g"), F.lit(0).alias("k"))
+    keyed = checkpointed(prefix.unionByName(tiny))
+    a, b = (keyed.select(F.col("t").alias(x), F.col("n").alias(f"n{x}"), "g", "k") for x in "ab")
+    fit = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
+    pairs = a.join(b, ["g", "k"]).where((F.col("a") < F.col("b")) & fit).select("a", "b").distinct()
+    return pairs.withColumn("similarity", edit_similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= least - 1e-9)
+
+
 def fingerprints(rows: DataFrame, key: str, text: str, group: tuple[str, ...] = ()) -> DataFrame:
     """(group, key, simhash) over the weights of a corpus against itself."""
     return vectors.ordered_weights(vectors.vectors(rows, key, text, group), key, group).select(*group, key, simhash("tokens", "weights").alias("simhash"))

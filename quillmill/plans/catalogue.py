@@ -208,6 +208,12 @@ def title_edits(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("id", "other", F.round(edit_similarity(F.col("title"), F.col("t2")), 9).alias("similarity"))
 
 
+@query("title_pairs")
+def title_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Different titles whose edit similarity is at least 0.7."""
+    return dedup.edit_pairs(table(spark, folder, "notes").select("title").distinct(), "title", 0.7)
+
+
 # ---- search -------------------------------------------------------------------------------------------------------------------
 _KEYWORDS = f"SELECT doc_id, list_distinct({oracle.tokens('text', 2)}) AS k FROM documents"
 
@@ -240,10 +246,14 @@ def document_claims(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("claims_traced")
 def claims_traced(spark: SparkSession, folder: str) -> DataFrame:
-    """Claims of every note traced in the history entry of the same beginning."""
-    rows = distinct_notes(spark, folder).where("content is not null")
-    found = claims.claims(rows, "id", "title").join(rows.select("id", "content"), "id")
-    return claims.located(found, "anchor", "type", "content").drop("content")
+    """Claims of every note's content, traced in the history entries (the last of each path) of the same beginning; without such an entry they are traced in nothing."""
+    rows = distinct_notes(spark, folder).where("content is not null").select("id", "content").distinct()
+    entries = table(spark, folder, "dedup_features").where("path is not null and content_preview is not null")
+    known = entries.groupBy("path").agg(F.max_by("content_preview", F.struct("mtime", "content_preview")).alias("content_preview"))
+    beginning = lambda c: F.substring(F.col(c), 1, 60)
+    source = rows.withColumn("start", beginning("content")).join(known.withColumn("start", beginning("content_preview")), "start").select("id", "path", "content_preview")
+    found = claims.claims(rows, "id", "content").join(source, "id", "left")
+    return claims.located(found, "anchor", "type", "content_preview").drop("content_preview")
 
 
 @query("note_counts", "SELECT batch, count(*) AS notes, coalesce(sum(traced_count), 0) AS traced, coalesce(sum(needs_compare_count), 0) AS needs_compare, coalesce(sum(out_of_scope_count), 0) AS out_of_scope, count(*) FILTER (NOT coalesce(len(list_filter(verification, lambda v: v.status = '超源')) > 0, false)) AS verified FROM notes GROUP BY batch")

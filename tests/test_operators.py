@@ -257,6 +257,30 @@ def test_all_documents_compete_for_diversity(spark):
     assert expected and sorted(got) == sorted(expected)
 
 
+def test_edit_pairs_against_brute_force(spark):
+    rng = random.Random(3)
+    texts = {"", "a", "b", "ab", "abc", "abd", "abcd", "abce"} | {"".join(rng.choices("abcd", k=rng.randrange(1, 14))) for _ in range(250)}
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    every = rows.select(F.col("t").alias("a")).crossJoin(rows.select(F.col("t").alias("b"))).where("a < b and a <> ''")
+    true = {(r.a, r.b) for r in every.where("1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.7 - 1e-9").collect()}
+    got = [(r.a, r.b) for r in dedup.edit_pairs(rows, "t", 0.7).collect()]
+    assert len(true) > 50 and set(got) == true and len(got) == len(true)
+
+
+def test_claims_come_from_the_content_and_are_traced_in_history(spark):
+    from quillmill.plans import catalogue
+
+    folder = "/root/testdata/sf0.001"
+    rows = catalogue.distinct_notes(spark, folder).where("content is not null").select("id", "content").distinct()
+    every = {(r.id, r.anchor) for r in claims.claims(rows, "id", "content").collect()}
+    got = catalogue.QUERIES["claims_traced"](spark, folder).collect()
+    entries = [r for r in spark.read.parquet(f"{folder}/dedup_features.parquet").collect() if r.path and r.content_preview]
+    previews = {r.path: r.content_preview for r in sorted(entries, key=lambda r: (r.mtime or 0, r.content_preview))}
+    assert {(r.id, r.anchor) for r in got} == every
+    assert all(r.status is None for r in got if r.path is None) and any(r.status == claims.TRACED for r in got)
+    assert all(r.source_text.removesuffix("...") in previews[r.path] for r in got if r.status)
+
+
 def test_whole_tables_are_cut_and_indexed(spark):
     import hashlib
 
