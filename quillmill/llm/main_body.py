@@ -1,8 +1,8 @@
 """The main body of a page, line by line.
 
-The page is rendered as a layout tree: its lines become blocks with implied kinds (headline, paragraph, list item, quotation,
-caption, reference, link bar, label), blocks that follow a section label belong to that section until the next paragraph, and
-visibility rules decide which blocks are shown. What is shown keeps its lines, order and spacing.
+The table holds rendered text, so no layout tree is built: each line gets a kind by patterns (headline, paragraph, list item, quotation,
+caption, reference, link bar, label), lines that follow a section label belong to that section until the next paragraph, and
+rules decide which lines are shown. What is shown keeps its lines, order and spacing.
 
 The rules rest on statistics over all pages: how many different articles hold a line, over the whole crawl and on its host (a line
 that many articles share is furniture, whatever it says; reprints of one article count once, by their longest line), and how much a
