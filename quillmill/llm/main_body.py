@@ -1,287 +1,174 @@
 """The main body of a page, line by line.
 
-The table holds rendered text, so no layout tree is built: each line gets a kind by patterns (headline, paragraph, list item, quotation,
-caption, reference, link bar, label), lines that follow a section label belong to that section until the next paragraph, and
-rules decide which lines are shown. What is shown keeps its lines, order and spacing.
+Layout-aware rendering: every line gets a tag, the lines build a tree with implied sections, and rules of visibility decide what is shown
+(``layout``). Pages that are still HTML are rendered to lines first by the same module.
 
-The rules rest on statistics over all pages: how many different articles hold a line, over the whole crawl and on its host (a line
+The tags rest on statistics over all pages: how many different articles hold a line, over the whole crawl and on its host (a line
 that many articles share is furniture, whatever it says; reprints of one article count once, by their longest line), and how much a
 line's word classes differ from prose (``prose``). Lists of words for section labels, bylines and notices help where a line varies.
 
-The shared lines of the crawl number at most lines-per-page / ``crawl_share`` whatever the number of pages, so they are sent to
-every worker; those of the hosts are joined by host.
+Texts are read once (``pages``); what is counted, joined and judged after that are narrow rows. The shared lines of the crawl number at
+most lines-per-page / ``crawl_share`` whatever the number of pages, so they are sent to every worker; those of the hosts are sent too
+while their counted number is small, and else joined by host, each host spread over ``SALTS`` keys.
 
 Null, empty and blank texts give no row, rows with a null id are kept out, repeated rows count once, other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import prose
+from . import layout
+from . import pages as reading
+from .bags import mix
 from .common import checkpointed
-from .mojibake import softly_repaired, wreckage
 from .spam import line_shares
 
-#: Lines longer than this are never furniture by repetition.
-LONGEST_SHARED = 400
 #: Share of the crawl's articles, and of a host's articles, from which a line counts as shared; and the least number of articles.
 CRAWL_SHARE, HOST_SHARE, LEAST_ARTICLES = 0.002, 0.08, 3
+#: Keys of hosts' lines that are broadcast at most, eight bytes each, and the keys that a host is spread over where they are joined.
+BROADCAST_KEYS, SALTS = 1_000_000, 32
 
-_BULLET = re.compile(r"^(?:[-•*·–]\s+|\d{1,2}[.)]\s+|[a-z]\)\s+)")
-_QUOTE = re.compile(r"^(?:>|“.*”[.!?。！？]?$|«.*»\.?$|„.*“\.?$|「.*」$)")
-_REFERENCE = re.compile(r"^(?:\[\d+\]|\(\d+\)|\d+\.)\s.*\(?(?:19|20)\d{2}\)?")
-_CAPTION = re.compile(r"^(?:Fig(?:ure|\.)?|Abb(?:ildung|\.)?|Figura|Image|Photo|Bild|Tab(?:le|elle|\.)?|Tabla|Tableau|图|表|图片)\s*\d+\s*[:：.\s]", re.IGNORECASE)
-# Words of page furniture in five languages, by kind.
-_BYLINE = re.compile(
-    r"^(?:By\s.{2,60}(?:staff|·|\d{4})|By\s[A-ZÀ-Ý][\w’.-]+(?:\s[A-ZÀ-Ý][\w’.-]+){0,3}$|Von\s(?:der\s)?\w+.*\d|Par\s.{2,60}\d{4}|Por\s.{2,60}\d{4}|La rédaction\b|La redacción\b|Die Redaktion\b|Redacción\b|Rédaction\b|Redaktion\b|Equipo de redacción|编辑[:：]|作者[:：]|来源[:：]|记者[:：]|责编|文[/／]"
-    r"|(?:Updated|Published|Posted|Last updated|Aktualisiert|Veröffentlicht|Stand|Mis à jour|Publié|Actualizado|Publicado|更新|发布)\b.{0,12}\d|更新(?:时间|于)?[:：]?\s?\d|发布(?:时间|于)?[:：]?\s?\d)",
-)
-_TIME = re.compile(
-    r"(?:\d+\s?min(?:utos|uten|utes|\.)?\b.{0,8}$|^阅读约|^收听本文|^Lesezeit|^Lecture\s?:|^Lectura\s?:|^Listen to|^Écouter|^Escuchar|^Artikel anhören|\bmin read\b|小时前|分钟前|天前|\b(?:hours?|days?|minutes?|weeks?) ago\b|\bil y a \d|\bvor \d+ (?:Stunde|Tag|Minute)|\bhace \d)",
-    re.IGNORECASE,
-)
-_TAGS = re.compile(r"^(?:Tags?|Keywords|Topics|Filed under|Posted in|Mots-clés|Étiquettes|Schlagw(?:örter|orte)|Stichwörter|Etiquetas|Palabras clave|标签|关键词|分类|话题|栏目)\s?[:：]?\s?(?:in\s)?\S", re.IGNORECASE)
-_SECTION = re.compile(
-    r"^(?:Related|Read next|You may also like|More from|Most read|Popular|Trending|Recommended|See also|Further reading on|Up next|Keep reading|À lire aussi|Sur le même thème|Les plus lus|À découvrir|Lire aussi|Mehr zum Thema|Meistgelesen|Das könnte|Weiterlesen|Auch interessant|Te puede interesar|Lo más leído|Sigue leyendo|También te|Más sobre|相关阅读|猜你喜欢|本周热门|本栏更多|推荐阅读|延伸阅读|热门文章|更多|上一篇|下一篇|Previous\b.{0,12}Next|Prev\b)",
-    re.IGNORECASE,
-)
-_COMMENTS = re.compile(r"^(?:\d+\s?(?:comments?|commentaires?|Kommentare?|comentarios?)\b|\d+\s?条评论|Leave a comment|Leave a reply|Comments?$|Commentaires?$|Kommentare?$|Comentarios?$|发表评论|评论区?$|网友评论|Laisser un commentaire|Deja un comentario|Kommentar (?:schreiben|verfassen))", re.IGNORECASE)
-_REPLY = re.compile(r"^(?:Reply|Répondre|Antworten|Responder|回复)\b.{0,30}$|^(?:Reply|Répondre|Antworten|Responder|回复)\s?[·•|]?\s?", re.IGNORECASE)
-_NOTICE = re.compile(
-    r"(?:©|\(c\)\s?(?:19|20)\d{2}|all rights reserved|tous droits réservés|alle rechte vorbehalten|todos los derechos|版权所有|备案号|ICP备|未经许可|不得转载|^(?:Sponsored|Advertisement|Advertorial|Publicité|Anzeige|Publicidad|广告|推广)\b|^推广[:：]|^广告$|^Share\s?:|^Partager\s?:|^Teilen\s?:|^Compartir\s?:|^分享到"
-    r"|subscribe|newsletter|unsubscribe|free articles? left|articles? gratuits|freie Artikel|artículos gratis|免费阅读\d+篇|sign up for|privacy policy|cookie (?:policy|settings)|Back to top|Nach oben|Haut de page|Volver arriba|返回顶部|Follow us)",
-    re.IGNORECASE,
-)
-_BAR = re.compile(r"\s(?:[|/·•»›>→]|&gt;)\s|\s{2,}|\s—\s")
-_TRAIL = re.compile(r"\s[>›»/|·→]\s")
-_ENDED = re.compile(r"[.!?。！？][\"”’»“）)\]]*$")
 
+def of_host(host: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One key for a line and its host."""
+    return (mix(host.view(np.uint64)) ^ key.view(np.uint64)).view(np.int64)
 
-def plain(line: str) -> str:
-    """A line without bullets and white space at its ends, numbers as one digit."""
-    return re.sub(r"\d+", "0", _BULLET.sub("", line.strip()).strip())
 
+def statistics(rows: DataFrame, crawl_share: float, host_share: float) -> tuple[np.ndarray, DataFrame]:
+    """Sorted keys of lines that many articles share over the crawl, and (host, line) of those that a host's articles share."""
 
-_keys: dict[str, int] = {}
-
-
-def line_key(line: str) -> int:
-    """Key of a line without its numbers; furniture comes again and again, so keys are remembered."""
-    key = _keys.get(line)
-    if key is None:
-        if len(_keys) > 200_000:
-            _keys.clear()
-        key = _keys[line] = xxhash.xxh3_64_intdigest(plain(line)) - (1 << 63)
-    return key
-
-
-def article_key(lines: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest(max(lines, key=len).strip()) - (1 << 63)
-
-
-def statistics(rows: DataFrame, crawl_share: float, host_share: float) -> tuple[prose.ProseModel, set[int], DataFrame]:
-    """The prose model, the keys of lines that many articles share over the crawl, and (host, keys) of those that a host's articles share.
-
-    One pass over the texts gives both kinds of counts; its narrow rows are kept by a checkpoint.
-    """
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(prose.LANGS) * prose.K**3, np.int64)
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, articles, keys, cells = [], [], [], []
-            for host, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                body = softly_repaired(body)
-                lines = [x for x in body.split("\n") if x.strip()]
-                if lines:
-                    found = {line_key(x) for x in lines if len(x) <= LONGEST_SHARED}
-                    found.add(0)  # stands for the article itself
-                    keys += found
-                    hosts += [host] * len(found)
-                    articles += [article_key(lines)] * len(found)
-                    read = prose.read_lines(body)
-                    good = prose.is_prose_like(read)
-                    if good.any():
-                        cells.append(prose.trigrams(read)[np.repeat(good, read.ends - read.starts + 1)])
-            if cells:
-                total += np.bincount(np.concatenate(cells), minlength=len(total))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(articles, pa.int64()), pa.array(keys, pa.int64())], names=["host", "article", "line"])
-        if len(at := np.flatnonzero(total)):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(at), pa.array(total[at])], names=["host", "article", "line"])
+            found = [np.unique(np.append(np.frombuffer(r, reading.LINE)["key"], 0)) for r in batch.column(2).to_pylist()]  # 0 stands for the article itself
+            if found:
+                n = [len(f) for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.repeat(batch.column(1).to_numpy(), n)), pa.array(np.concatenate(found))], names=["host", "article", "line"])
 
-    held = checkpointed(rows.select(F.col("host"), F.col("body")).mapInArrow(split, "host string, article long, line long"))
-    model = prose.fit_rows(held.where("host is null").select(F.col("article").alias("cell"), F.col("line").alias("n")))
+    lines = rows.select("host", "article", "lines").mapInArrow(spread, "host long, article long, line long")
     # copies of one article on one host count once: first the distinct triples, by two steps of partial aggregation
-    each = held.where("host is not null").groupBy("line", "host").agg(F.count_distinct("article").alias("n"))
-    each = checkpointed(each)
+    each = checkpointed(lines.groupBy("line", "host").agg(F.count_distinct("article").alias("n")))
     total = each.where("line = 0").agg(F.sum("n")).first()[0] or 0
-    crawl = {r.line for r in each.groupBy("line").agg(F.sum("n").alias("n")).where(F.col("n") >= max(LEAST_ARTICLES, crawl_share * total)).where("line <> 0").collect()}
+    crawl = each.groupBy("line").agg(F.sum("n").alias("n")).where(F.col("n") >= max(LEAST_ARTICLES, crawl_share * total)).where("line <> 0").select("line").toArrow()
     sizes = each.where("line = 0").select("host", F.col("n").alias("articles"))
-    own = each.where(f"line <> 0 and n >= {LEAST_ARTICLES}").join(sizes, "host").where(F.col("n") >= host_share * F.col("articles"))
-    return model, crawl, own.groupBy("host").agg(F.collect_list("line").alias("lines"))
-
-
-def body_lines(text: str, title: str | None, model: prose.ProseModel, shared: set[int], own: set[int]) -> list[int]:
-    """1-based numbers of the body's lines."""
-    fixed = softly_repaired(text)
-    return _body(fixed.split("\n"), prose.read_lines(fixed), title, model, shared, own)
-
-
-def _body(fixed: list[str], lines: prose.Lines, title: str | None, model: prose.ProseModel, shared: set[int], own: set[int]) -> list[int]:
-    loss, length = model.line_losses(lines)
-    excess = ((loss - model.mean[lines.lang]) / (model.spread[lines.lang] / np.sqrt(length))).tolist()
-    tokens = (lines.ends - lines.starts).tolist()
-    heads = _titles(title)
-    kinds = [_kind(line.strip(), excess[k], tokens[k], shared, own, heads) for k, line in enumerate(fixed)]
-    first = next((k for k, kind in enumerate(kinds) if kind == "paragraph"), None)
-    if first is None:
-        return []
-    # sections open below the first paragraph only; a menu may hold the same words
-    section = ""
-    inside: list[int] = []
-    for k, kind in enumerate(kinds):
-        if kind in ("section", "comments"):
-            if k > first and section != "comments":
-                section = kind
-        elif kind in ("paragraph", "item", "quote", "caption", "reference"):
-            if section == "section" and (kind != "quote" or tokens[k] > 12):
-                section = ""
-            if not section:
-                inside.append(k)
-        elif kind in ("title", "label") and not section:
-            inside.append(k)
-    solid = [k for k in inside if kinds[k] not in ("title", "label")]
-    head = next((k for k in inside if kinds[k] == "title"), None)
-    if head is None or head > first:
-        before = [k for k in inside if k < first and kinds[k] == "label"]
-        head = before[-1] if before else first
-    shown = []
-    for n, k in enumerate(inside):
-        if k < head or k > solid[-1]:
-            continue
-        if kinds[k] == "label" and k != head:
-            # a subheading stands alone above what it heads; headlines in a row are links
-            after = next((kinds[j] for j in range(k + 1, len(kinds)) if kinds[j] not in ("blank", "furniture")), "")
-            ahead = next((kinds[j] for j in range(k - 1, -1, -1) if kinds[j] not in ("blank", "furniture")), "")
-            if after in ("teaser", "section", "comments", "") or (after == "label" and ahead in ("label", "teaser", "section")) or ahead in ("teaser", "section"):
-                continue
-        shown.append(k + 1)
-    return shown
+    own = each.where(f"line <> 0 and n >= {LEAST_ARTICLES}").join(sizes, "host").where(F.col("n") >= host_share * F.col("articles")).select("host", "line")
+    return np.sort(crawl.column("line").to_numpy()), own
+
+
+def holds(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys stand in a sorted array."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def line_kinds(judged: reading.Judged, shared: np.ndarray) -> np.ndarray:
+    """Tag of each line; of several the first holds."""
+    has, tokens = judged.has, judged.lines["tokens"]
+    excess = judged.excess / judged.error
+    prosaic = (excess < 3.5) & (tokens >= 6)
+    ended = has("ended")
+    rules = [
+        (has("blank"), layout.BLANK),
+        (has("title"), layout.HEADLINE),
+        (has("comments"), layout.COMMENTS),
+        (has("section"), layout.ASIDE),
+        (shared, layout.FURNITURE),
+        (has("teaser"), layout.TEASER),
+        (has("time") | (has("meta") & ~(prosaic & (tokens > 20))) | (has("notice") & ~(prosaic & (tokens > 25))), layout.FURNITURE),
+        (has("caption"), layout.CAPTION),
+        (has("reference"), layout.REFERENCE),
+        (has("item"), layout.ITEM),
+        (has("quote"), layout.QUOTE),
+        ((tokens >= 8) & (prosaic | (ended & (excess < 8))) & (ended | (tokens >= 25)), layout.PARAGRAPH),
+        ((excess > 5) & has("bar"), layout.FURNITURE),
+        (has("trail"), layout.FURNITURE),
+        (has("wrecked") & (judged.lines["size"] > 60), layout.PARAGRAPH),
+    ]
+    return np.select([r[0] for r in rules], [r[1] for r in rules], layout.HEADING)
 
 
-def _titles(title: str | None) -> set[str]:
-    """The title, and its parts around a separator that may join the site's name."""
-    if not title:
-        return set()
-    whole = softly_repaired(title).strip()
-    parts = {whole}
-    for mark in (" | ", " - ", " – ", " — ", " · ", "_", " « ", " :: "):
-        parts.update(p.strip() for p in whole.split(mark))
-    return {p.casefold() for p in parts if len(p) > 3}
-
-
-#: What a line is by its words alone, for lines short enough to come again.
-_marks: dict[str, tuple[str, bool]] = {}
-
-
-def _marked(line: str, tokens: int) -> tuple[str, bool]:
-    """(kind by words, or empty; whether it ends as a sentence)"""
-    found = _marks.get(line)
-    if found is None:
-        ended = _ENDED.search(line) is not None
-        kind = ""
-        if _COMMENTS.match(line):
-            kind = "comments"
-        elif tokens <= 20 and not ended and _SECTION.match(line):
-            kind = "section"
-        elif _REPLY.match(line) or _BYLINE.match(line) or _TAGS.match(line):
-            kind = "meta"
-        elif tokens < 16 and _TIME.search(line):
-            kind = "time"
-        elif tokens <= 60 and _NOTICE.search(line):
-            kind = "notice"
-        if len(_marks) > 200_000:
-            _marks.clear()
-        found = _marks[line] = kind, ended
-    return found
-
-
-def _kind(line: str, excess: float, tokens: int, shared: set[int], own: set[int], heads: set[str]) -> str:
-    if not line:
-        return "blank"
-    low = line.casefold() if len(line) <= LONGEST_SHARED else line
-    if low in heads:
-        return "title"
-    prosaic = excess < 3.5 and tokens >= 6
-    if len(line) > LONGEST_SHARED:
-        mark, ended = "", _ENDED.search(line) is not None
+def find_body(pages: DataFrame, page_id: str = "page_id", text: str = "content", title: str = "title", host: str = "host", crawl_share: float = CRAWL_SHARE, host_share: float = HOST_SHARE, spam_share: float = 0.5) -> DataFrame:
+    """(id, line_no): the lines of each page's main body; pages that are mostly keyword lists have none."""
+    read = reading.read_pages(pages, page_id, text, title, host)
+    kind = dict(read.rows.dtypes)["id"]
+    crawl, own = statistics(read.rows, crawl_share, host_share)
+    own = checkpointed(own)
+    few = own.count() <= BROADCAST_KEYS
+    keys = np.empty(0, np.int64)
+    rows = read.rows.select("id", "host", "lang", "classes", "lines")
+    if few:
+        found = own.toArrow()
+        keys = np.sort(of_host(found.column("host").to_numpy(), found.column("line").to_numpy()))
+        rows = rows.withColumn("own", F.lit(None).cast("array<long>"))
     else:
-        mark, ended = _marked(line, tokens)
-        if mark in ("comments", "section"):
-            return mark
-        key = line_key(line)
-        if key in own or key in shared:
-            return "furniture"
-    if line.endswith("…") and (" — " in line or tokens < 30):
-        return "teaser"
-    if mark == "time" or (mark == "meta" and not (prosaic and tokens > 20)) or (mark == "notice" and not (prosaic and tokens > 25)):
-        return "furniture"
-    if _CAPTION.match(line):
-        return "caption"
-    if _REFERENCE.match(line):
-        return "reference"
-    if _BULLET.match(line):
-        return "item"
-    if _QUOTE.match(line):
-        return "quote"
-    if tokens >= 8 and (prosaic or (ended and excess < 8)) and (ended or tokens >= 25):
-        return "paragraph"
-    if len(line) <= LONGEST_SHARED:
-        if excess > 5 and len(_BAR.findall(line)) >= 2:
-            return "furniture"
-        if _TRAIL.search(line) and any(h in low for h in heads):
-            return "furniture"  # a trail that ends in the title
-    if wreckage(line) > 0.15 * len(line):
-        return "paragraph" if len(line) > 60 else "label"
-    return "label"
+        lists = own.groupBy("host").agg(F.collect_list("line").alias("own")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(lists, ["host", "salt"], "left").select("id", "host", "lang", "classes", "lines", "own")
+    sent = pages.sparkSession.sparkContext.broadcast((read.model, crawl, keys))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, crawl, keys = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, reading.SLICE):
+                batch = whole.slice(at, reading.SLICE)
+                judged = reading.Judged(model, *batch.columns[2:5])
+                key = judged.lines["key"]
+                hosts = batch.column(1).to_numpy()
+                shared = holds(crawl, key)
+                if few:
+                    shared |= holds(keys, of_host(hosts[judged.page], key))
+                else:
+                    lists: dict[int, np.ndarray] = {}
+                    for k, h in enumerate(hosts.tolist()):
+                        if h not in lists:
+                            lists[h] = np.sort(np.array(batch.column(5)[k].as_py() or [], np.int64))
+                        part = slice(judged.first[k], judged.first[k + 1])
+                        shared[part] |= holds(lists[h], key[part])
+                high, low = line_shares(judged)
+                kinds, tokens = line_kinds(judged, shared).tolist(), judged.lines["tokens"].tolist()
+                where, numbers = [], []
+                for k in np.flatnonzero(high + low <= spam_share).tolist():
+                    part = slice(judged.first[k], judged.first[k + 1])
+                    found = layout.visible(layout.built(kinds[part], tokens[part]), kinds[part])
+                    where += [k] * len(found)
+                    numbers += found
+                if where:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where)), pa.array(np.array(numbers, np.int32) + 1)], names=["id", "line_no"])
+
+    return rows.mapInArrow(judge, f"id {kind}, line_no int").distinct().withColumnRenamed("id", page_id)
+
+
+def body_text(pages: DataFrame, page_id: str = "page_id", text: str = "content", title: str = "title", host: str = "host", **settings) -> DataFrame:
+    """(id, body): the main body of each page that has one, with its spacing, lists and aligned cells; one row per distinct id and text."""
+    numbers = find_body(pages, page_id, text, title, host, **settings).groupBy(page_id).agg(F.collect_list("line_no").alias("numbers"))
+    rows = pages.select(F.col(page_id).alias("id"), F.col(text).alias("body")).where("id is not null and body is not null").distinct()
+    joined = rows.join(numbers.withColumnRenamed(page_id, "id"), "id").select("id", "body", "numbers")
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = []
+            for body, shown in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                lines = body.split("\n")
+                bodies.append(layout.rendered(lines, [n for n in shown if n <= len(lines)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string())], names=["id", "body"])
 
+    return joined.mapInArrow(render, f"id {dict(rows.dtypes)['id']}, body string").withColumnRenamed("id", page_id)
 
-def find_body(pages: DataFrame, page_id: str = "page_id", text: str = "content", title: str = "title", host: str = "host", crawl_share: float = CRAWL_SHARE, host_share: float = HOST_SHARE, spam_share: float = 0.5) -> DataFrame:
-    """(id, line_no): the lines of each page's main body; pages that are mostly keyword lists have none."""
-    rows = pages.select(F.col(page_id).alias("id"), F.col(text).alias("body"), F.col(title).alias("title"), F.coalesce(F.col(host), F.lit("")).alias("host")).where("id is not null and body is not null")
-    kind = dict(rows.dtypes)["id"]
-    context = pages.sparkSession.sparkContext
-    model, crawl, hosts = statistics(rows, crawl_share, host_share)
-    sent = context.broadcast((model, crawl))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, shared = sent.value
-        own_sets: dict[str, set[int]] = {}
+def rendered_pages(pages: DataFrame, html: str) -> DataFrame:
+    """Pages with ``html`` replaced by its visible text, laid out in lines, as ``find_body`` takes it; null stays null."""
+    columns = [c for c in pages.columns if c != html]
+    tagged = pages.select(*[F.col(c) for c in columns], F.col(html).alias("_source"))
+    schema = tagged.withColumnRenamed("_source", html).schema
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where, numbers = [], []
-            ids, bodies, titles, names, owns = batch.columns
-            for k, (body, head, name) in enumerate(zip(bodies.to_pylist(), titles.to_pylist(), names.to_pylist(), strict=True)):
-                if not body.strip():
-                    continue
-                fixed = softly_repaired(body)
-                parts, lines = fixed.split("\n"), prose.read_lines(fixed)
-                if sum(line_shares(parts, lines, model)) > spam_share:
-                    continue
-                if name not in own_sets:
-                    own_sets[name] = set(owns[k].as_py() or ())
-                found = _body(parts, lines, head, model, shared, own_sets[name])
-                where += [k] * len(found)
-                numbers += found
-            if where:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(where)), pa.array(numbers, pa.int32())], names=["id", "line_no"])
+            texts = [None if s is None else layout.page_text(s) for s in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
 
-    joined = rows.join(hosts, "host", "left").select("id", "body", "title", "host", "lines")
-    return joined.mapInArrow(read, f"id {kind}, line_no int").distinct().withColumnRenamed("id", page_id)
+    return tagged.mapInArrow(render, schema)

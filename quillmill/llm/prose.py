@@ -10,11 +10,9 @@ The counts come from all rows; what reaches the driver is bounded by the alphabe
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +61,7 @@ HAN_FUNCTION = {
     "adv": "不也就都很最再先后只又还更已曾正越当时中里上下",
 }
 LANGS = ("other", "zh", *FUNCTION_WORDS)
+ZH = 1
 _HAN_F = "".join(HAN_FUNCTION.values())
 
 
@@ -95,8 +94,17 @@ for _lang, _words in _FUNCTION.items():
         _ANY.setdefault(_w, _c)
         _VOTES.setdefault(_w, []).append(LANGS.index(_lang))
 _HAN_CLASS = {c: CLASS[f"h_{k}"] for k, cs in HAN_FUNCTION.items() for c in cs}
-#: token -> class + 256 * vote; the vote is a bit mask of the languages that hold the function word.
-_memo: dict[str, int] = {}
+class _Classes(dict):
+    """token -> class + 256 * vote; the vote is a bit mask of the languages that hold the function word. Filled as tokens come."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = out = _classify(token)
+        return out
+
+
+_memo = _Classes()
 
 
 def _classify(token: str) -> int:
@@ -127,10 +135,7 @@ def _classify(token: str) -> int:
             out = CLASS["upper" if token.isupper() and len(token) > 1 else "cap" if first.isupper() else "word"], vote
     else:
         out = _PUNCT.get(first, CLASS["mark"]), 0
-    if len(_memo) > 500_000:
-        _memo.clear()
-    _memo[token] = out[0] + 256 * out[1]
-    return _memo[token]
+    return out[0] + 256 * out[1]
 
 
 #: For each vote, the languages in it.
@@ -145,14 +150,13 @@ class Lines:
     classes: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
-    lang: int
+    lang: int | np.ndarray  # of the text, or of each token where several texts are joined
 
 
 def read_lines(text: str) -> Lines:
     tokens = TOKEN.findall(text)
     tokens.append("\n")
-    get = _memo.get
-    codes = np.array([get(t) or _classify(t) for t in tokens], np.int64)
+    codes = np.fromiter(map(_memo.__getitem__, tokens), np.int64, len(tokens))
     classes = codes & 255
     votes = np.bincount(codes >> 8, minlength=1 << len(LANGS)) @ _BITS
     votes[1] //= 2
@@ -191,6 +195,10 @@ IS_FUNCTION = np.array([n[:2] in ("f_", "h_") for n in _NAMES], np.int32)
 IS_CONTENT = np.array([n in ("word", "cap", "upper") or n.startswith("han") for n in _NAMES], np.int32)
 
 
+#: Tokens of all languages' prose that each language's counts start from.
+PRIOR_TOKENS = 2000
+
+
 @dataclass
 class ProseModel:
     """Loss in bits of each trigram cell, and mean and spread of the loss over the prose that it learned from, by language."""
@@ -211,28 +219,6 @@ class ProseModel:
         return (loss - self.mean[lines.lang]) / (self.spread[lines.lang] / np.sqrt(n))
 
 
-def train(pages: DataFrame, text: str) -> ProseModel:
-    """Count class trigrams over the prose-like lines of all rows. Null texts count nothing; no rows give a flat model."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(LANGS) * K**3, np.int64)
-        for batch in batches:
-            found = []
-            for body in batch.column(0).to_pylist():
-                if body:
-                    lines = read_lines(body)
-                    good = is_prose_like(lines)
-                    if good.any():
-                        found.append(trigrams(lines)[np.repeat(good, lines.ends - lines.starts + 1)])
-            if found:
-                total += np.bincount(np.concatenate(found), minlength=len(total))
-        cells = np.flatnonzero(total)
-        if len(cells):
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
-
-    return fit_rows(pages.select(F.col(text)).mapInArrow(count, "cell long, n long"))
-
-
 def fit_rows(counts: DataFrame) -> ProseModel:
     """The model from partial (cell, n) counts."""
     rows = counts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -246,6 +232,8 @@ def fit(cells: np.ndarray, counts: np.ndarray) -> ProseModel:
     c3[cells] = counts
     c3 = c3.reshape(langs, K, K, K)
     c3[0] = c3.sum(axis=0)  # the unknown language holds what all hold
+    # every other language starts from what all hold, at the weight of a fixed number of tokens
+    c3[1:] += c3[0] * (PRIOR_TOKENS / max(1, c3[0].sum()))
     c2 = c3.sum(axis=1)
     c1 = c2.sum(axis=1)
     p1 = (c1 + 1) / (c1.sum(axis=1, keepdims=True) + K)
@@ -255,7 +243,4 @@ def fit(cells: np.ndarray, counts: np.ndarray) -> ProseModel:
     total = np.maximum(c3.sum(axis=(1, 2, 3)), 1)
     mean = (c3 * loss).sum(axis=(1, 2, 3)) / total
     spread = np.sqrt(np.maximum((c3 * loss**2).sum(axis=(1, 2, 3)) / total - mean**2, 0.25))
-    unseen = c3.sum(axis=(1, 2, 3)) < 2000  # too little prose in this language: judge by what all hold
-    for k in np.flatnonzero(unseen):
-        loss[k], mean[k], spread[k] = loss[0], mean[0], spread[0]
     return ProseModel(loss.astype(np.float32).ravel(), mean, spread)

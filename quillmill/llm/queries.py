@@ -28,6 +28,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return main_body.find_body(extracts(spark, folder))
 
 
+def p3_body(spark: SparkSession, folder: str) -> DataFrame:
+    """The main body of each page as text, laid out as it was."""
+    return main_body.body_text(extracts(spark, folder))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Notes and entries of the history that hold nearly the same content."""
     return history.known_already(table(spark, folder, "notes"), table(spark, folder, "dedup_features")).select("id", "path")
@@ -73,7 +78,7 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicate_groups(table(spark, folder, "notes"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_masked": p8_masked, "p1_groups": p1_groups}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_body": p3_body, "p4_found": p4_found, "p5_found": p5_found, "p5_restored": p5_restored, "p6_found": p6_found, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_masked": p8_masked, "p1_groups": p1_groups}
 
 #: Units are split by putting spaces around Han characters and in place of everything that is neither letter nor digit.
 _UNITS = "list_filter(string_split(regexp_replace(regexp_replace(lower({0}), '([\\x{{4E00}}-\\x{{9FFF}}])', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda u: u <> '')"

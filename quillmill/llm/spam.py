@@ -1,9 +1,9 @@
 """Pages made of keywords, links, tags or product lines instead of sentences.
 
-Each line is scored by a word-class n-gram model of prose (``prose``), trained on the prose-like lines of the same crawl. A line
-whose loss lies far above that of prose of its length is a string of keywords, links, headlines, tags or products. Prose-like
-lines whose words the page itself predicts too well, because the same word trigrams come back again and again, only recycle key
-phrases: their loss under the page's own n-grams is abnormally low. A page is flagged by the share of its characters in such lines.
+Each line is scored by two n-gram models. A word-class trigram model of prose (``prose``), trained on the prose-like lines of the same
+crawl: a line whose loss lies far above that of prose of its length is a string of keywords, links, headlines, tags or products. And the
+word trigrams of the page itself, each place predicted by all others: a line whose loss under them is abnormally low only recycles key
+phrases. A page is flagged by the share of its characters in such lines.
 
 Null, empty and blank texts give no row, rows with a null id are kept out, repeated rows count once, other columns are ignored.
 """
@@ -17,69 +17,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import prose
-from .mojibake import repaired, wreckage
+from . import pages as reading
 
 #: Standard errors above the loss of prose from which a line counts as unlike prose.
 UNLIKE_PROSE = 4.0
 #: Bits a token by which its loss must exceed that of prose as well, so that long paragraphs aren't judged by a trifle.
 EXCESS_BITS = 1.0
-#: Occurrences on the page from which a word trigram counts as recycled, and the share of a line's words that such trigrams cover.
-RECYCLED_TIMES, RECYCLED_SHARE, RECYCLED_TOKENS = 4, 0.5, 15
-#: Share of a line's characters that are wreckage of a wrong decoding, from which the line is judged neither way.
-WRECKED = 0.08
+#: Bits a word, or a character of Han text, under the page's own trigrams up to which a line only recycles phrases; and tokens that a line
+#: needs to be a sentence.
+RECYCLED_BITS, RECYCLED_TOKENS = 4.5, 15
 
 
-def recycled(lines: prose.Lines) -> np.ndarray:
-    """Share of each line's tokens inside word trigrams that stand ``RECYCLED_TIMES`` times or more on the page."""
-    n = lines.ends - lines.starts
-    if len(lines.tokens) < 4 * RECYCLED_TOKENS:
-        return np.zeros(len(n))
-    words = np.fromiter(map(hash, lines.tokens), np.int64, len(lines.tokens))
-    keys = (words[:-2] * 1_000_003 + words[1:-1]) * 1_000_003 + words[2:]  # wraps; equal trigrams have equal keys
-    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    often = counts[inverse] >= RECYCLED_TIMES
-    covered = np.zeros(len(words), bool)
-    for shift in range(3):
-        covered[shift : shift + len(often)] |= often
-    total = np.concatenate([[0], covered.cumsum()])
-    return (total[lines.ends] - total[lines.starts]) / np.maximum(n, 1)
+def line_shares(judged: reading.Judged) -> tuple[np.ndarray, np.ndarray]:
+    """(share of characters in lines unlike prose, share in lines that recycle phrases) of each page; wrecked lines are judged neither way."""
+    lines = judged.lines
+    sound = ~judged.has("unsound")
+    high = (judged.excess > np.maximum(EXCESS_BITS, UNLIKE_PROSE * judged.error)) & (lines["tokens"] > 0) & sound
+    low = (lines["own"] < RECYCLED_BITS) & (lines["tokens"] >= RECYCLED_TOKENS) & sound & ~high
+    total = np.maximum(1, judged.sums(lines["size"]))
+    return judged.sums(lines["size"] * high) / total, judged.sums(lines["size"] * low) / total
 
 
-def page_shares(text: str, model: prose.ProseModel) -> tuple[float, float]:
-    """(share of characters in lines unlike prose, share in lines that recycle phrases)"""
-    text = repaired(text)
-    return line_shares(text.split("\n"), prose.read_lines(text), model)
-
-
-def line_shares(parts: list[str], lines: prose.Lines, model: prose.ProseModel) -> tuple[float, float]:
-    """The same, of a repaired text's lines that are read already."""
-    size = np.array([len(p) for p in parts])
-    n = lines.ends - lines.starts
-    sound = np.array([wreckage(p) <= WRECKED * max(1, len(p)) for p in parts])
-    loss, length = model.line_losses(lines)
-    excess = loss - model.mean[lines.lang]
-    high = (excess > np.maximum(EXCESS_BITS, UNLIKE_PROSE * model.spread[lines.lang] / np.sqrt(length))) & (n > 0) & sound
-    low = (recycled(lines) > RECYCLED_SHARE) & (n >= RECYCLED_TOKENS) & sound & ~high
-    total = max(1, size.sum())
-    return float((size * high).sum() / total), float((size * low).sum() / total)
-
-
-def spam_shares(pages: DataFrame, page_id: str = "page_id", text: str = "content", model: prose.ProseModel | None = None) -> DataFrame:
-    """(id, unlike_prose, recycled): one row per distinct id and text. Two scans, no shuffle of text."""
-    rows = pages.select(F.col(page_id).alias("id"), F.col(text).alias("body")).where("id is not null and body is not null")
-    kind = dict(rows.dtypes)["id"]
-    sent = pages.sparkSession.sparkContext.broadcast(model or prose.train(rows, "body"))
+def spam_shares(pages: DataFrame, page_id: str = "page_id", text: str = "content", read: reading.Pages | None = None) -> DataFrame:
+    """(id, unlike_prose, recycled): one row per distinct id and text. Texts are read once and never shuffled."""
+    read = read or reading.read_pages(pages, page_id, text)
+    kind = dict(read.rows.dtypes)["id"]
+    sent = pages.sparkSession.sparkContext.broadcast(read.model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        for batch in batches:
-            bodies = batch.column(1).to_pylist()
-            keep = [k for k, b in enumerate(bodies) if b.strip()]
-            shares = [page_shares(bodies[k], known) for k in keep]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([s[0] for s in shares], pa.float64()), pa.array([s[1] for s in shares], pa.float64())], names=["id", "unlike_prose", "recycled"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, reading.SLICE):
+                batch = whole.slice(at, reading.SLICE)
+                high, low = line_shares(reading.Judged(sent.value, *batch.columns[1:]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(high), pa.array(low)], names=["id", "unlike_prose", "recycled"])
 
-    return rows.mapInArrow(score, f"id {kind}, unlike_prose double, recycled double").distinct().withColumnRenamed("id", page_id)
+    return read.rows.select("id", "lang", "classes", "lines").mapInArrow(score, f"id {kind}, unlike_prose double, recycled double").distinct().withColumnRenamed("id", page_id)
 
 
 def spam_pages(pages: DataFrame, page_id: str = "page_id", text: str = "content", share: float = 0.5) -> DataFrame:
