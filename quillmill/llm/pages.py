@@ -32,6 +32,9 @@ SLICE = 400
 #: Share of a line's characters that are wreckage of a wrong decoding, from which its losses say nothing, and from which its form does not either.
 UNSOUND, WRECKED = 0.08, 0.15
 
+#: Places at which a page's single units count where its trigrams are asked, so that a phrase which stands twice is still unexpected.
+PRIOR = 4
+
 _BULLET = re.compile(r"^(?:[-•*·–]\s+|\d{1,2}[.)]\s+|[a-z]\)\s+)")
 _QUOTE = re.compile(r"^(?:>|“.*”[.!?。！？]?$|«.*»\.?$|„.*“\.?$|「.*」$)")
 _REFERENCE = re.compile(r"^(?:\[\d+\]|\(\d+\)|\d+\.)\s.*\(?(?:19|20)\d{2}\)?")
@@ -149,7 +152,7 @@ def own_losses(text: str, lines: prose.Lines) -> np.ndarray:
         order = triple.argsort()
         runs3, runs2 = _runs(triple[order]), _runs(pair[order])
         seen = np.empty(n - 2)
-        seen[order] = (runs3 - 1 + chance[2:][order]) / runs2
+        seen[order] = (runs3 - 1 + PRIOR * chance[2:][order]) / (runs2 - 1 + PRIOR)
         chance[2:] = seen
     total = np.concatenate([[0.0], np.cumsum(-np.log2(chance))])
     return (total[ends] - total[starts]) / np.maximum(1, ends - starts)

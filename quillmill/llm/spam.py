@@ -25,7 +25,7 @@ UNLIKE_PROSE = 4.0
 EXCESS_BITS = 1.0
 #: Bits a word, or a character of Han text, under the page's own trigrams up to which a line only recycles phrases; and tokens that a line
 #: needs to be a sentence.
-RECYCLED_BITS, RECYCLED_TOKENS = 4.5, 15
+RECYCLED_BITS, RECYCLED_TOKENS = 3.4, 15
 
 
 def line_shares(judged: reading.Judged) -> tuple[np.ndarray, np.ndarray]:
