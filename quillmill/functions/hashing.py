@@ -52,24 +52,40 @@ def fnv32_lossy(texts: pd.Series) -> pd.Series:
     return pd.Series([f"{v:08x}" for v in h]).mask(texts.isna())
 
 
-def simhash_of(hashes: np.ndarray, weights: np.ndarray) -> int:
-    """Votes of tokens, in order; the running sums are cut to whole numbers after every vote."""
-    sums = np.zeros(64, np.int64)
+def simhash_arrays(hashes: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprints of rows of tokens that stand one after the other, each row in order; the running sums are cut to whole numbers after
+    every vote. All rows vote together, place by place: first all first tokens, then all second ones."""
+    start = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    order = np.argsort(-sizes, kind="stable")  # the rows that still vote are always the first ones
+    live = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")
+    sums = np.zeros((len(sizes), 64), np.float64)
     places = np.arange(64, dtype=np.uint64)
-    for h, w in zip(hashes, weights, strict=True):
-        sign = np.where((h >> places) & np.uint64(1), 1.0, -1.0)
-        sums = np.trunc(sums + sign * w).astype(np.int64)
-    return int(((sums > 0).astype(np.uint64) << places).sum(dtype=np.uint64))
+    for k, n in enumerate(live):
+        at = start[order[:n]] + k
+        sign = ((hashes[at][:, None] >> places) & np.uint64(1)).astype(np.float64) * 2 - 1
+        sums[:n] = np.trunc(sums[:n] + sign * weights[at][:, None])
+    bits = ((sums > 0).astype(np.uint64) << places).sum(axis=1, dtype=np.uint64)
+    out = np.empty(len(sizes), np.uint64)
+    out[order] = bits
+    return out
+
+
+def simhash_of(hashes: np.ndarray, weights: np.ndarray) -> int:
+    """The fingerprint of one row."""
+    return int(simhash_arrays(np.asarray(hashes, np.uint64), np.asarray(weights, float), np.array([len(hashes)]))[0])
 
 
 @F.pandas_udf(T.LongType())
 def simhash(tokens: pd.Series, weights: pd.Series) -> pd.Series:
-    """SimHash of ordered tokens and weights, as the signed number with the same bits; 0 for none, null for null."""
-    out = []
-    for ts, ws in zip(tokens, weights, strict=True):
-        if ts is None or ws is None:
-            out.append(None)
-        else:
-            h = fnv64_array(pd.Series(list(ts), dtype=object)) if len(ts) else np.empty(0, np.uint64)
-            out.append(int(np.uint64(simhash_of(h, np.asarray(ws, float))).view(np.int64)))
-    return pd.Series(out, dtype="Int64")
+    """SimHash of ordered tokens and weights, as the signed number with the same bits; 0 for none, null for null. Each distinct token of a batch is hashed once."""
+    missing = np.array([t is None or w is None for t, w in zip(tokens, weights, strict=True)], bool)
+    sizes = np.array([0 if m else len(t) for t, m in zip(tokens, missing, strict=True)], np.int64)
+    flat = [x for t, m in zip(tokens, missing, strict=True) if not m for x in t]
+    if flat:
+        code, names = pd.factorize(pd.Series(flat, dtype=object))
+        hashes = fnv64_array(pd.Series(names, dtype=object))[code]
+        votes = np.concatenate([np.asarray(w, float) for w, m in zip(weights, missing, strict=True) if not m])
+    else:
+        hashes, votes = np.empty(0, np.uint64), np.empty(0)
+    out = simhash_arrays(hashes, votes, sizes).view(np.int64)
+    return pd.Series(out, dtype="Int64").mask(pd.Series(missing))

@@ -66,29 +66,38 @@ def token_counts(rows: DataFrame, key: str, text: Column, n: int = 3) -> DataFra
 
 
 class Segmenter:
-    """Best path through a dictionary's words by log frequency, from right to left; of equal paths the one with the shorter word."""
+    """Best path through a dictionary's words by log frequency, from right to left; of equal paths the one with the shorter word.
+
+    A trie holds the words, so that a place costs no more than its longest word. Where words begin but none of one character does, a
+    single character is no way on.
+    """
 
     def __init__(self, words: dict[str, int], total: int):
-        self.costs = {w: math.log((f or 1) / total) for w, f in words.items()}
         self.unknown = math.log(1 / total)
-        self.longest = max(map(len, words), default=1)
-        self.starts = {w[0] for w in words}
+        self.trie: dict = {}
+        for word, times in words.items():
+            node = self.trie
+            for c in word:
+                node = node.setdefault(c, {})
+            node[""] = math.log((times or 1) / total)
 
     def cut(self, text: str) -> list[str]:
         n = len(text)
-        best: list[tuple[float, int]] = [(0.0, 0)] * (n + 1)
+        score, to = [0.0] * (n + 1), [0] * (n + 1)
         for k in range(n - 1, -1, -1):
-            found = [(self.costs[w], j) for j in range(k + 1, min(n, k + self.longest) + 1) if (w := text[k:j]) in self.costs]
-            choice = None
-            for cost, j in found or [(self.unknown, k + 1)]:
-                score = cost + best[j][0]
-                if choice is None or score > choice[0]:
-                    choice = (score, j)
-            best[k] = choice
+            best, end = -math.inf, k + 1
+            node, j = self.trie.get(text[k]), k + 1
+            while node is not None:
+                cost = node.get("")
+                if cost is not None and cost + score[j] > best:
+                    best, end = cost + score[j], j
+                node = node.get(text[j]) if j < n else None
+                j += 1
+            score[k], to[k] = (best, end) if best > -math.inf else (self.unknown + score[k + 1], k + 1)
         out, k = [], 0
         while k < n:
-            out.append(text[k : best[k][1]])
-            k = best[k][1]
+            out.append(text[k : to[k]])
+            k = to[k]
         return out
 
 

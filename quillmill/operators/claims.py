@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squeezed, trimmed
+from ..functions.text import squeezed, trimmed, truncated, utf16_length, wide
 
 # Patterns of figures and names, and words that state causes or evidence.
 NUMERIC = [
-    "(?:约|近|超|达|不足)?百分之[0-9一二三四五六七八九十百千]+",
-    r"(?:约|近|超|达|不足)?[0-9]+(?:\.[0-9]+)?%",
-    r"[0-9]+(?:\.[0-9]+)?\s*(?:万亿|万|亿|千|百)?(?:美元|欧元|日元|英镑|人民币|元|人|个|年|月|天|小时|kg|km|m|cm|mm)",
-    "[0-9]{4}[-/年][0-9]{1,2}[-/月][0-9]{1,2}",
-    "[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日",
-    "[0-9]{1,2}月[0-9]{1,2}日",
-    "[0-9]{4}[-/年][0-9]{1,2}",
-    "(?:第[一二三四五六七八九十0-9]+|[一二三四五六七八九十]+倍|[0-9]+倍|[0-9]+番)",
+    r"(?:约|近|超|达|不足)?百分之[\d一二三四五六七八九十百千]+",
+    r"(?:约|近|超|达|不足)?\d+(?:\.\d+)?%",
+    r"\d+(?:\.\d+)?\s*(?:万亿|万|亿|千|百)?(?:美元|欧元|日元|英镑|人民币|元|美元|人|个|年|月|天|小时|kg|km|m|cm|mm)",
+    r"\d{4}[-/年]\d{1,2}[-/月]\d{1,2}",
+    r"\d{4}年\d{1,2}月\d{1,2}日",
+    r"\d{1,2}月\d{1,2}日",
+    r"\d{4}[-/年]\d{1,2}",
+    r"(?:第[一二三四五六七八九十\d]+|[一二三四五六七八九十]+倍|\d+倍|\d+番)",
 ]
 ENTITY = [
-    "[一-鿿]{2,6}(?:公司|机构|大学|学院|集团|基金|协会|部门|委员会|平台|系统|框架|协议|标准|组织|银行|医院|研究所|实验室)",
+    r"[\u4e00-\u9fff]{2,6}(?:公司|机构|大学|学院|集团|基金|协会|部门|委员会|平台|系统|框架|协议|标准|组织|银行|医院|研究所|实验室)",
     r"[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})+",
 ]
 CAUSAL = "导致 使得 造成 引起 证明 发现 表明 显示 研究结果 数据表明 统计显示 调查指出 报告指出 因此 所以 由此可见 这说明了 这意味着".split()
@@ -32,16 +32,16 @@ def claims(rows: DataFrame, key: str, text: str, limit: int = LIMIT) -> DataFram
 
     Works within the row up to the explode, so nothing is shuffled. Null and blank texts have no claims.
     """
-    sentences = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"[。！？\n.!?]+"), trimmed), lambda s: F.length(s) >= 3)
+    sentences = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"[。！？\n.!?]+"), trimmed), lambda s: utf16_length(s) >= 3)
 
     def of(sentence: Column) -> Column:
-        shown = F.when(F.length(sentence) <= 80, sentence).otherwise(F.concat(F.substring(sentence, 1, 80), F.lit("...")))
+        shown = F.when(utf16_length(sentence) <= 80, sentence).otherwise(F.concat(truncated(sentence, 80), F.lit("...")))
 
         def found(pattern: str, kind: str) -> Column:
-            return F.transform(F.regexp_extract_all(sentence, F.lit(pattern), 0), lambda a: F.struct(shown.alias("claim"), a.alias("anchor"), F.lit(kind).alias("type"), a.alias("once")))
+            return F.transform(F.regexp_extract_all(sentence, F.lit(wide(pattern)), 0), lambda a: F.struct(shown.alias("claim"), a.alias("anchor"), F.lit(kind).alias("type"), a.alias("once")))
 
         first = F.coalesce(*[F.when(F.instr(sentence, w) > 0, F.lit(w)) for w in CAUSAL])
-        cause = F.filter(F.array(F.struct(shown.alias("claim"), first.alias("anchor"), F.lit("causal").alias("type"), F.concat(F.lit("causal:"), F.substring(sentence, 1, 30)).alias("once"))), lambda c: c["anchor"].isNotNull() & (F.length(sentence) >= 8))
+        cause = F.filter(F.array(F.struct(shown.alias("claim"), first.alias("anchor"), F.lit("causal").alias("type"), F.concat(F.lit("causal:"), truncated(sentence, 30)).alias("once"))), lambda c: c["anchor"].isNotNull() & (utf16_length(sentence) >= 8))
         return F.concat(*[found(p, "numeric") for p in NUMERIC], *[found(p, "entity") for p in ENTITY], cause)
 
     every = F.flatten(F.transform(sentences, of))
@@ -60,7 +60,7 @@ def context_sentence(text: Column, at: Column, length: Column) -> Column:
     before = F.regexp_extract(F.substring(text, F.lit(1), at - 1), r"([^。！？\n.!?]*)\z", 1)
     after = F.regexp_extract(F.substring(text, at + length, F.length(text)), r"\A([^。！？\n.!?]*[。！？\n.!?]?)", 1)
     whole = trimmed(F.concat(before, F.substring(text, at, length), after))
-    return F.when(F.length(whole) > 200, F.concat(F.substring(whole, 1, 200), F.lit("..."))).otherwise(whole)
+    return F.when(utf16_length(whole) > 200, F.concat(truncated(whole, 200), F.lit("..."))).otherwise(whole)
 
 
 def located(rows: DataFrame, anchor: str, kind: str, source: str) -> DataFrame:

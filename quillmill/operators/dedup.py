@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import simhash
 from ..functions.similarity import edit_similarity, hamming, jaccard
+from ..functions.text import utf16_length
 from ..sources.state import checkpointed
 from . import vectors
 
@@ -40,8 +41,9 @@ def batch_pairs(rows: DataFrame, key: str, text: str, order: str, group: tuple[s
     """
     kept = rows.where(F.col(text).isNotNull())
     long = vectors.vectors(kept, key, text, group)
-    digest = vectors.summary(long, key, group).drop("len")
-    base = kept.select(*group, key, F.col(order).alias("_o"), F.col(text).alias("_t"), F.length(text).alias("_len"))
+    long = checkpointed(long)
+    digest = vectors.summary(long, key, group)
+    base = kept.select(*group, key, F.col(order).alias("_o"), F.col(text).alias("_t"), utf16_length(F.col(text)).alias("_len"))
     full = base.join(digest, [*group, key], "left").withColumn("top_tokens", F.coalesce("top_tokens", F.array().cast("array<string>")))
     rare = F.transform(F.array_sort(F.arrays_zip("top_df", "top_tokens")), lambda x: x["top_tokens"])
     size = F.size("top_tokens")
@@ -59,17 +61,21 @@ def batch_pairs(rows: DataFrame, key: str, text: str, order: str, group: tuple[s
     at = F.sequence(F.lit(1), F.greatest(F.col("_len") - 1, F.lit(1)))
     grams = tiny.select(*group, key, "_o", "_len", F.explode(F.array_distinct(F.transform(at, lambda i: F.col("_t").substr(i, F.lit(2))))).alias("_k"))
     pairs = ids(spread, spread, "_k").unionByName(ids(grams, grams, "_k")).distinct()
-    side = lambda name: full.select(*group, F.col(key).alias(name), *[F.col(c).alias(f"{name}_{c.strip('_')}") for c in ("_t", "_len", "top_tokens", "weights", "norm", "n_tokens")])
+    side = lambda name: full.select(*group, F.col(key).alias(name), *[F.col(c).alias(f"{name}_{c.strip('_')}") for c in ("_t", "_len", "top_tokens", "norm", "n_tokens")])
     both = pairs.join(side("later"), [*group, "later"]).join(side("earlier"), [*group, "earlier"])
-    overlap = jaccard(F.col("later_top_tokens"), F.col("earlier_top_tokens"))
     c = lambda name: F.col(f"later_{name}")
     d = lambda name: F.col(f"earlier_{name}")
-    cosine = F.coalesce(vectors.sparse_cosine(c("weights"), d("weights"), c("norm"), d("norm"), c("n_tokens"), d("n_tokens")), F.lit(0.0))
+    likely = both.withColumn("_overlap", jaccard(c("top_tokens"), d("top_tokens"))).where((F.col("_overlap") > 0) | (F.least(c("len"), d("len")) <= TINY))
     short = (c("len") < SHORT) & (d("len") < SHORT)
     edits = edit_similarity(c("t"), d("t"))
-    scored = both.withColumn("_overlap", overlap).where((F.col("_overlap") > 0) | (F.least(c("len"), d("len")) <= TINY))
-    scored = scored.withColumn("similarity", F.when(short, F.when(edits >= 0.7, edits)).otherwise(0.5 * cosine + 0.3 * F.col("_overlap")))
-    return scored.where(F.col("similarity") > threshold).select(*group, "later", "earlier", "similarity")
+    scored = checkpointed(likely.select(*group, "later", "earlier", "_overlap", short.alias("_short"), F.when(short, F.when(edits >= 0.7, edits)).alias("_edits"), *[f"{x}_{y}" for x in ("later", "earlier") for y in ("norm", "n_tokens")]))
+    # half the cosine is at most one half: the rest has to come from the top tokens
+    close = scored.where(~F.col("_short") & (0.5 + 0.3 * F.col("_overlap") > threshold))
+    close = close.join(vectors.dots(close, long, long, key, "later", "earlier", group), [*group, "later", "earlier"], "left")
+    cosine = vectors.sparse_cosine(F.col("dot"), c("norm"), d("norm"), c("n_tokens"), d("n_tokens"))
+    found = close.select(*group, "later", "earlier", (0.5 * cosine + 0.3 * F.col("_overlap")).alias("similarity"))
+    found = found.unionByName(scored.where("_short").select(*group, "later", "earlier", F.col("_edits").alias("similarity")))
+    return found.where(F.col("similarity") > threshold)
 
 
 def greedy_kept(pairs: DataFrame, group: tuple[str, ...] = (), order: DataFrame | None = None) -> DataFrame:
@@ -130,6 +136,13 @@ def fingerprints(rows: DataFrame, key: str, text: str, group: tuple[str, ...] =
     return vectors.ordered_weights(vectors.vectors(rows, key, text, group), key, group).select(*group, key, simhash("tokens", "weights").alias("simhash"))
 
 
+def voted(long: DataFrame) -> DataFrame:
+    """(key, simhash) of long rows (key, token, w) with whole votes, for which order does not matter."""
+    packed = F.sort_array(F.collect_list(F.struct("token", "w")))
+    found = long.groupBy("key").agg(packed.alias("_v"))
+    return found.select("key", simhash(F.transform("_v", lambda x: x["token"]), F.transform("_v", lambda x: x["w"])).alias("simhash"))
+
+
 def fingerprint_pairs(left: DataFrame, right: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b, distance): keys of (key, simhash) rows whose fingerprints differ in fewer than ``distance`` (at most 3) bits.
 
@@ -175,10 +188,11 @@ def band_of(similarity: Column, high: Column | float, mid: Column | float) -> Co
     return F.when(similarity >= high, "pending_high").when(similarity >= mid, "pending").otherwise("keep")
 
 
-def corpus_matches(fresh: DataFrame, corpus: DataFrame, key: str, text: str) -> DataFrame:
+def corpus_matches(fresh: DataFrame, corpus: DataFrame, key: str, text: str, title: str | None = None) -> DataFrame:
     """(key, other, score): each new row's best partner in the corpus, by fingerprints, length, top tokens and cosine.
 
-    Corpus weights use the corpus' mean length, new ones the mean over both; tokens that the corpus lacks weigh as if in no document.
+    Corpus weights use the corpus' mean length, new ones the mean over both; tokens that the corpus lacks weigh as if in no document. With
+    ``title``, titles count where both have enough tokens. Keys must be unique on each side.
     """
     sizes = vectors.corpus_size(corpus, key, text)
     known = vectors.counts(corpus, key, text)
@@ -189,16 +203,35 @@ def corpus_matches(fresh: DataFrame, corpus: DataFrame, key: str, text: str) ->
     seen = vectors.counts(fresh, key, text).where("token is not null").join(table, "token", "left").crossJoin(F.broadcast(mean))
     new = seen.select(key, "len", "token", "cnt", "pos", F.coalesce("df", F.lit(0)).alias("df"), vectors.weight(F.col("cnt"), F.col("len"), F.col("avg_len"), F.coalesce("idf", F.log(F.col("docs") + 1) + 1)).alias("w"))
     sides = []
+    new, own = checkpointed(new), checkpointed(own)
     for long in (new, own):
-        long = checkpointed(long)
         prints = vectors.ordered_weights(long, key).select(F.col(key).alias("key"), simhash("tokens", "weights").alias("simhash"))
         sides.append((checkpointed(prints), vectors.summary(long, key)))
     (fp_new, sum_new), (fp_own, sum_own) = sides
     near = fingerprint_pairs(fp_new, fp_own)
-    columns = ("len", "n_tokens", "norm", "top_tokens", "weights")
-    left, right = (s.select(F.col(key).alias(k), *[F.col(c).alias(f"{k}_{c}") for c in columns]) for s, k in ((sum_new, "a"), (sum_own, "b")))
+    near = checkpointed(near)
+    product = vectors.dots(near, new, own, key, "a", "b")
+    columns = ("n_tokens", "norm", "top_tokens")
+    length = utf16_length(F.coalesce(F.col(text), F.lit("")))
+    left, right = (d.join(s, key, "left").select(F.col(key).alias(k), F.col("_len").alias(f"{k}_len"), *[F.col(c).alias(f"{k}_{c}") for c in columns]) for d, s, k in ((fresh.select(key, length.alias("_len")), sum_new, "a"), (corpus.select(key, length.alias("_len")), sum_own, "b")))
     both = near.join(left, "a").join(right, "b").where(_length_ok(F.col("a_len"), F.col("b_len")))
-    both = both.withColumn("overlap", jaccard(F.col("a_top_tokens"), F.col("b_top_tokens"))).where((F.col("overlap") > 0) | (F.least("a_len", "b_len") <= TINY))
-    cosine = vectors.sparse_cosine(F.col("a_weights"), F.col("b_weights"), F.col("a_norm"), F.col("b_norm"), F.col("a_n_tokens"), F.col("b_n_tokens"))
-    scored = both.select(F.col("a").alias(key), F.col("b").alias("other"), combined_score(cosine, F.col("overlap"), F.lit(None)).alias("score"))
-    return best_match(scored, fresh.select(key, F.length(text).alias("len")), key, "other", "score", "len")
+    both = both.withColumn("overlap", jaccard(F.col("a_top_tokens"), F.col("b_top_tokens"))).where((F.col("overlap") > 0) | (F.least("a_len", "b_len") <= TINY)).join(product, ["a", "b"], "left")
+    content = vectors.sparse_cosine(F.col("dot"), F.col("a_norm"), F.col("b_norm"), F.col("a_n_tokens"), F.col("b_n_tokens"))
+    named = F.lit(None).cast("double")
+    if title:
+        both = both.join(title_cosines(near, fresh, corpus, key, title), ["a", "b"], "left")
+        named = F.col("title_cosine")
+    scored = both.select(F.col("a").alias(key), F.col("b").alias("other"), combined_score(content, F.col("overlap"), named).alias("score"))
+    return best_match(scored, fresh.select(key, length.alias("len")), key, "other", "score", "len")
+
+
+def title_cosines(pairs: DataFrame, fresh: DataFrame, corpus: DataFrame, key: str, title: str) -> DataFrame:
+    """(a, b, title_cosine) of pairs whose titles both have enough distinct tokens; titles weigh as texts of the corpus' titles."""
+    sizes = vectors.corpus_size(corpus.where(F.col(title).isNotNull()), key, title)
+    known = vectors.counts(corpus, key, title)
+    table = vectors.idf(known, sizes)
+    weigh = lambda found: found.join(table, "token", "left").crossJoin(F.broadcast(sizes)).select(key, "token", vectors.weight(F.col("cnt"), F.col("len"), F.col("avg_len"), F.coalesce("idf", F.log(F.greatest("docs", F.lit(1)) + 1) + 1)).alias("w"))
+    left, right = (checkpointed(weigh(found)) for found in (vectors.counts(fresh, key, title), known))
+    a, b = (vectors.norms(long, key).select(F.col(key).alias(k), F.col("norm").alias(f"n{k}"), F.col("n_tokens").alias(f"t{k}")) for long, k in ((left, "a"), (right, "b")))
+    long_enough = pairs.select("a", "b").join(a, "a").join(b, "b").where((F.col("ta") >= vectors.LEAST_TOKENS) & (F.col("tb") >= vectors.LEAST_TOKENS))
+    return long_enough.join(vectors.dots(long_enough, left, right, key, "a", "b"), ["a", "b"], "left").select("a", "b", vectors.sparse_cosine(F.col("dot"), F.col("na"), F.col("nb"), F.col("ta"), F.col("tb")).alias("title_cosine"))

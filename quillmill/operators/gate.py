@@ -12,7 +12,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WHITE, trimmed, utf16_length
+from ..functions.text import WHITE, trimmed, utf16_length, wide
 from ..functions.tokens import token_stats, tokens
 from .profiles import DEFAULTS
 
@@ -23,6 +23,7 @@ AD_PATTERNS = ["限[时期限].{0,3}[优特惠抢]", "点击.{0,3}(这里|链接
 # Residue of markup and of wrong decoding.
 HTML_PATTERNS = [r"(?i)<[a-z][a-z0-9]*\s[^>]*>", r"(?i)</[a-z][a-z0-9]*>", r"(?i)<(?:script|style|iframe|object|embed)[^>]*>", r"&[a-z]{2,8};", r"&#[0-9]{2,5};"]
 MOJIBAKE_PATTERNS = ["锟斤拷", "烫烫烫", "屯屯屯", "[ÂÃÄÅÆÇÈÉÊËÌÍÎÏ]{3,}", "�{3,}"]
+# Addresses.
 LINK_PATTERNS = [r"https?://\S+", r"www\.\S+\.\S+"]
 # Fixed value: characters that are no noise.
 CLEAN_RANGES = r"\x{20}-\x{24F}\x{370}-\x{3FF}\x{400}-\x{4FF}\x{600}-\x{6FF}\x{900}-\x{97F}\x{E00}-\x{E7F}\x{2000}-\x{206F}\x{2200}-\x{22FF}\x{2500}-\x{257F}\x{3000}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{FE00}-\x{FE0F}\x{FF00}-\x{FFEF}\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1F9FF}\x{1FA00}-\x{1FA6F}\x{20000}-\x{2A6DF}\t\n\r"
@@ -45,12 +46,12 @@ def _sum(columns: list[Column]) -> Column:
 def cheap_metrics(rows: DataFrame, text: str) -> DataFrame:
     c = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(c)
-    links = F.concat(*[F.regexp_extract_all(c, F.lit(p), 0) for p in LINK_PATTERNS])
+    links = F.concat(*[F.regexp_extract_all(c, F.lit(wide(p)), 0) for p in LINK_PATTERNS])
     return rows.select(
         "*",
         utf16_length(c).alias("len"),
         (_sum([(F.instr(low, p) > 0).cast("int") for p in AD_PHRASES + BAIT_PHRASES]) + _sum([F.regexp_count(c, F.lit(p)) for p in AD_PATTERNS])).alias("quality_hits"),
-        _sum([F.regexp_count(c, F.lit(p)) for p in HTML_PATTERNS]).alias("html_hits"),
+        _sum([F.regexp_count(c, F.lit(wide(p))) for p in HTML_PATTERNS]).alias("html_hits"),
         _sum([F.regexp_count(c, F.lit(p)) for p in MOJIBAKE_PATTERNS]).alias("mojibake_hits"),
         F.size(links).alias("link_count"),
         F.aggregate(links, F.lit(0), lambda a, x: a + utf16_length(x)).alias("link_chars"),

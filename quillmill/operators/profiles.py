@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, WHITE, trimmed, utf16_length
+from ..functions.text import STOP_WORDS, WHITE, trimmed, utf16_length, wide
 
 PROFILES = ("dense", "balanced", "sparse")
 # Thresholds by profile, in the order of PROFILES.
@@ -63,6 +63,7 @@ def chosen_profile(manual: Column, auto: Column) -> Column:
 
 def without_noise(text: Column) -> Column:
     """Text without code, tags, links, entities and counters of readers."""
+    # What is removed, in this order, and what stands for it.
     for pattern, by in (
         (r"```[\s\S]*?```", " "),
         (r"`[^`]+`", " "),
@@ -74,7 +75,7 @@ def without_noise(text: Column) -> Column:
         (r"(?:阅读|阅读数|点赞|在看|转发|收藏)\s*\d+", " "),
         (r"🎧\s*\d+人", " "),
     ):
-        text = F.regexp_replace(text, pattern, by)
+        text = F.regexp_replace(text, wide(pattern), by)
     return text
 
 
@@ -92,13 +93,14 @@ def term_density(text: Column) -> Column:
 
 def data_points(text: Column) -> Column:
     """Distinct percentages, measures, years and dates, and Chinese magnitudes."""
+    # The patterns.
     years = F.filter(F.regexp_extract_all(text, F.lit(r"(?<!\d)\d{4}(?:[-/年]\d{1,2}(?:[-/月]\d{1,2})?)?(?!\d)"), 0), lambda y: F.substring(y, 1, 4).cast("int").between(1900, 2100))
     return F.array_distinct(
         F.concat(
             F.regexp_extract_all(text, F.lit(r"(?:约|近|超|达)?\d+(?:\.\d+)?%"), 0),
-            F.regexp_extract_all(text, F.lit(rf"(?iu)\d+(?:\.\d+)?\s*(?:{UNITS})"), 0),
+            F.regexp_extract_all(text, F.lit(wide(rf"(?iu)\d+(?:\.\d+)?\s*(?:{UNITS})")), 0),
             years,
-            F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?\s*(?:万亿|亿|千万|百万|万|千)\s*(?:元|美元|欧元|人|台|套|条|座|个|辆|次)?"), 0),
+            F.regexp_extract_all(text, F.lit(wide(r"\d+(?:\.\d+)?\s*(?:万亿|亿|千万|百万|万|千)\s*(?:元|美元|欧元|人|台|套|条|座|个|辆|次)?")), 0),
         )
     )
 

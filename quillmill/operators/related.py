@@ -28,10 +28,80 @@ def keyword_jaccard(queries: DataFrame, index: DataFrame, key: str, keywords: st
     return found.where(F.col("similarity") >= least) if least > 0 else found
 
 
+#: Keywords of queries that are sent to the workers at once, and cells of a batch's table of queries by rows.
+BLOCK_WORDS, CELLS = 4_000_000, 4_000_000
+
+
+def keyword_search(queries: DataFrame, index: DataFrame, key: str, keywords: str, least: float, top: int) -> DataFrame:
+    """(query, other, similarity): the ``top`` rows most alike to each query, of at least ``least`` (above 0).
+
+    The stated query set goes to the workers as an inverted index, in blocks of a bounded number of keywords; the index is read once a
+    block and stays where it is. Every task keeps ``top`` rows a query, and these are reduced, so what moves is queries x tasks x ``top``.
+    """
+    kinds = dict(index.dtypes)
+    filled = lambda rows: rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.array_distinct(F.coalesce(keywords, F.array().cast("array<string>"))).alias("words")).where(F.size("words") > 0)
+    asked, rows = filled(queries), filled(index)
+    total = asked.agg(F.sum(F.size("words"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_WORDS))
+    found = None
+    for block in range(blocks):
+        part = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == block)).toArrow()
+        lists = part.column("words").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        size = lists.value_lengths().to_numpy()
+        codes, order = np.sort(coded.indices.to_numpy()), np.argsort(coded.indices.to_numpy(), kind="stable")
+        # postings: the queries of each word, one word after the other
+        postings = np.repeat(np.arange(len(size)), size)[order].astype(np.int32)
+        starts = np.searchsorted(codes, np.arange(len(coded.dictionary) + 1))
+        sent = index.sparkSession.sparkContext.broadcast((part.column("k").combine_chunks(), size, coded.dictionary, postings, starts))
+
+        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, sizes, words, postings, starts = sent.value
+            n = len(names)
+            if not n:
+                return
+            step = max(1, CELLS // n)
+            query, close, other = np.empty(0, np.int64), np.empty(0), None
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    order = pa.compute.sort_indices(batch.column(0))  # ties go to the smaller key
+                    others, lists = batch.column(0).take(order), batch.column(1).take(order)
+                    own = lists.value_lengths().to_numpy()
+                    word = pa.compute.fill_null(pa.compute.index_in(lists.flatten(), value_set=words), -1).to_numpy()
+                    row = np.repeat(np.arange(len(own)), own)[word >= 0]
+                    word = word[word >= 0]
+                    times = starts[word + 1] - starts[word]
+                    ends = np.cumsum(times)
+                    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - times, times) + np.repeat(starts[word], times)
+                    shared = np.bincount(postings[place].astype(np.int64) * len(own) + np.repeat(row, times), minlength=n * len(own)).reshape(n, len(own))
+                    score = shared / (sizes[:, None] + own[None, :] - shared)
+                    score[score < least] = 0
+                    # no row is its own partner
+                    mine = pa.compute.fill_null(pa.compute.index_in(names, value_set=others), -1).to_numpy()
+                    score[np.flatnonzero(mine >= 0), mine[mine >= 0]] = 0
+                    q, c = np.nonzero(score > 0)
+                    new = others.take(pa.array(c))
+                    query, close = np.concatenate([query, q]), np.concatenate([close, score[q, c]])
+                    other = new if other is None else pa.concat_arrays([other, new])
+                    # the first ``top`` of each query
+                    order = np.lexsort((pa.compute.rank(other).to_numpy(), -close, query))
+                    query, close = query[order], close[order]
+                    first = np.searchsorted(query, query)
+                    keep = np.arange(len(query)) - first < top
+                    query, close, other = query[keep], close[keep], other.take(pa.array(order[keep]))
+            if len(query):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), other, pa.array(close)], names=["query", "other", "similarity"])
+
+        near = rows.mapInArrow(best, f"query {kinds[key]}, other {kinds[key]}, similarity double")
+        found = near if found is None else found.unionByName(near)
+    return first_rows(found, ["query"], [F.col("similarity").desc(), F.col("other")], top)
+
+
 def related(queries: DataFrame, index: DataFrame, key: str, text: str, least: float = 0.08, top: int = 5) -> DataFrame:
     """(query, other, similarity): for each query text the rows most alike by 2-gram keywords; texts without keywords find nothing."""
-    a, b = (rows.select(key, keyword_set(F.col(text)).alias("keywords")).where(F.size("keywords") > 0) for rows in (queries, index))
-    return first_rows(keyword_jaccard(a, b, key, "keywords", least), ["query"], [F.col("similarity").desc(), F.col("other")], top)
+    a, b = (rows.select(key, keyword_set(F.col(text)).alias("keywords")) for rows in (queries, index))
+    return keyword_search(a, b, key, "keywords", least, top)
 
 
 def diverse(candidates: DataFrame, keywords: DataFrame, key: str, top: int = 10, relevance: float = 0.6, threshold: float = 0.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ITEM = "array<struct<index:double,insight_score:double,knowledge_score:double,final_score:double,verdict:string,reason:string>>"
@@ -43,6 +43,12 @@ def kept_in_order(notes: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
     return notes.join(reviews.where(F.col("verdict") == KEEP).select(key, "idx", "final"), [key, "idx"]).orderBy(key, F.desc("final"), "idx")
 
 
+def places(reviews: DataFrame, key: str) -> DataFrame:
+    """(key, idx, place) of the kept notes, best first; equal scores keep their order."""
+    order = Window.partitionBy(key).orderBy(F.desc("final"), "idx")
+    return reviews.where(F.col("verdict") == KEEP).select(key, "idx", F.row_number().over(order).alias("place"))
+
+
 def survivors(pending: DataFrame, notes: DataFrame, key: str) -> DataFrame:
     """Pending rows whose note passed the later filters."""
     return pending.join(notes.select(key).distinct(), key, "left_semi")
@@ -66,3 +72,19 @@ def edited(note_title: Column, note_content: Column, new_title: Column, new_cont
     """Verification of an edited note: cleared if title or content changed."""
     same = note_title.eqNullSafe(new_title) & note_content.eqNullSafe(new_content)
     return F.when(same, verification)
+
+
+# What a list says of a note as a whole.
+LABELS = ("综合判断 · 超源", "综合判断 · 需对比", "综合判断 · 已溯源", "综合判断")
+
+
+def label(traced: Column, compare: Column, beyond: Column) -> Column:
+    """The gravest finding of a note: beyond the source, to be compared, traced, or none."""
+    some = lambda c: F.coalesce(c, F.lit(0)) > 0
+    return F.when(some(beyond), LABELS[0]).when(some(compare), LABELS[1]).when(some(traced), LABELS[2]).otherwise(LABELS[3])
+
+
+def restored(notes: DataFrame, removed: DataFrame, key: str) -> DataFrame:
+    """Notes together with duplicates (key, title, content) that come back as notes of their own: a new key, no tags, nothing verified."""
+    back = removed.select(F.concat(F.lit("restored-"), F.col(key)).alias(key), "title", "content", F.array().cast("array<string>").alias("tags"))
+    return notes.unionByName(back, allowMissingColumns=True)

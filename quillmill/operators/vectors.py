@@ -6,6 +6,10 @@ an extraction), each with its own document count, frequencies and mean length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +22,29 @@ LEAST_TOKENS = 3
 
 
 def counts(rows: DataFrame, key: str, text: str, group: tuple[str, ...] = (), n: int = 3) -> DataFrame:
-    """(group, key, len, token, cnt, pos)"""
-    spread = rows.select(*group, key, utf16_length(F.col(text)).alias("len"), F.posexplode_outer(tokens(F.coalesce(F.col(text), F.lit("")), n)).alias("pos", "token"))
-    return spread.groupBy(*group, key, "token").agg(F.max("len").alias("len"), F.count("token").alias("cnt"), F.min("pos").alias("pos"))
+    """(group, key, len, token, cnt, pos): one row per row and distinct token; keys must be unique (in their group). Null texts have no tokens.
+
+    Tokens are cut by Catalyst and counted within the row, whole batches at a time, so nothing is shuffled.
+    """
+    kinds = dict(rows.dtypes)
+    cut = rows.select(*group, key, utf16_length(F.col(text)).alias("len"), tokens(F.coalesce(F.col(text), F.lit("")), n).alias("tokens"))
+    names = [*group, key, "len", "token", "cnt", "pos"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            coded = lists.flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            start = np.concatenate([[0], np.cumsum(size)])
+            cell, first, times = np.unique(row * len(coded.dictionary) + coded.indices.to_numpy(), return_index=True, return_counts=True)
+            at = cell // len(coded.dictionary)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns[:-1]), coded.dictionary.take(pa.array(cell % len(coded.dictionary))), pa.array(times, pa.int64()), pa.array((first - start[at]).astype(np.int32))], names=names)
+
+    return cut.mapInArrow(count, ", ".join([*(f"{c} {kinds[c]}" for c in (*group, key)), "len int, token string, cnt long, pos int"]))
 
 
 def corpus_size(rows: DataFrame, key: str, text: str, group: tuple[str, ...] = ()) -> DataFrame:
@@ -31,7 +55,7 @@ def corpus_size(rows: DataFrame, key: str, text: str, group: tuple[str, ...] = (
 def idf(token_counts: DataFrame, sizes: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """(group, token, df, idf) with smoothing: ln((N+1)/(df+1))+1"""
     found = token_counts.where("token is not null").groupBy(*group, "token").agg(F.count("*").alias("df"))
-    joined = found.join(F.broadcast(sizes), list(group)) if group else found.crossJoin(F.broadcast(sizes))
+    joined = found.join(sizes, list(group)) if group else found.crossJoin(F.broadcast(sizes))  # without groups it is one row
     return joined.select(*group, "token", "df", (F.log((F.greatest("docs", F.lit(1)) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
@@ -46,7 +70,7 @@ def vectors(rows: DataFrame, key: str, text: str, group: tuple[str, ...] = (), n
     sizes = corpus_size(rows, key, text, group)
     table = idf(found, sizes, group)
     weighed = found.where("token is not null").join(table, [*group, "token"])
-    weighed = weighed.join(F.broadcast(sizes), list(group)) if group else weighed.crossJoin(F.broadcast(sizes))
+    weighed = weighed.join(sizes, list(group)) if group else weighed.crossJoin(F.broadcast(sizes))
     return weighed.select(*group, key, "len", "token", "cnt", "pos", "df", weight(F.col("cnt"), F.col("len"), F.col("avg_len"), F.col("idf")).alias("w"))
 
 
@@ -55,15 +79,28 @@ def norms(long: DataFrame, key: str, group: tuple[str, ...] = ()) -> DataFrame:
     return long.groupBy(*group, key).agg(F.count("*").alias("n_tokens"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def summary(long: DataFrame, key: str, group: tuple[str, ...] = (), top: int = 5) -> DataFrame:
-    """(group, key, len, n_tokens, norm, top_tokens): distinct tokens, L2 norm, and the heaviest tokens, earlier ones first among equals.
+def top(long: DataFrame, key: str, group: tuple[str, ...] = (), k: int = 5) -> DataFrame:
+    """The rows of the k heaviest tokens of each key, earlier ones first among equals.
 
-    Equal weights are compared at twelve digits, so that the order doesn't hang on the last bit of a logarithm.
+    Equal weights are compared at twelve digits, so that the order doesn't hang on the last bit of a logarithm. Each partition is cut to
+    its own first k of a key before anything moves.
     """
-    packed = F.sort_array(F.collect_list(F.struct((-F.round("w", 12)).alias("o"), "pos", "token", "df", "w")))
-    found = long.groupBy(*group, key).agg(F.max("len").alias("len"), F.count("*").alias("n_tokens"), packed.alias("_v"))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    return found.select(*group, key, "len", "n_tokens", norm.alias("norm"), F.transform(F.slice("_v", 1, top), lambda x: x["token"]).alias("top_tokens"), F.transform(F.slice("_v", 1, top), lambda x: x["df"]).alias("top_df"), F.transform(F.array_sort(F.transform("_v", lambda x: F.struct(x["token"].alias("token"), x["w"].alias("w")))), lambda x: x).alias("weights"))
+    order = Window.partitionBy(*group, key).orderBy(F.round("w", 12).desc(), "pos")
+    return long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def summary(long: DataFrame, key: str, group: tuple[str, ...] = (), k: int = 5) -> DataFrame:
+    """(group, key, n_tokens, norm, top_tokens, top_df)"""
+    best = top(long, key, group, k).groupBy(*group, key).agg(F.sort_array(F.collect_list(F.struct("rank", "token", "df"))).alias("_v"))
+    tops = best.select(*group, key, F.transform("_v", lambda x: x["token"]).alias("top_tokens"), F.transform("_v", lambda x: x["df"]).alias("top_df"))
+    return norms(long, key, group).join(tops, [*group, key])
+
+
+def dots(pairs: DataFrame, left: DataFrame, right: DataFrame, key: str, a: str, b: str, group: tuple[str, ...] = ()) -> DataFrame:
+    """(group, a, b, dot) of pairs of keys, over their common tokens; weights are read only for keys that stand in a pair."""
+    of_a = pairs.select(*group, a, b).join(left.select(*group, F.col(key).alias(a), "token", F.col("w").alias("_wa")), [*group, a])
+    both = of_a.join(right.select(*group, F.col(key).alias(b), "token", F.col("w").alias("_wb")), [*group, b, "token"])
+    return both.groupBy(*group, a, b).agg(F.sum(F.col("_wa") * F.col("_wb")).alias("dot"))
 
 
 def ordered_weights(long: DataFrame, key: str, group: tuple[str, ...] = ()) -> DataFrame:
@@ -73,16 +110,10 @@ def ordered_weights(long: DataFrame, key: str, group: tuple[str, ...] = ()) -> D
     return found.select(*group, key, F.transform("_v", lambda x: x["token"]).alias("tokens"), F.transform("_v", lambda x: x["w"]).alias("weights"))
 
 
-def sparse_dot(a: Column, b: Column) -> Column:
-    """Product of two weight arrays sorted by token, by way of a map of the second."""
-    other = F.map_from_entries(b)
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.element_at(other, x["token"]), F.lit(0.0)))
-
-
-def sparse_cosine(a: Column, b: Column, norm_a: Column, norm_b: Column, n_a: Column, n_b: Column) -> Column:
-    """0 for texts with too few distinct tokens or without weight, else clamped to [0, 1]."""
+def sparse_cosine(dot: Column, norm_a: Column, norm_b: Column, n_a: Column, n_b: Column) -> Column:
+    """0 for texts with too few distinct tokens or without weight, else clamped to [0, 1]; a missing product is 0."""
     few = (n_a < LEAST_TOKENS) | (n_b < LEAST_TOKENS) | (norm_a == 0) | (norm_b == 0)
-    return F.when(F.coalesce(few, F.lit(True)), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sparse_dot(a, b) / (norm_a * norm_b))))
+    return F.when(F.coalesce(few, F.lit(True)), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(dot, F.lit(0.0)) / (norm_a * norm_b))))
 
 
 def first_rows(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

@@ -2,49 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text, tokens
 from ..functions.similarity import edit_similarity, fitted
-from ..operators import claims, dedup, dense, gate, notes, profiles, related, review, vectors
+from ..operators import claims, dedup, dense, gate, notes, profiles, related, review, titles, vectors
 from ..sources import readers, state
 from ..streaming import changes
 from . import oracle
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-#: Tables of texts, whose rows cost much more than reading them.
-TEXTS = {"documents", "notes", "url_extracts"}
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table; texts that lie in fewer pieces than there are cores are spread, so that one small file doesn't end in one task."""
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if name in TEXTS and rows.rdd.getNumPartitions() < cores // 2 else rows
-
-
-def query(name: str, sql: str | None = None):
-    def register(function: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = function
-        if sql:
-            SQL[name] = sql
-        return function
-
-    return register
-
-
-def distinct_notes(spark: SparkSession, folder: str) -> DataFrame:
-    """Notes once each, with a number by id in their batch."""
-    return table(spark, folder, "notes").select("id", "title", "content", "source", "batch").distinct()
-
-
-NOTES = "(SELECT DISTINCT id, title, content, source, batch FROM notes)"
+from .registry import NOTES, QUERIES, SQL, distinct_notes, query, table
 
 # ---- gate ---------------------------------------------------------------------------------------------------------------------
 _METRIC = {"length": "len", "quality": "quality_hits", "html": "html_hits", "mojibake": "mojibake_hits", "links": "link_count", "stuffing": "token_top", "density": "token_distinct", "noise": "noise_ratio", "paragraphs": "paragraph_similarity"}
@@ -120,7 +87,7 @@ def bm25_norms(spark: SparkSession, folder: str) -> DataFrame:
 @query("top_tokens", f"WITH {_DOC_VECTORS} SELECT doc_id, r AS rank, k AS token FROM vr WHERE r <= 5")
 def top_tokens(spark: SparkSession, folder: str) -> DataFrame:
     long = vectors.vectors(table(spark, folder, "documents").where("text is not null"), "doc_id", "text")
-    return vectors.summary(long, "doc_id").select("doc_id", F.posexplode("top_tokens").alias("p", "token")).select("doc_id", (F.col("p") + 1).alias("rank"), "token")
+    return vectors.top(long, "doc_id").select("doc_id", "rank", "token")
 
 
 @query(
@@ -134,15 +101,13 @@ def fnv64_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     return words.select("token", hashing.fnv64("token").alias("hash"))
 
 
-@query("fnv32_titles")
+@query("fnv32_titles", f"SELECT title, {oracle.fnv32('title')} AS hash FROM (SELECT DISTINCT title FROM notes)")
 def fnv32_titles(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "notes").select("title").distinct().select("title", hashing.fnv32_lossy("title").alias("hash"))
 
 
 # ---- duplicates ---------------------------------------------------------------------------------------------------------------
-@query(
-    "batch_near_dups",
-    f"""WITH n AS {NOTES}, {oracle.vectors('n', 'id', 'content', 'batch').replace('FROM n WHERE', 'FROM n WHERE')},
+_PAIRS = f"""n AS {NOTES}, {oracle.vectors('n', 'id', 'content', 'batch')},
 tops AS (SELECT batch, id, list(k) AS top FROM vr WHERE r <= 5 GROUP BY ALL),
 b AS (SELECT n.batch, n.id, n.content AS t, length(n.content) AS len, coalesce(top, []) AS top, coalesce(norm, 0) AS norm, coalesce(n_tokens, 0) AS nt FROM n LEFT JOIN tops USING (batch, id) LEFT JOIN vn USING (batch, id) WHERE n.content IS NOT NULL),
 p AS (SELECT x.batch, x.id AS later, y.id AS earlier, x.t AS xt, y.t AS yt, x.len AS xl, y.len AS yl, x.norm AS xn, y.norm AS yn, x.nt AS xk, y.nt AS yk,
@@ -151,34 +116,90 @@ p AS (SELECT x.batch, x.id AS later, y.id AS earlier, x.t AS xt, y.t AS yt, x.le
 q AS (SELECT * FROM p WHERE o > 0 OR least(xl, yl) <= 30),
 dots AS (SELECT q.batch, later, earlier, sum(a.w * c.w) AS d FROM q JOIN v a ON a.batch = q.batch AND a.id = later JOIN v c ON c.batch = q.batch AND c.id = earlier AND c.k = a.k GROUP BY ALL),
 s AS (SELECT q.batch, later, earlier, CASE WHEN xl < 100 AND yl < 100 THEN CASE WHEN 1 - levenshtein(xt, yt) / greatest(xl, yl) >= 0.7 THEN 1 - levenshtein(xt, yt) / greatest(xl, yl) END
-  ELSE 0.5 * CASE WHEN xk < 3 OR yk < 3 THEN 0 ELSE least(1, coalesce(d, 0) / (xn * yn)) END + 0.3 * o END AS similarity FROM q LEFT JOIN dots USING (batch, later, earlier))
-SELECT batch, later, earlier, round(similarity, 6) AS similarity FROM s WHERE similarity > 0.65""",
-)
+  ELSE 0.5 * CASE WHEN xk < 3 OR yk < 3 THEN 0 ELSE least(1, coalesce(d, 0) / (xn * yn)) END + 0.3 * o END AS similarity FROM q LEFT JOIN dots USING (batch, later, earlier)),
+pairs AS (SELECT batch, later, earlier, similarity FROM s WHERE similarity > 0.65)"""
+
+
+@query("batch_near_dups", f"WITH {_PAIRS} SELECT batch, later, earlier, round(similarity, 6) AS similarity FROM pairs")
 def batch_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     pairs = dedup.batch_pairs(distinct_notes(spark, folder), "id", "content", "id", ("batch",))
     return pairs.select("batch", "later", "earlier", F.round("similarity", 6).alias("similarity"))
 
 
-@query("batch_dropped")
+@query(
+    "batch_dropped",
+    f"""WITH RECURSIVE {_PAIRS},
+nodes AS (SELECT batch, id, list(earlier) FILTER (earlier IS NOT NULL) AS before, row_number() OVER (PARTITION BY batch ORDER BY id) AS n FROM (SELECT batch, later AS id, earlier FROM pairs UNION SELECT batch, earlier, NULL FROM pairs) GROUP BY batch, id),
+walk AS (SELECT DISTINCT batch, 0::BIGINT AS n, []::VARCHAR[] AS kept FROM pairs UNION ALL
+  SELECT w.batch, x.n, CASE WHEN len(list_intersect(w.kept, coalesce(x.before, []))) > 0 THEN w.kept ELSE list_append(w.kept, x.id) END FROM walk w JOIN nodes x ON x.batch = w.batch AND x.n = w.n + 1),
+last AS (SELECT batch, arg_max(kept, n) AS kept FROM walk GROUP BY batch)
+SELECT batch, later, min(earlier) AS earlier FROM pairs JOIN last USING (batch) WHERE NOT list_contains(kept, later) AND list_contains(kept, earlier) GROUP BY batch, later""",
+)
 def batch_dropped(spark: SparkSession, folder: str) -> DataFrame:
     """Notes dropped by the greedy pass over each batch, with the kept note that each repeats."""
     return dedup.greedy_kept(dedup.batch_pairs(distinct_notes(spark, folder), "id", "content", "id", ("batch",)), ("batch",))
 
 
-@query("corpus_matches")
+def _fingerprints(long: str, key: str, order: str, weight: str) -> str:
+    """Fingerprints of long rows (key, k, weight) with their hashes in ``h64``."""
+    return f"""(SELECT {key}, sum(CASE WHEN v > 0 AND b < 32 THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS lo, sum(CASE WHEN v > 0 AND b >= 32 THEN 1::BIGINT << (b - 32) ELSE 0 END)::BIGINT AS hi FROM
+(SELECT {key}, b, list_reduce([0.0::DOUBLE] || list(CASE WHEN ((CASE WHEN b < 32 THEN h0 ELSE h1 END) >> (b % 32)) & 1 = 1 THEN {weight} ELSE -{weight} END ORDER BY {order}), lambda s, x: trunc(s + x)) AS v
+ FROM (SELECT x.*, (h64 % 4294967296)::BIGINT AS h0, (h64 // 4294967296)::BIGINT AS h1 FROM {long} x JOIN hashes USING (k)), (SELECT unnest(range(64))::INT AS b) GROUP BY {key}, b) GROUP BY {key})"""
+
+
+@query(
+    "corpus_matches",
+    f"""WITH n AS (SELECT * FROM {NOTES} WHERE content IS NOT NULL), old AS (SELECT * FROM n WHERE batch = 1), new AS (SELECT * FROM n WHERE batch > 1), {oracle.vectors('old', 'id', 'content')},
+n2 AS (SELECT count(*) AS d2, avg({oracle.length('content')}) AS a2 FROM new),
+tx2 AS (SELECT id, {oracle.length('content')} AS len, unnest({oracle.tokens('content', 3)}) AS k, generate_subscripts({oracle.tokens('content', 3)}, 1) - 1 AS pos FROM new),
+tc2 AS (SELECT id, k, max(len) AS len, count(*) AS cnt, min(pos) AS pos FROM tx2 GROUP BY ALL),
+v2 AS (SELECT id, k, len, pos, cnt / (cnt + 1.5 * (0.25 + 0.75 * len / ((n_docs * avg_len + d2 * a2) / (n_docs + d2)))) * coalesce(idf, ln(n_docs + 1) + 1) AS w FROM tc2 LEFT JOIN idf USING (k) CROSS JOIN sz CROSS JOIN n2),
+all_tokens AS (SELECT DISTINCT k FROM (SELECT k FROM v UNION ALL SELECT k FROM v2)), hashes AS (SELECT k, {oracle.fnv64('k')} AS h64 FROM all_tokens),
+f1 AS {_fingerprints('v', 'id', 'pos', 'w')}, f2 AS {_fingerprints('v2', 'id', 'pos', 'w')},
+r1 AS (SELECT id, list(k) AS top FROM vr WHERE r <= 5 GROUP BY id), r2 AS (SELECT id, list(k) AS top FROM (SELECT id, k, row_number() OVER (PARTITION BY id ORDER BY round(w, 12) DESC, pos) AS r FROM v2) WHERE r <= 5 GROUP BY id),
+m1 AS (SELECT id, count(*) AS nt, sqrt(sum(w * w)) AS norm FROM v GROUP BY id), m2 AS (SELECT id, count(*) AS nt, sqrt(sum(w * w)) AS norm FROM v2 GROUP BY id),
+p AS (SELECT f2.id AS a, f1.id AS b FROM f2 JOIN f1 ON bit_count(xor(f2.lo, f1.lo)) + bit_count(xor(f2.hi, f1.hi)) < 3),
+q AS (SELECT a, b, {oracle.length('x.content')} AS la, {oracle.length('y.content')} AS lb, coalesce(r2.top, []) AS ta, coalesce(r1.top, []) AS tb FROM p JOIN new x ON x.id = a JOIN old y ON y.id = b LEFT JOIN r2 ON r2.id = a LEFT JOIN r1 ON r1.id = b),
+s AS (SELECT *, coalesce(len(list_intersect(ta, tb)) / nullif(len(list_distinct(ta || tb)), 0), 0) AS o FROM q WHERE abs(la - lb) <= 0.3 * greatest(la, lb)),
+d AS (SELECT a, b, sum(x.w * y.w) AS dot FROM s JOIN v2 x ON x.id = a JOIN v y ON y.id = b AND y.k = x.k GROUP BY ALL),
+c AS (SELECT s.a, s.b, 0.6 * CASE WHEN m2.nt < 3 OR m1.nt < 3 OR m1.nt IS NULL OR m2.nt IS NULL THEN 0 ELSE greatest(0, least(1, coalesce(dot, 0) / (m1.norm * m2.norm))) END + 0.4 * o AS score FROM s LEFT JOIN d USING (a, b) LEFT JOIN m2 ON m2.id = a LEFT JOIN m1 ON m1.id = b WHERE o > 0 OR least(la, lb) <= 30),
+best AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM c)
+SELECT new.id AS id, b AS other, round(CASE WHEN score IS NOT NULL AND {oracle.length('content')} < 100 THEN least(score * 1.15, 1) ELSE score END, 6) AS score FROM new LEFT JOIN (SELECT * FROM best WHERE r = 1) ON a = new.id""",
+)
 def corpus_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Notes of later batches with their best partner in the first batch."""
     rows = distinct_notes(spark, folder).where("content is not null")
-    return dedup.corpus_matches(rows.where("batch > 1"), rows.where("batch = 1"), "id", "content")
+    return dedup.corpus_matches(rows.where("batch > 1"), rows.where("batch = 1"), "id", "content").select("id", "other", F.round("score", 6).alias("score"))
 
 
-@query("simhash_pairs")
+@query("titled_matches")
+def titled_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with titles in the score."""
+    rows = distinct_notes(spark, folder).where("content is not null")
+    return dedup.corpus_matches(rows.where("batch > 1"), rows.where("batch = 1"), "id", "content", "title").select("id", "other", F.round("score", 6).alias("score"))
+
+
+@query(
+    "simhash_pairs",
+    f"""WITH t AS (SELECT id, unnest({oracle.tokens('content', 3)}) AS k FROM {NOTES} WHERE content IS NOT NULL), c AS (SELECT id, k, count(*)::DOUBLE AS w FROM t GROUP BY ALL),
+e0 AS (SELECT DISTINCT path, mtime, tokens FROM dedup_features WHERE path IS NOT NULL), e1 AS (SELECT path, arg_max(tokens, (coalesce(mtime, -1), tokens)) AS tokens FROM e0 GROUP BY path),
+e AS (SELECT path, x.token AS k, sum(x.cnt)::DOUBLE AS w FROM (SELECT path, unnest(tokens) AS x FROM e1) WHERE x.token IS NOT NULL AND NOT starts_with(x.token, 'W:') GROUP BY ALL),
+hashes AS (SELECT k, {oracle.fnv64('k')} AS h64 FROM (SELECT k FROM c UNION SELECT k FROM e)),
+a AS {_fingerprints('c', 'id', 'k', 'w')}, b AS {_fingerprints('e', 'path', 'k', 'w')}
+SELECT id AS a, path AS b, bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS distance FROM a, b
+WHERE a.lo + a.hi <> 0 AND b.lo + b.hi <> 0 AND bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) < 3""",
+)
 def simhash_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Notes of a batch and history entries whose fingerprints differ in fewer than three bits."""
-    prints = dedup.fingerprints(distinct_notes(spark, folder).where("content is not null"), "id", "content").select(F.col("id").alias("key"), "simhash")
-    clean = F.lower(F.regexp_replace("simhash_fp", "^0[xX]", ""))
-    known = table(spark, folder, "dedup_features").where("path is not null").select(F.col("path").alias("key"), F.conv(F.nullif(clean, F.lit("")), 16, -10).cast("long").alias("simhash")).where("simhash is not null and simhash <> 0")
-    return dedup.fingerprint_pairs(state.checkpointed(prints).where("simhash <> 0"), known.distinct())
+    """Notes and entries of the history in force whose fingerprints differ in fewer than three bits.
+
+    Both sides vote by their counts, over n-grams and words alone: marked dictionary words are left out, as the client's list is not at hand.
+    """
+    notes_long = vectors.counts(distinct_notes(spark, folder).where("content is not null"), "id", "content").select(F.col("id").alias("key"), "token", F.col("cnt").cast("double").alias("w"))
+    entries = changes.latest(table(spark, folder, "dedup_features").where("path is not null").select("path", F.struct(F.coalesce("mtime", F.lit(-1)), "tokens").alias("at"), "tokens"), "path", "at")
+    spread = entries.select(F.col("path").alias("key"), F.explode("tokens").alias("t")).where("t.token is not null and not startswith(t.token, 'W:')")
+    entry_long = spread.groupBy("key", F.col("t.token").alias("token")).agg(F.sum("t.cnt").cast("double").alias("w"))
+    sides = [state.checkpointed(dedup.voted(long)).where("simhash <> 0") for long in (notes_long, entry_long)]
+    return dedup.fingerprint_pairs(*sides)
 
 
 @query(
@@ -200,18 +221,27 @@ def fitted_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select("vec_id", F.round(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x), 9).alias("energy"), F.size(vector).alias("dimension"))
 
 
-@query("title_edits", f"SELECT DISTINCT a.id AS id, b.id AS other, round(1 - levenshtein(a.title, b.title) / greatest(length(a.title), length(b.title)), 9) AS similarity FROM {NOTES} a JOIN {NOTES} b ON a.title = b.title AND a.id < b.id WHERE length(a.title) > 0")
+_TITLES = "t AS (SELECT DISTINCT title AS t FROM notes WHERE length(title) > 0)"
+
+
+@query("title_edits", f"WITH {_TITLES}, p AS (SELECT a.t AS a, b.t AS b FROM t a JOIN t b ON a.t < b.t AND substr(a.t, 1, 6) = substr(b.t, 1, 6)), {oracle.edit_similarities('p', 'a', 'b')} SELECT a, b, round(similarity, 9) AS similarity FROM es")
 def title_edits(spark: SparkSession, folder: str) -> DataFrame:
-    """Edit similarity of notes with equal titles, a check of the scalar function."""
-    rows = distinct_notes(spark, folder).where("length(title) > 0").select("id", "title")
-    both = rows.join(rows.select(F.col("id").alias("other"), "title", F.col("title").alias("t2")), "title").where("id < other")
-    return both.select("id", "other", F.round(edit_similarity(F.col("title"), F.col("t2")), 9).alias("similarity"))
+    """Edit similarity of different titles that begin alike."""
+    rows = table(spark, folder, "notes").where("length(title) > 0").select("title").distinct().withColumn("start", F.substring("title", 1, 6))
+    both = rows.withColumnRenamed("title", "a").join(rows.withColumnRenamed("title", "b"), "start").where("a < b")
+    return both.select("a", "b", F.round(edit_similarity(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
-@query("title_pairs")
+@query(
+    "title_pairs",
+    rf"""WITH {_TITLES}, p AS MATERIALIZED (SELECT a.t AS a, b.t AS b FROM t a JOIN t b ON a.t < b.t AND least(length(a.t), length(b.t)) >= 0.69 * greatest(length(a.t), length(b.t))
+  AND levenshtein(a.t, b.t) <= CASE WHEN regexp_matches(a.t || b.t, '[^\x00-\x{{7FF}}‐-₿]') THEN 1.0 ELSE 0.65 END * greatest(length(a.t), length(b.t))), {oracle.edit_similarities('p', 'a', 'b')}
+SELECT a, b, round(similarity, 9) AS similarity FROM es WHERE similarity >= 0.7 - 1e-9""",
+)
 def title_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Different titles whose edit similarity is at least 0.7."""
-    return dedup.edit_pairs(table(spark, folder, "notes").select("title").distinct(), "title", 0.7)
+    found = dedup.edit_pairs(table(spark, folder, "notes").select("title").distinct(), "title", 0.7)
+    return found.select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
 # ---- search -------------------------------------------------------------------------------------------------------------------
@@ -231,11 +261,25 @@ def related_documents(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query", "other", F.round("similarity", 9).alias("similarity"))
 
 
-@query("related_diverse")
+def _diverse_sql(steps: int = 10) -> str:
+    """The choices one after the other: each step takes the best of what is left."""
+    out = f"""WITH kw AS ({_KEYWORDS}), x AS (SELECT doc_id, len(k) AS n, unnest(k) AS w FROM kw),
+j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (max(a.n) + max(b.n) - count(*)) AS s FROM x a JOIN x b USING (w) GROUP BY ALL),
+q AS (SELECT doc_id AS query FROM kw WHERE doc_id % 100 = 0), c AS (SELECT query, doc_id AS other, coalesce(s, 0) AS similarity FROM q JOIN kw ON doc_id <> query LEFT JOIN j ON j.a = query AND j.b = doc_id),
+p1 AS (SELECT query, 1 AS rank, arg_min(other, (-(0.6 * similarity), other)) AS other FROM c GROUP BY query)"""
+    for k in range(2, steps + 1):
+        out += f""",
+t{k} AS (SELECT c.query, c.other, max(coalesce(j.s, 0)) AS penalty FROM c JOIN p{k - 1} p ON p.query = c.query LEFT JOIN j ON j.a = p.other AND j.b = c.other WHERE (c.query, c.other) NOT IN (SELECT query, other FROM p{k - 1}) GROUP BY ALL),
+p{k} AS (SELECT * FROM p{k - 1} UNION ALL SELECT query, {k}, arg_min(other, (-(0.6 * similarity - 0.4 * penalty), other)) FROM t{k} JOIN c USING (query, other) GROUP BY query)"""
+    return out + f" SELECT query, rank, other, round(similarity, 9) AS similarity FROM p{steps} JOIN c USING (query, other)"
+
+
+@query("related_diverse", _diverse_sql())
 def related_diverse(spark: SparkSession, folder: str) -> DataFrame:
     """All documents compete, as far from the query as they may be."""
     docs = table(spark, folder, "documents").select("doc_id", tokens.keyword_set(F.col("text")).alias("keywords"))
-    return related.diverse_of_all(docs.where("doc_id % 100 = 0"), docs, "doc_id", "keywords")
+    found = related.diverse_of_all(docs.where("doc_id % 100 = 0"), docs, "doc_id", "keywords")
+    return found.select("query", "rank", "other", F.round("similarity", 9).alias("similarity"))
 
 
 # ---- claims and notes ---------------------------------------------------------------------------------------------------------
@@ -244,11 +288,21 @@ def document_claims(spark: SparkSession, folder: str) -> DataFrame:
     return claims.claims(table(spark, folder, "documents"), "doc_id", "text")
 
 
-@query("claims_traced")
+_CLAIMS = oracle.claims_sql("n", "id", "content").strip()[len("WITH ") :]
+
+
+@query(
+    "claims_traced",
+    f"""WITH n AS (SELECT DISTINCT id, content FROM notes WHERE content IS NOT NULL), cl AS (WITH {_CLAIMS}),
+e AS (SELECT path, arg_max(content_preview, (mtime, content_preview)) AS content_preview FROM dedup_features WHERE path IS NOT NULL AND content_preview IS NOT NULL AND mtime IS NOT NULL GROUP BY path),
+src AS (SELECT id, path, content_preview FROM n JOIN e ON substr(content, 1, 60) = substr(content_preview, 1, 60)),
+j AS (SELECT cl.*, path, coalesce(content_preview, '') AS body FROM cl LEFT JOIN src USING (id)), {oracle.located('j', 'body')}
+SELECT id, pos, claim, anchor, type, path, status, source_text, diff_note FROM lo""",
+)
 def claims_traced(spark: SparkSession, folder: str) -> DataFrame:
     """Claims of every note's content, traced in the history entries (the last of each path) of the same beginning; without such an entry they are traced in nothing."""
     rows = distinct_notes(spark, folder).where("content is not null").select("id", "content").distinct()
-    entries = table(spark, folder, "dedup_features").where("path is not null and content_preview is not null")
+    entries = table(spark, folder, "dedup_features").where("path is not null and content_preview is not null and mtime is not null")
     known = entries.groupBy("path").agg(F.max_by("content_preview", F.struct("mtime", "content_preview")).alias("content_preview"))
     beginning = lambda c: F.substring(F.col(c), 1, 60)
     source = rows.withColumn("start", beginning("content")).join(known.withColumn("start", beginning("content_preview")), "start").select("id", "path", "content_preview")
@@ -269,18 +323,29 @@ def valid_notes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", notes.is_valid(F.col("title"), F.col("content")).alias("valid"), F.array_contains(notes.issues(F.col("title"), F.col("content")), "several_topics").alias("several_topics"))
 
 
-@query("note_tags")
+@query(
+    "note_tags",
+    f"""SELECT id, CASE WHEN len(list_filter(coalesce(tags, []), lambda t: length(t) >= 2 AND NOT list_contains(['none', 'null', 'n/a', 'na', '无', '没有', '空', '未标注', '暂无', '待补充'], lower(t)))) > 0 THEN tags
+ELSE (list_filter(c, lambda k: contains(k, 'note') OR contains('note', k)) || list_filter(c, lambda k: NOT (contains(k, 'note') OR contains('note', k))))[1:6] END AS tags
+FROM (SELECT id, tags, {oracle.tag_candidates('title', 'content')} AS c FROM (SELECT DISTINCT id, title, content, tags FROM notes))""",
+)
 def note_tags(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "notes").select("id", "title", "content", "tags").distinct()
     return rows.select("id", notes.ensured_tags(F.col("tags"), F.col("title"), F.col("content"), ["note"]).alias("tags"))
 
 
-@query("clean_titles")
+@query("clean_titles", f"WITH d AS (SELECT DISTINCT title FROM notes), {oracle.clean_titles('d', 'title', 'a')} SELECT title, clean FROM ac")
 def clean_titles(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "notes").select("title").distinct().select("title", notes.cleaned_title("title").alias("clean"))
+    return titles.cleaned(table(spark, folder, "notes").select("title").distinct(), "title", "clean")
+
+
+@query("drawn_titles", f"WITH d AS (SELECT DISTINCT id, content FROM notes), {oracle.drawn_titles('d', 'content', 't_')} SELECT id, drawn FROM t_d")
+def drawn_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles drawn from the contents."""
+    return titles.drawn(table(spark, folder, "notes").select("id", "content").distinct(), "content", "drawn").select("id", "drawn")
 
 
-@query("chunks")
+@query("chunks", oracle.chunks("documents", "doc_id", "text", 1000, 100))
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     return notes.chunked(table(spark, folder, "documents"), "doc_id", "text", 1000, 100)
 
@@ -330,25 +395,41 @@ def front_matter(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.md5(text.without_front_matter(F.col("text"))).alias("body"))
 
 
-@query("note_titles")
+_FRONT = r"regexp_extract(text, '\A\x{FEFF}?---" + oracle.WS + r"*\n((?s:.*?))\n---', 1)"
+_BODY = oracle.trim("regexp_replace(text, " + oracle.quoted(r"\A\x{FEFF}?---" + oracle.WS + r"*\n(?s:.*?)\n---" + oracle.WS + r"*(?:\n|\z)") + ", '')")
+
+
+@query(
+    "note_titles",
+    rf"""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_extract({_FRONT}, '(?m)^title:[ \t]*(.+)$', 1), '^["''\s]+|["''\s]+$', '', 'g'), ''), nullif(trim(regexp_extract(b, '(?m)^#[ \t]+(.+)$', 1)), ''), nullif(trim(regexp_extract(b, '(?m)^[ \t]*(\S.*)$', 1)), ''), doc_id::VARCHAR) AS title
+FROM (SELECT doc_id, text, {_BODY} AS b FROM documents)""",
+)
 def note_titles(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", text.note_title(F.col("text"), F.col("doc_id").cast("string")).alias("title"))
 
 
-@query("clipboard_texts")
+def _without_images(value: str) -> str:
+    ending = "(?:jpg|jpeg|png|gif|webp|svg|bmp|ico)"
+    no_space = "[^" + oracle.WS[1:]
+    for pattern in (
+        "(?i)data:image/[^;]+;base64,[A-Za-z0-9+/=]+", r"!\[.*?\]\(.*?\)", "(?i)<img[^>]*/?>", r"(?is)<figure.*?</figure>", r"(?is)<figcaption.*?</figcaption>", r"(?is)<picture.*?</picture>",
+        rf"(?im)^https?://{no_space}+\.{ending}(?:\?{no_space}*)?$", rf"(?im)^[A-Za-z0-9_-]+\.{ending}{oracle.WS}*$", rf"(?im)^图(?:片)?{oracle.WS}*$", r"\n{3,}",
+    ):
+        value = f"regexp_replace({value}, {oracle.quoted(pattern)}, {'chr(10) || chr(10)' if pattern.startswith(chr(92) + 'n') else oracle.quoted('')}, 'g')"
+    return oracle.trim(value)
+
+
+@query("clipboard_texts", f"SELECT DISTINCT id, {_without_images('content')} AS content FROM notes WHERE source = 'clipboard'")
 def clipboard_texts(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "notes").where("source = 'clipboard'")
     return rows.select("id", text.image_noise_removed(F.col("content")).alias("content")).distinct()
 
 
-@query("truncated_texts", "SELECT doc_id, md5(substr(text, 1, 500)) AS head FROM documents WHERE len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) = 0")
-def truncated_texts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").where(F.regexp_count("text", F.lit(r"[\x{10000}-\x{10FFFF}]")) == 0)
-    return rows.select("doc_id", F.md5(text.truncated(F.col("text"), 500)).alias("head"))
+_HEAD = f"substr({oracle.FILLED.format('text')}, 1, 500)"
 
 
-@query("truncated_all")
-def truncated_all(spark: SparkSession, folder: str) -> DataFrame:
+@query("truncated_texts", rf"SELECT doc_id, md5(replace(regexp_replace(h, '[\x{{10000}}-\x{{10FFFF}}]\z', ''), chr(64976), '')) AS head FROM (SELECT doc_id, {_HEAD} AS h FROM documents)")
+def truncated_texts(spark: SparkSession, folder: str) -> DataFrame:
     """The beginning of every document by code units; characters beyond the basic plane count as two."""
     return table(spark, folder, "documents").select("doc_id", F.md5(text.truncated(F.col("text"), 500)).alias("head"))
 
@@ -362,7 +443,13 @@ def file_names(spark: SparkSession, folder: str) -> DataFrame:
     return notes.numbered_names(rows, "stem", "id").select("id", "file")
 
 
-@query("markdown_notes")
+@query(
+    "markdown_notes",
+    rf"""SELECT id, '---' || chr(10) || 'title: ' || {oracle.yaml("coalesce(title, '')")} || chr(10) || CASE WHEN coalesce(source, '') <> '' THEN 'source: ' || {oracle.yaml('source')} || chr(10) ELSE '' END
+|| CASE WHEN len(coalesce(tags, [])) > 0 THEN 'tags: [' || array_to_string(list_transform(tags, lambda x: {oracle.yaml('x')}), ', ') || ']' || chr(10) ELSE '' END || '---' || chr(10) || chr(10)
+|| {oracle.trim("regexp_replace(coalesce(content, ''), " + oracle.quoted(r"\n*来源[:：][^\n]*" + oracle.WS + r"*\z") + ", '')")} || chr(10) AS body
+FROM (SELECT DISTINCT id, title, content, source, tags FROM notes)""",
+)
 def markdown_notes(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "notes").select("id", "title", "content", "source", "tags").distinct()
     return rows.select("id", notes.markdown(F.coalesce("title", F.lit("")), F.col("content"), F.col("source"), F.col("tags")).alias("body"))
@@ -391,26 +478,12 @@ def change_bursts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "index_after_changes",
-    """WITH base AS (SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE event_id % 2 = 0 GROUP BY 1),
-chg AS (SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events WHERE event_id % 2 = 1 AND user_id % 3 <> 0 GROUP BY 1)
-SELECT * FROM base WHERE user_id NOT IN (SELECT user_id FROM chg) UNION ALL SELECT * FROM chg WHERE event_type <> 'error'""",
-)
-def index_after_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """An index of users' last events, kept current by a feed of later events; errors remove."""
-    rows = table(spark, folder, "events").select("user_id", "event_type", "event_id")
-    base = changes.latest(rows.where("event_id % 2 = 0"), "user_id", "event_id")
-    feed = rows.where("event_id % 2 = 1 and user_id % 3 <> 0").withColumn("op", F.when(F.col("event_type") == "error", "delete").otherwise("modify"))
-    return changes.upserted(base, feed, "user_id", "event_id")
-
-
-@query(
-    "index_after_all_changes",
     """WITH e AS (SELECT user_id, event_type, event_id, ts, coalesce(ts > (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events), false) AS late FROM events),
 last AS (SELECT user_id, late, arg_max(event_type, (coalesce(ts, TIMESTAMP '0001-01-01'), event_id)) AS event_type, arg_max(event_id, (coalesce(ts, TIMESTAMP '0001-01-01'), event_id)) AS event_id FROM e GROUP BY ALL)
 SELECT user_id, event_type, event_id FROM last WHERE NOT late AND user_id NOT IN (SELECT user_id FROM last WHERE late) UNION ALL SELECT user_id, event_type, event_id FROM last WHERE late AND event_type <> 'error'""",
 )
-def index_after_all_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """As ``index_after_changes`` with every event: those up to the middle of the time make the index, all later ones are the feed."""
+def index_after_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """An index of users' last events: those up to the middle of the time make it, all later ones are the feed that keeps it current; errors remove."""
     rows = table(spark, folder, "events").select("user_id", "event_type", "event_id", "ts")
     at = F.struct(F.coalesce("ts", F.lit("0001-01-01").cast("timestamp")).alias("ts"), "event_id").alias("at")
     middle = rows.agg(((F.unix_micros(F.min(F.col("ts").cast("timestamp"))) + F.unix_micros(F.max(F.col("ts").cast("timestamp")))) / 2).alias("middle"))
@@ -418,3 +491,6 @@ def index_after_all_changes(spark: SparkSession, folder: str) -> DataFrame:
     base = changes.latest(split.where("not late").drop("late"), "user_id", "at")
     feed = split.where("late").drop("late").withColumn("op", F.when(F.col("event_type") == "error", "delete").otherwise("modify"))
     return changes.upserted(base, feed, "user_id", "at").select("user_id", "event_type", "event_id")
+
+
+from . import catalogue_more  # noqa: E402, F401  registers its queries

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.text import STOP_WORDS
 from ..operators import claims, gate, profiles
 
@@ -120,14 +122,169 @@ vn AS (SELECT {g}{key}, count(*) AS n_tokens, sqrt(sum(w * w)) AS norm FROM v GR
 vr AS (SELECT {g}{key}, k, row_number() OVER (PARTITION BY {g}{key} ORDER BY round(w, 12) DESC, pos) AS r FROM v)"""
 
 
+def re2(pattern: str) -> str:
+    """A pattern in RE2's notation, white space as everywhere here."""
+    return re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", pattern).replace(r"\s", WS)
+
+
+def head(text: str, n: int) -> str:
+    """The first n UTF-16 units, a character that would be cut left out."""
+    return rf"replace(regexp_replace(substr({FILLED.format(text)}, 1, {n}), '[\x{{10000}}-\x{{10FFFF}}]\z', ''), chr(64976), '')"
+
+
 def claims_sql(table: str, key: str, text: str) -> str:
-    found = [f"list_transform(regexp_extract_all(s, {quoted(p)}), lambda a: {{'anchor': a, 'type': '{kind}', 'once': a}})" for kind, patterns in (("numeric", claims.NUMERIC), ("entity", claims.ENTITY)) for p in patterns]
+    found = [f"list_transform(regexp_extract_all(s, {quoted(re2(p))}), lambda a: {{'anchor': a, 'type': '{kind}', 'once': a}})" for kind, patterns in (("numeric", claims.NUMERIC), ("entity", claims.ENTITY)) for p in patterns]
     first = "CASE " + " ".join(f"WHEN contains(s, {quoted(w)}) THEN {quoted(w)}" for w in claims.CAUSAL) + " END"
-    cause = f"CASE WHEN length(s) >= 8 AND {first} IS NOT NULL THEN [{{'anchor': {first}, 'type': 'causal', 'once': 'causal:' || substr(s, 1, 30)}}] ELSE [] END"
+    cause = f"CASE WHEN {length('s')} >= 8 AND {first} IS NOT NULL THEN [{{'anchor': {first}, 'type': 'causal', 'once': 'causal:' || {head('s', 30)}}}] ELSE [] END"
     return rf"""
 WITH s0 AS (SELECT {key}, unnest(l) AS s, generate_subscripts(l, 1) AS si FROM (SELECT {key}, list_transform(regexp_split_to_array({text}, '[。！？\n.!?]+'), lambda x: {trim('x')}) AS l FROM {table})),
-s1 AS (SELECT {key}, s, si, {' || '.join(found)} || {cause} AS l FROM s0 WHERE length(s) >= 3),
+s1 AS (SELECT {key}, s, si, {' || '.join(found)} || {cause} AS l FROM s0 WHERE {length('s')} >= 3),
 s2 AS (SELECT {key}, s, si, unnest(l) AS c, generate_subscripts(l, 1) AS ci FROM s1),
 s3 AS (SELECT {key}, s, si, ci, c, row_number() OVER (PARTITION BY {key}, c.once ORDER BY si, ci) AS n FROM s2),
-s4 AS (SELECT {key}, CASE WHEN length(s) <= 80 THEN s ELSE substr(s, 1, 80) || '...' END AS claim, c.anchor AS anchor, c.type AS type, row_number() OVER (PARTITION BY {key} ORDER BY si, ci) - 1 AS pos FROM s3 WHERE n = 1)
+s4 AS (SELECT {key}, CASE WHEN {length('s')} <= 80 THEN s ELSE {head('s', 80)} || '...' END AS claim, c.anchor AS anchor, c.type AS type, row_number() OVER (PARTITION BY {key} ORDER BY si, ci) - 1 AS pos FROM s3 WHERE n = 1)
 SELECT {key}, pos, claim, anchor, type FROM s4 WHERE pos < {claims.LIMIT}"""
+
+
+# ---- titles, tags and texts, with their own literals ---------------------------------------------------------------------------
+HAN = r"\x{4E00}-\x{9FA5}"
+_CONCEPTS = "保护|假设|矛盾|影响|效应|机制|策略|方法|思维|模式|偏见|误区|功能|限制|优势|劣势|特点|特征|原理|原则|标准|规范|问题|挑战|风险|机遇|变化|趋势|后果|意义|价值|Check|Effect|War|API|AI|ML|UX|UI|SDK"
+_TERMS = "AI|ML|UX|UI|API|SDK|OS|CPU|GPU|RAM|IO|ID|OK|TV|PC|HR|PR|PM|QA|App|Web|Mac|iOS|Android|Check|Effect|War|Note|Data|Code|Node|Git|HTTP|JSON"
+_PIECES = "的如|认为|发现|指出|显示|表明|通过|以及"
+_WEAK = "(?:的|如|和|与|或|对|在|被|将|把|了|着|吗|呢|啊|吧|么|[a-zA-Z]{1,2})"
+FILLED = r"regexp_replace({0}, '([\x{{10000}}-\x{{10FFFF}}])', '\1' || chr(64976), 'g')"
+
+
+def good_title(t: str) -> str:
+    tail = f"regexp_extract({t}, '[a-zA-Z]+$')"
+    return (
+        f"({length(t)} BETWEEN 4 AND 25 AND NOT (regexp_matches({t}, '[{HAN}]') AND {tail} <> '' AND length({tail}) <= 5 AND NOT regexp_matches({tail}, '(?:{_TERMS})$')) "
+        f"AND NOT ({length(t)} > 12 AND regexp_matches({t}, '{_PIECES}')))"
+    )
+
+
+def cut_title(w: str, most: int = 18) -> str:
+    head = f"substr({w}, 1, {most})"
+    word = rf"regexp_extract({head}, '(?s)\A(.*(?:[{HAN}]|{WS}))[a-zA-Z]*\z', 1)"
+    bare = trim(f"regexp_replace({head}, '[a-zA-Z]+$', '')")
+    strong = rf"regexp_replace({trim(head)}, '{_WEAK}\z', '')"
+    least = trim(f"regexp_replace(substr({w}, 1, 10), '[a-zA-Z]+$', '')")
+    return (
+        f"CASE WHEN {length(w)} <= {most} THEN {w} WHEN regexp_matches({head}, '[a-zA-Z]$') THEN CASE WHEN length({word}) > 4 THEN {trim(word)} ELSE coalesce(nullif({bare}, ''), substr({w}, 1, 12)) END "
+        f"WHEN {length(strong)} >= 4 THEN {strong} ELSE {least} END"
+    )
+
+
+def clean_titles(source: str, raw: str, prefix: str) -> str:
+    """CTEs that end in ``{prefix}c``: the source's columns with ``clean``."""
+    number = rf"\A(?:[0-9]+[.、]{WS}*|[【(（]?[0-9]+[\]】)）]{WS}*|[①②③④⑤⑥⑦⑧⑨⑩]{WS}*)"
+    edge = f"(?:[：:,，]|{WS})+"
+    t1 = f"regexp_replace(regexp_replace(regexp_replace({trim(raw)}, {quoted(number)}, ''), {quoted(chr(92) + 'A#{1,3}' + WS + '*')}, ''), '\\A\\*\\*|\\*\\*\\z', '', 'g')"
+    core = rf"\A([^\n]{{0,6}})?([^\n]+?(?:{_CONCEPTS}))([^\n]{{0,8}})?\z"
+    term = rf"[A-Z][A-Za-z]*(?:{WS}+[A-Z][A-Za-z]*)*"
+    within = lambda x, a, b: f"CASE WHEN {length(x)} BETWEEN {a} AND {b} THEN {x} END"
+    both = trim(f"{trim('g1')} || g2")
+    lead = rf"regexp_replace(substr(w, greatest(0, term_at - 6) + 1, least(term_at, 6)), '\A(?:的|{WS})+', '')"
+    joined = trim(f"{lead} || term")
+    return rf"""
+{prefix}0 AS (SELECT *, {t1} AS t1 FROM {source}),
+{prefix}1 AS (SELECT *, CASE WHEN regexp_matches(t1, '\A{edge}') THEN regexp_replace(t1, '\A{edge}', '') ELSE regexp_replace(t1, '{edge}\z', '') END AS t FROM {prefix}0),
+{prefix}2 AS (SELECT *, {trim("regexp_extract(t, " + quoted(chr(92) + "A([^" + chr(92) + "n]+?)[：:–—]") + ", 1)")} AS topic FROM {prefix}1),
+{prefix}3 AS (SELECT *, CASE WHEN {length('topic')} > 22 THEN topic ELSE t END AS w FROM {prefix}2),
+{prefix}4 AS (SELECT *, regexp_extract(w, '\A([^，,]*)[，,]', 1) AS clause, regexp_extract(w, {quoted(core)}, 1) AS g1, {trim("regexp_extract(w, " + quoted(core) + ", 2)")} AS g2, regexp_extract_all(w, {quoted(term)}) AS ts FROM {prefix}3),
+{prefix}5 AS (SELECT *, coalesce(list_filter(ts, lambda x: length(x) = list_max(list_transform(ts, lambda y: length(y))))[1], '') AS term FROM {prefix}4),
+{prefix}6 AS (SELECT *, instr(w, term) - 1 AS term_at FROM {prefix}5),
+{prefix}7 AS (SELECT *, coalesce({within('topic', 4, 22)}, CASE WHEN {length('clause')} BETWEEN 6 AND 22 THEN {trim('clause')} END, CASE WHEN g2 <> '' THEN coalesce({within(both, 4, 22)}, {within('g2', 4, 20)}) END,
+  CASE WHEN term <> '' THEN coalesce({within('term', 4, 20)}, CASE WHEN term_at > 2 THEN {within(joined, 4, 20)} END) END, {cut_title('w')}) AS short FROM {prefix}6),
+{prefix}c AS (SELECT *, CASE WHEN {raw} IS NULL THEN NULL WHEN {length('t')} < 2 THEN '' WHEN {length('t')} <= 20 THEN t WHEN {good_title(trim('short'))} THEN short ELSE '' END AS clean FROM {prefix}7)"""
+
+
+def drawn_titles(source: str, content: str, prefix: str) -> str:
+    """CTEs that end in ``{prefix}d``: key columns with ``drawn``."""
+    start = "regexp_extract(line, '\\A[^。！？；]{1,30}[。！？；]?')"
+    sentence = trim(rf"regexp_replace({start}, '(?:[。，！？；：]|{WS})+\z', '')")
+    line = trim(f"regexp_extract(coalesce({content}, ''), '\\A([^\\n]*)', 1)")
+    return rf"""
+{prefix}l AS (SELECT *, {line} AS line FROM {source}), {clean_titles(prefix + 'l', 'line', prefix)},
+{prefix}s AS (SELECT *, CASE WHEN {start} <> '' THEN {sentence} ELSE line END AS said FROM {prefix}c),
+{prefix}d AS (SELECT *, CASE WHEN clean <> '' THEN clean WHEN {length(cut_title('said'))} >= 2 THEN {cut_title('said')} ELSE '' END AS drawn FROM {prefix}s)"""
+
+
+def tag_candidates(title: str, content: str) -> str:
+    c, t = f"coalesce({content}, '')", trim(f"coalesce({title}, '')")
+    core = trim(f"regexp_replace({t}, '(?:的研究|的发现|的分析|的影响|的问题|的方法|的策略|的机制|的效果|的报告|的调查)$', '')")
+    bold = rf"list_filter(list_transform(regexp_extract_all({c}, '\*\*(.+?)\*\*', 1), lambda w: {trim('w')}), lambda w: length(w) BETWEEN 2 AND 15)"
+    bracket = rf"regexp_extract_all({c}, '[（(]([a-zA-Z{HAN}]{{2,15}})[）)]', 1)"
+    said = f"""list_transform(regexp_extract_all({c}, '"[^"]{{2,10}}"|「[^」]{{2,10}}」|『[^』]{{2,10}}』|《[^》]{{2,10}}》'), lambda w: regexp_replace(w, '["「」『』《》]', '', 'g'))"""
+    head = f"CASE WHEN {good_title(t)} AND {length(core)} BETWEEN 2 AND 20 THEN [{core}] ELSE [] END"
+    subject = trim(f"regexp_extract(regexp_extract({c}, '\\A[^\\n。！？]*'), '^(.{{2,12}})(?:是|指|通过|利用|基于|采用|包括|涉及|表现为|被称为)', 1)")
+    first = distinct_in_order(f"({bold} || {bracket} || {said} || {head})")
+    return f"(CASE WHEN len({first}) < 2 THEN {distinct_in_order(f'({first} || CASE WHEN {subject} <> {quoted("")} THEN [{subject}] ELSE [] END)')} ELSE {first} END)[1:6]"
+
+
+def distinct_in_order(values: str) -> str:
+    return f"list_filter({values}, lambda x, i: list_position({values}, x) = i)"
+
+
+def last_start(text: str, mark: str, size: int, end: str) -> str:
+    """0-based place of the last occurrence of a mark that begins at ``end`` or before; -1 without one."""
+    piece = f"substr({text}, 1, {end} + {size})"
+    found = f"strpos(reverse({piece}), reverse({mark}))"
+    return f"(CASE WHEN {found} = 0 THEN -1 ELSE length({piece}) - {found} - {size} + 1 END)"
+
+
+def chunks(table: str, key: str, text: str, size: int, overlap: int) -> str:
+    end = f"off + {size}"
+    para = last_start("u", "chr(10) || chr(10)", 2, end)
+    stop = f"greatest({last_start('u', quoted('。'), 1, end)}, {last_start('u', quoted('. '), 2, end)})"
+    cut = f"CASE WHEN {end} >= n THEN n WHEN {para} > off + {size / 2} THEN {para} WHEN {stop} > off + {size / 2} THEN {stop} + 1 ELSE {end} END"
+    return rf"""WITH RECURSIVE u0 AS (SELECT {key}, {FILLED.format(text)} AS u FROM {table} WHERE {text} <> ''), u1 AS (SELECT {key}, u, length(u) AS n, 0::BIGINT AS off, 0 AS pos FROM u0),
+w AS (SELECT *, ({cut})::BIGINT AS cut FROM u1 UNION ALL SELECT *, ({cut})::BIGINT AS cut FROM (SELECT {key}, u, n, (CASE WHEN cut - {overlap} <= off THEN cut ELSE cut - {overlap} END)::BIGINT AS off, pos + 1 AS pos FROM w WHERE cut < n))
+SELECT {key}, (row_number() OVER (PARTITION BY {key} ORDER BY pos) - 1)::INT AS pos, replace(piece, chr(64976), '') AS chunk FROM (SELECT {key}, pos, substr(u, off + 1, cut - off) AS piece FROM w) WHERE piece <> chr(64976)"""
+
+
+def units(text: str) -> str:
+    return rf"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] ELSE [unicode(c)] END))"
+
+
+def fnv64(text: str) -> str:
+    return f"list_reduce(list_transform({units(text)}, lambda c: c::UHUGEINT), lambda h, x: (xor(h, x) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT)"
+
+
+def fnv32(text: str) -> str:
+    signed = "(CASE WHEN xor(h, x) >= 2147483648 THEN xor(h, x) - 4294967296 ELSE xor(h, x) END)::DOUBLE * 16777619.0"
+    step = f"({signed} - floor({signed} / 4294967296.0) * 4294967296.0)::BIGINT"
+    return f"CASE WHEN {text} = '' THEN '811c9dc5' ELSE format('{{:08x}}', list_reduce(list_transform({units(text)}, lambda c: c::BIGINT), lambda h, x: {step}, 2166136261::BIGINT)) END"
+
+
+def context_sentence(text: str, at: str, size: str) -> str:
+    before = rf"regexp_extract(substr({text}, 1, {at} - 1), '([^。！？\n.!?]*)\z', 1)"
+    after = rf"regexp_extract(substr({text}, {at} + {size}), '\A([^。！？\n.!?]*[。！？\n.!?]?)', 1)"
+    whole = trim(f"{before} || substr({text}, {at}, {size}) || {after}")
+    return f"CASE WHEN length({whole}) > 200 THEN substr({whole}, 1, 200) || '...' ELSE {whole} END"
+
+
+def located(source: str, text: str) -> str:
+    """CTEs that end in ``lo``: rows with anchor and type against a text, with status, source_text and diff_note."""
+    near = f"list_filter(regexp_extract_all({text}, '\\d+(?:\\.\\d+)?'), lambda x: x::DOUBLE = value OR (CASE WHEN value <> 0 THEN abs(x::DOUBLE - value) / abs(value) ELSE abs(x::DOUBLE) END) BETWEEN 1e-300 AND 0.05 - 1e-15)[1]"
+    return rf"""
+l0 AS (SELECT *, instr({text}, anchor) AS exact, try_cast(regexp_extract(anchor, '(\d+(?:\.\d+)?)', 1) AS DOUBLE) AS value FROM {source}),
+l1 AS (SELECT *, CASE WHEN type = 'numeric' AND exact = 0 AND value IS NOT NULL THEN {near} END AS near, CASE WHEN type <> 'numeric' AND exact = 0 THEN substr(anchor, 1, greatest(2, ceil(length(anchor) * 0.6))::BIGINT) END AS part FROM l0),
+l2 AS (SELECT *, CASE WHEN exact > 0 THEN anchor WHEN near IS NOT NULL THEN near WHEN instr({text}, part) > 0 THEN part END AS match FROM l1),
+lo AS (SELECT *, CASE WHEN match IS NULL THEN NULL WHEN exact > 0 OR near IS NOT NULL THEN '已溯源' ELSE '需对比' END AS status,
+  CASE WHEN match IS NOT NULL THEN {context_sentence(text, f'instr({text}, match)', 'length(match)')} END AS source_text,
+  CASE WHEN near IS NOT NULL AND near::DOUBLE <> value THEN 'source: ' || near || ', note: ' || anchor WHEN match IS NOT NULL AND exact = 0 AND near IS NULL THEN 'found in part: ' || part END AS diff_note FROM l2)"""
+
+
+def yaml(value: str) -> str:
+    bare = rf"""regexp_matches({value}, '[:#\[\]{{}},&*?|<>=!%@`"''\\\n]|^\s|\s$|^-')"""
+    return rf"""CASE WHEN {bare} THEN '"' || replace(replace(replace({value}, '\', '\\'), '"', '\"'), chr(10), '\n') || '"' ELSE {value} END"""
+
+
+def edit_similarities(pairs: str, a: str, b: str) -> str:
+    """CTEs that end in ``es``: the pairs with ``similarity`` by characters. DuckDB's distance counts bytes, so the characters of the two
+    texts are numbered and stand as single bytes."""
+    coded = lambda x: f"array_to_string(list_transform(string_split({x}, ''), lambda c: chr((33 + list_position(letters, c))::INT)), '')"
+    return f"""
+es0 AS MATERIALIZED (SELECT *, list_distinct(string_split({a} || {b}, '')) AS letters FROM {pairs}),
+es1 AS MATERIALIZED (SELECT *, {coded(a)} AS coded_a, {coded(b)} AS coded_b FROM es0),
+es AS (SELECT *, 1 - levenshtein(coded_a, coded_b) / greatest(length({a}), length({b})) AS similarity FROM es1)"""

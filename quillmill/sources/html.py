@@ -35,6 +35,9 @@ CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1
 RESULT = T.StructType([T.StructField("success", T.BooleanType()), *[T.StructField(n, T.StringType()) for n in ("content", "title", "publish_date", "error_code", "redirect_url")]])
 
 
+_SPACES = re.compile("[\\t\\n\\v\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+")
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children", "parent")
 
@@ -42,14 +45,25 @@ class Node:
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
     def walk(self):
-        """Elements below this one, in document order."""
-        for child in self.children:
-            if isinstance(child, Node):
+        """Elements below this one, in document order; pages may be nested as deep as they like."""
+        work = [iter(self.children)]
+        while work:
+            child = next(work[-1], None)
+            if child is None:
+                work.pop()
+            elif isinstance(child, Node):
                 yield child
-                yield from child.walk()
+                work.append(iter(child.children))
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, work = [], [self]
+        while work:
+            at = work.pop()
+            if isinstance(at, str):
+                out.append(at)
+            else:
+                work.extend(reversed(at.children))
+        return "".join(out)
 
     def remove(self) -> None:
         if self.parent:
@@ -63,7 +77,6 @@ class Tree(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", {}, None)
-        self.depth = 0
         self.feed(html)
         self.close()
 
@@ -81,9 +94,8 @@ class Tree(HTMLParser):
             self.at = self.at.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
-        if tag not in VOID and self.depth < 400:
+        if tag not in VOID:
             self.at = node
-            self.depth += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -95,9 +107,7 @@ class Tree(HTMLParser):
         while node is not None and node.tag != tag:
             node = node.parent
         if node is not None and node.parent is not None:
-            while self.at is not node:
-                self.at, self.depth = self.at.parent, self.depth - 1
-            self.at, self.depth = node.parent, self.depth - 1
+            self.at = node.parent
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
@@ -123,8 +133,8 @@ def _noise(n: Node) -> bool:
         or "share" in n.attrs.get("aria-label", "").lower()
         or "aria-hidden" in n.attrs
         or "hidden" in n.attrs
-        or any(c.lower() in NOISE_CLASSES or re.match(r"(?:ad|sponsor)[-_]", c, re.IGNORECASE) for c in n.classes())
-        or re.search(r"\bad\b|\bsponsor\b", n.attrs.get("id", ""), re.IGNORECASE) is not None
+        or any(c in NOISE_CLASSES or re.match(r"(?:ad|sponsor)[-_]", c) for c in n.classes())
+        or re.search(r"\bad\b|\bsponsor\b", n.attrs.get("id", "").lower(), re.ASCII) is not None
     )
 
 
@@ -154,10 +164,11 @@ def extract(html: str | None, least: int = 100) -> dict:
         n.remove()
     alts = [f"[图] {n.attrs['alt'].strip()}" for n in container.walk() if n.tag == "img" and n.attrs.get("alt", "").strip()]
     text = container.text() + ("\n\n【配图说明】\n" + "\n".join(alts) if alts else "")
-    text = re.sub(r"\s+", " ", text).strip()
-    if len(text) < 50 and sum(1 for _ in container.walk()) < 20:
+    text = _SPACES.sub(" ", text).strip(" ")
+    size = len(text) + sum(c > "\uffff" for c in text)  # in UTF-16 units
+    if size < 50 and sum(1 for _ in container.walk()) < 20:
         return out | {"title": title, "error_code": "REQUIRES_JS"}
-    if len(text) < least:
+    if size < least:
         return out | {"title": title, "error_code": "CONTENT_TOO_SHORT"}
     return out | {"success": True, "content": text, "title": title, "publish_date": date}
 

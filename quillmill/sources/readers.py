@@ -56,14 +56,20 @@ def fetched(rows: DataFrame, url: str, fetch: Callable[[str], str | None], rende
 
 
 def write_markdown(notes: DataFrame, file: str, body: str, folder: str) -> None:
-    """One Markdown file per row with a name; each task writes its own rows. Rows without a name are left out."""
+    """One Markdown file per row with a name, in a folder that all executors share (an address of any file system that Arrow knows, or a
+    path). Each file is written under a name of its own attempt and then moved, so tasks may be tried again. Rows without a name are left out."""
 
     def save(rows: Iterator) -> None:
-        import os
+        import uuid
 
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
         for row in rows:
-            with open(os.path.join(folder, f"{row[file]}.md"), "x", encoding="utf8") as out:
-                out.write(row[body])
+            trial = f"{root}/.{uuid.uuid4().hex}.part"
+            with system.open_output_stream(trial) as out:
+                out.write(row[body].encode("utf8"))
+            system.move(trial, f"{root}/{row[file]}.md")
 
     notes.where(F.col(file).isNotNull()).select(file, body).foreachPartition(save)

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster names; a folder of our own only where none is named."""
+    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names. A folder of our own serves only local
+    sessions that name none; on a cluster it would lie on one machine, so that is an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillmill-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillmill-checkpoint-"))
     return df.checkpoint()
 
 

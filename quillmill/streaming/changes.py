@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.state import checkpointed
-
 
 def split_renames(events: DataFrame) -> DataFrame:
     """(ts, path, op) of create, modify, delete and rename events; a rename removes the old path and upserts the new one."""
@@ -50,16 +48,39 @@ def frequencies_after(frequencies: DataFrame, changes: DataFrame) -> DataFrame:
     return both.groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
 
 
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """The greatest version of an index that was written to its end; None if there is no index."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return None
+    names = [(f.getPath().getName(), f.getPath()) for f in system.listStatus(folder)]
+    done = [int(n.split("=")[1]) for n, p in names if n.startswith("v=") and system.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max(done, default=None)
+
+
+def current_index(spark: SparkSession, path: str) -> DataFrame | None:
+    """The index as its last finished version holds it."""
+    version = current_version(spark, path)
+    return None if version is None else spark.read.parquet(f"{path}/v={version}")
+
+
 def maintain(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, trigger: str = "1 second"):
-    """Keep a Parquet index current from a stream of changes; each batch replaces the index by its successor."""
+    """Keep a Parquet index current from a stream of changes. Each batch writes a new version beside the one it read, so a failed write
+    leaves the index as it was and a batch that comes again does its work again; versions before the last but one are removed."""
     spark = stream.sparkSession
 
-    def apply(batch: DataFrame, _: int) -> None:
-        try:
-            index = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - no index yet
-            index = batch.drop("op").limit(0)
-        checkpointed(upserted(index, batch, key, order)).write.mode("overwrite").parquet(path)
+    def apply(batch: DataFrame, number: int) -> None:
+        jvm = spark.sparkContext._jvm
+        version = current_version(spark, path)
+        if version is not None and version > number:
+            return  # a batch from before: its changes are in the index
+        last = None if version is None else version if version < number else version - 1
+        index = batch.drop("op").limit(0) if last is None or last < 0 else spark.read.parquet(f"{path}/v={last}")
+        upserted(index, batch, key, order).write.mode("overwrite").parquet(f"{path}/v={number}")
+        old = jvm.org.apache.hadoop.fs.Path(f"{path}/v={number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
 

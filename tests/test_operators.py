@@ -7,11 +7,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions.similarity import hamming
-from quillmill.operators import claims, dedup, dense, gate, notes, profiles, related, review, services, vectors
+from quillmill.operators import claims, dedup, dense, gate, notes, profiles, related, review, services, titles, vectors
 from quillmill.sources import html, readers, state
 from quillmill.streaming import changes
 
 
+FIXED = {
+    "stop": (113, "db6dbea3"), "ads": (22, "264818ea"), "bait": (9, "1d18e4e7"), "ad patterns": (4, "b68c456e"), "html": (5, "d70bf22d"), "mojibake": (5, "f1b30084"), "links": (2, "74e260a4"), "numeric": (8, "4e59765c"),
+    "entity": (2, "a7a17689"), "causal": (18, "4b1b7d93"), "thresholds": (27, "ef9bac20"), "narrative": (30, "81d53551"), "classes": (91, "50e1252a"), "containers": (10, "2719b2ae"), "concepts": (40, "f4203325"),
+    "terms": (34, "0c0285fc"), "fragments": (8, "215c280b"), "garbage": (10, "785dd97e"), "providers": (4, "06a7c8f4"), "images": (9, "856de62d"),
+}
+
+
 def statuses(spark, texts, selection=False):
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     judged = gate.judged(rows, "t", selection=selection).collect()
@@ -134,13 +141,53 @@ def test_claims(spark):
         ("just a line of prose", [("just a line of prose", "just a line of prose")]),
     ],
 )
-def test_parse_output(raw, expected):
-    assert [(n["title"], n["content"]) for n in notes.parse_output(raw)] == expected
+def test_parse_output(spark, raw, expected):
+    found = notes.notes_of(spark.createDataFrame([(1, raw)], "id int, raw string"), "id", "raw").orderBy("pos").collect()
+    assert [(n.title, n.content) for n in found] == expected
+
+
+@pytest.mark.parametrize(
+    ("raw", "expected"),
+    [
+        ("**标题**", "标题"),
+        ("1. 标题", "标题"),
+        ("1、标题", "标题"),
+        ("① 标题", "标题"),
+        ("### 标题", "标题"),
+        ("标题：", "标题"),
+        ("标题，", "标题"),
+        ("，标题名称，", "标题名称，"),  # a separator at the front leaves the one at the end alone
+        ("A", ""),
+        ("", ""),
+        (None, None),
+        ("的如", "的如"),
+        ("主题内容较长的标题用于测试：详细说明文字内容会被截断", "主题内容较长的标题用于测试"),
+        ("第一部分较长的内容用于测试截断，第二部分内容会被忽略", "第一部分较长的内容用于测试截断"),
+        ("Sound Check 技术的作用和原理详细说明超过二十个字符", "Sound Check"),
+        ("这是一个比较长的中文标题用于测试安全截断功能确保长度足够", "这是一个比较长的中文标题用于测试安全截断功能"),
+        ("关于城市公共交通系统中常见的资源分配问题", "关于城市公共交通系统中常见的资源分配问题"),
+        ("他们在报告里认为这样的安排可能会带来不少新的麻烦和争论", ""),
+    ],
+)
+def test_clean_title(spark, raw, expected):
+    rows = spark.createDataFrame([(raw,)], "title string")
+    assert titles.cleaned(rows, "title", "clean").first().clean == expected
+
+
+def test_good_titles(spark):
+    rows = spark.createDataFrame([("流媒体平台如Apple的So",), ("流媒体平台如iOS",), ("abc",), ("abcd",), ("x" * 26,), ("他们都认为这个办法其实还不错",)], "t string")
+    assert [r[0] for r in rows.select(titles.is_good(F.col("t"))).collect()] == [False, True, False, True, False, False]
+    texts = [("一二三四五六七八九十一二三四五六 Soundcheck", "一二三四五六七八九十一二三四五六"), ("short", "short"), ("一二三四五六七八九十一二三四五六七的多余", "一二三四五六七八九十一二三四五六七"), ("x" * 30, "x" * 12)]
+    cut = spark.createDataFrame(texts, "t string, e string").select(titles.safe_cut(F.col("t")).alias("c"), "e").collect()
+    assert [r.c for r in cut] == [r.e for r in cut]
 
 
-def test_titles_tags_files(spark):
-    assert notes.clean_title("1. **缓存：让页面变快的一种常用办法与实践**") == "缓存：让页面变快的一种常用办法与实践"[:20] or notes.clean_title("1. 短标题") == "短标题"
-    assert not notes.good_title("流媒体平台如Apple的So")
+@pytest.mark.parametrize(("content", "expected"), [(None, ""), ("", ""), ("第一行标题\n正文", "第一行标题"), ("a", ""), ("他们在报告里认为这样的安排可能会带来不少新的麻烦！后面还有", "他们在报告里认为这样的安排可能会带来")])
+def test_drawn_titles(spark, content, expected):
+    assert titles.drawn(spark.createDataFrame([(content,)], "c string"), "c", "t").first().t == expected
+
+
+def test_tags_files(spark):
     rows = spark.createDataFrame([("t", "**缓存**是（Cache）的「要点」"), ("", "")], "title string, content string")
     assert rows.select(notes.tag_candidates(F.col("title"), F.col("content"))).first()[0][:3] == ["缓存", "Cache", "要点"]
     valid = rows.select(notes.is_valid(F.col("title"), F.col("content"))).collect()
@@ -157,6 +204,80 @@ def test_chunks():
     parts = notes.split_chunks(text, 1000, 100)
     assert all(len(p) <= 1001 for p in parts) and parts[0] == text[: len(parts[0])] and text.endswith(parts[-1])
     assert notes.split_chunks("short", 1000) == ["short"] and notes.split_chunks(None, 1000) == []
+    # wide characters take two units; one that is cut belongs to the piece that holds its first
+    wide = "a" * 999 + "😀" + "b" * 500
+    assert notes.split_chunks(wide, 1000, 0) == ["a" * 999 + "😀", "b" * 500]
+    assert notes.split_chunks("😀" * 400, 1000) == ["😀" * 400]
+    # the last paragraph of the second half, a sentence, a hard cut
+    assert notes.split_chunks("x" * 700 + "\n\n" + "y" * 700, 1000, 0)[0] == "x" * 700
+    assert notes.split_chunks("x" * 700 + "。" + "y" * 700, 1000, 0)[0] == "x" * 700 + "。"
+    assert notes.split_chunks("x" * 1500, 1000, 0) == ["x" * 1000, "x" * 500]
+
+
+def test_fixed_lists():
+    """The fixed values, pinned by their number and a hash of their text."""
+    import hashlib
+
+    from quillmill.functions import labels, text
+    from quillmill.operators import claims, gate, profiles
+    from quillmill.sources import html
+
+    lists = {
+        "stop": text.STOP_WORDS, "ads": gate.AD_PHRASES, "bait": gate.BAIT_PHRASES, "ad patterns": gate.AD_PATTERNS, "html": gate.HTML_PATTERNS, "mojibake": gate.MOJIBAKE_PATTERNS, "links": gate.LINK_PATTERNS, "numeric": claims.NUMERIC, "entity": claims.ENTITY, "causal": claims.CAUSAL,
+        "thresholds": [f"{k} {v}" for k, v in profiles.THRESHOLDS.items()], "narrative": profiles.NARRATIVE, "classes": sorted(html.NOISE_CLASSES), "containers": html.CONTAINERS, "concepts": titles.CORE_CONCEPTS, "terms": titles.KNOWN_TERMS, "fragments": titles.FRAGMENTS, "garbage": notes.GARBAGE_TAGS, "providers": [a for a, _ in labels.PROVIDERS], "images": text.IMAGE_NOISE,
+    }
+    assert {k: (len(v), hashlib.sha256("\n".join(v).encode()).hexdigest()[:8]) for k, v in lists.items()} == FIXED
+
+
+def test_calls(spark):
+
+    asked: list = []
+
+    def client(request):
+        asked.append((request.max_tokens, request.json_mode))
+        return services.Answer("", "length") if len(asked) == 1 else services.Answer('{"notes": []}')
+
+    assert services.asked(client, "p", max_tokens=100) == '{"notes": []}' and asked == [(100, True), (200, True)]
+    asked.clear()
+    assert services.asked(lambda r: "" if r.json_mode else "plain", "p") == "plain"
+    with pytest.raises(services.ServiceError):
+        services.asked(lambda r: "", "p")
+    clock = [0.0]
+    calls: list = []
+
+    def failing(x):
+        calls.append(x)
+        raise services.ServiceError("down")
+
+    cool = services.CoolDown(failing, 300, lambda: clock[0])
+    for at in (0, 10, 299, 301):
+        clock[0] = at
+        with pytest.raises(services.ServiceError):
+            cool(at)
+    assert calls == [0, 301]
+    rows = spark.createDataFrame([(1, 0, "t", "c" * 20), (1, 1, None, "d" * 20)], "k int, p int, title string, content string")
+    good = services.reviewed(rows, "k", "p", "title", "content", lambda p: '[{"index": 2, "insight_score": 5, "knowledge_score": 4}]').orderBy("idx").collect()
+    assert [(r.idx, r.final, r.success) for r in good] == [(0, 6, True), (1, 9, True)]
+    left = spark.createDataFrame([(1, "a claim", "The source says so."), (1, "b claim", "The source says so.")], "k int, claim string, source string")
+    said = services.compared(left, "k", "claim", "source", lambda p: '[{"index": 0, "status": "需对比", "source_text": "source  says", "diff_note": "n"}]').orderBy("claim").collect()
+    assert [(r.status, r.source_text, r.reason) for r in said] == [("需对比", "source  says", None), ("超源", None, "not answered")]
+    assert "only x" in services.extraction_prompt("t", preferences=["x"], strict=True) and len(services.review_prompt([("t", "c" * 900)])) < 800 and "[1] b" in services.comparison_prompt("s", ["a", "b"])
+
+
+def test_chain_of_repeats_is_settled(spark):
+    """A chain longer than any fixed number of rounds: every other row is kept."""
+    chain = spark.createDataFrame([(f"{i + 1:03d}", f"{i:03d}") for i in range(60)], "later string, earlier string")
+    dropped = {r.later: r.earlier for r in dedup.greedy_kept(chain).collect()}
+    assert dropped == {f"{i:03d}": f"{i - 1:03d}" for i in range(1, 61, 2)}
+
+
+def test_title_matches(spark):
+    body = "the old harbour keeps its quiet market near seven bright lanterns while merchants count copper"
+    old = spark.createDataFrame([("a", body, "quiet harbour market stories"), ("b", body, "unrelated copper lantern notes")], "id string, c string, t string")
+    new = spark.createDataFrame([("n", body, "quiet harbour market stories"), ("m", body, None)], "id string, c string, t string")
+    plain = {r.id: (r.other, r.score) for r in dedup.corpus_matches(new, old, "id", "c").collect()}
+    titled = {r.id: (r.other, r.score) for r in dedup.corpus_matches(new, old, "id", "c", "t").collect()}
+    assert plain["n"][0] == titled["n"][0] == "a" and titled["n"][1] == pytest.approx(0.5 * (plain["n"][1] - 0.4) / 0.6 + 0.3 + 0.2) and titled["m"] == plain["m"]
 
 
 def test_review(spark):
@@ -206,7 +327,7 @@ def test_changes(spark, tmp_path):
     running = changes.maintain(stream, str(tmp_path / "index"), "k", "v", str(tmp_path / "cp"))
     running.processAllAvailable()
     running.stop()
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "index")).collect()} == {("a", 2), ("d", 5)}
+    assert {tuple(r) for r in changes.current_index(spark, str(tmp_path / "index")).collect()} == {("a", 2), ("d", 5)}
 
 
 def test_services(spark):
@@ -289,10 +410,10 @@ def test_whole_tables_are_cut_and_indexed(spark):
     folder = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     head = lambda t: t.encode("utf-16-le")[:1000].decode("utf-16-le", "ignore")
-    got = {r.doc_id: r.head for r in catalogue.QUERIES["truncated_all"](spark, folder).collect()}
+    got = {r.doc_id: r.head for r in catalogue.QUERIES["truncated_texts"](spark, folder).collect()}
     assert got == {k: None if t is None else hashlib.md5(head(t).encode()).hexdigest() for k, t in texts.items()}
     last = {}
     for r in sorted(spark.read.parquet(f"{folder}/events.parquet").collect(), key=lambda r: (r.ts, r.event_id)):
         last[r.user_id] = r
-    users = {r.user_id: r.event_id for r in catalogue.QUERIES["index_after_all_changes"](spark, folder).collect()}
+    users = {r.user_id: r.event_id for r in catalogue.QUERIES["index_after_changes"](spark, folder).collect()}
     assert all(users.get(u) == r.event_id for u, r in last.items() if r.event_type != "error") and set(users) <= set(last)
