@@ -15,6 +15,8 @@ are 1-based code points of the text as given.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -26,11 +28,21 @@ from .common import checkpointed
 
 _FULL = str.maketrans({0xFF10 + d: str(d) for d in range(10)} | {"＋": "+", "（": "(", "）": ")", "－": "-", "＠": "@", "．": ".", " ": " ", "‑": "-", "‐": "-", " ": " ", "　": " "})
 
+_WIDE = re.compile("[" + "".join(map(chr, _FULL)) + "]")
+
+
+def narrowed(text: str) -> str:
+    """The text with full-width digits and marks, and odd spaces and hyphens, as plain ones; of the same length."""
+    return text.translate(_FULL) if not text.isascii() and _WIDE.search(text) else text
+
+
 # ---- e-mail -------------------------------------------------------------------------------------------------------------------
 _AT = r"(?:\s?@\s?|\s?[\(\[{]\s?(?:at|AT|At)\s?[\)\]}]\s?|\s(?:at|AT)\s)"
 _DOT = r"(?:\.|\s?[\(\[{]\s?(?:dot|DOT|Dot)\s?[\)\]}]\s?|\s(?:dot|DOT)\s)"
 EMAIL = re.compile(rf"(?<![\w.+-])(?P<local>[A-Za-z0-9](?:[\w.+%-]*[A-Za-z0-9_])?)(?P<at>{_AT})(?P<domain>(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?{_DOT})+[A-Za-z]{{2,24}})(?![A-Za-z0-9])", re.ASCII)
 
+_BRACKETED_AT = re.compile(r"[\(\[{]\s?(?:at|AT|At)\s?[\)\]}]")
+
 # ---- identity numbers ---------------------------------------------------------------------------------------------------------
 _B, _E = r"(?<![\w.+#/-])", r"(?![\w]|[-./]\d)"
 IDS = [
@@ -51,6 +63,9 @@ def chinese_id(value: str) -> bool:
     return len(s) == 18 and "1" <= s[10:12].lstrip("0")[:1] and 1 <= int(s[10:12]) <= 12 and 1 <= int(s[12:14]) <= 31 and "10X98765432"[sum(int(a) * b for a, b in zip(s[:17], _CN_WEIGHTS, strict=True)) % 11] == s[17]
 
 
+#: What every identity and phone number holds: six places of digits and marks between them.
+_LONG_NUMBER = re.compile(r"\d[\d().\-+ /]{4,}\d")
+
 # ---- phone numbers ------------------------------------------------------------------------------------------------------------
 _NUMBER = re.compile(r"(?<![\w.@/§#+-])(?:\(?\+ ?\d|\(\d|\d)[\d().\- /]*\d(?![A-Za-z0-9_])|(?<=[一-鿿：])(?:\(?\+\d|\(\d|\d)[\d()\-  ]*\d(?![\dA-Za-z])")
 _NATIONAL = re.compile(
@@ -95,6 +110,7 @@ LATIN = re.compile(
     rf"(?<![A-Za-zÀ-ÿ0-9_@./+’'-])(?=(?P<f1>{_W}),\s(?P<g1>{_W}(?:-{_W})?)(?![A-Za-zÀ-ÿ0-9_@’'+-])|(?P<g2>{_W}(?:-{_W})?)(?P<i2>(?:\s{_I})*)\s(?P<f2>{_W})(?![A-Za-zÀ-ÿ0-9_@’'+-])|(?P<i3>{_I}(?:\s?{_I})*)\s?(?P<f3>{_W})(?![A-Za-zÀ-ÿ0-9_@’'+-]))"
 )
 LATIN_LOWER = re.compile(r"(?<![A-Za-zÀ-ÿ0-9_@./+’'-])(?=(?P<g>[a-zà-öø-ÿß]{2,}(?:-[a-zà-öø-ÿß]{2,})?)\s(?P<f>[a-zà-öø-ÿß]{3,})(?![A-Za-zÀ-ÿ0-9_@’'+-]))|(?<![A-Za-zÀ-ÿ0-9_@./+’'-])(?=(?P<f4>[a-zà-öø-ÿß]{3,}),\s(?P<g4>[a-zà-öø-ÿß]{2,}(?:-[a-zà-öø-ÿß]{2,})?)(?![A-Za-zÀ-ÿ0-9_@’'+-]))")
+_LOWER_PART = re.compile("[a-zà-öø-ÿß]{2,}")
 _CONTEXT = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|\n")
 _TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Mme|Mlle|Herr|Frau|Sr|Sra|Srta|Don|Doña"
 _TITLE = re.compile(rf"(?:{_TITLES}|M)\.?\s$", re.IGNORECASE)
@@ -127,7 +143,7 @@ class Finder:
 
     def structural(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, kind, form) of everything but names, without overlaps; kind ``?`` where the form allows two kinds."""
-        plain = text.translate(_FULL)
+        plain = narrowed(text)
         spans: list[tuple[int, int, str, str]] = []
         taken: list[tuple[int, int]] = []
 
@@ -139,9 +155,11 @@ class Finder:
             taken.append((a, b))
 
         at = 0
-        while ("@" in plain or " at" in plain or " AT" in plain or "(" in plain) and (m := EMAIL.search(plain, at)):
+        # "at" as a word needs "dot" as a word, so most texts needn't be searched
+        spelled = "@" in plain or _BRACKETED_AT.search(plain) is not None or "dot" in plain or "DOT" in plain or "Dot" in plain
+        while spelled and (m := EMAIL.search(plain, at)):
             if m["at"].strip().isalpha() and re.search(_DOT, m["domain"].replace(".", "")) is None:
-                at = m.end("at")  # "at" as a word needs "dot" as a word; an address may begin behind it
+                at = m.end("at")  # an address may begin behind it
                 continue
             add(*m.span(), "email", "email")
             at = m.end()
@@ -158,6 +176,8 @@ class Finder:
                     a += 1
                 if free(a, b):
                     add(a, b, "address", "address")
+        if _LONG_NUMBER.search(plain) is None:
+            return sorted(spans)
         for form, pattern in IDS:
             for m in pattern.finditer(plain):
                 a, b = m.span()
@@ -226,6 +246,8 @@ class Finder:
                 yield m.start(), m.end("f2"), m["g2"].lower(), m["f2"].lower(), "given family"
             if m["f3"]:
                 yield m.start(), m.end("f3"), "", m["f3"].lower(), "initial family"
+        if seeds.isdisjoint(_LOWER_PART.findall(text)):
+            return
         for m in LATIN_LOWER.finditer(text):
             given, family = (m["g"], m["f"]) if m["g"] else (m["g4"], m["f4"])
             if family in seeds or any(g in seeds for g in given.split("-")):
@@ -417,22 +439,28 @@ class Reader:
         return sorted(spans + [(a, b, "person") for a, b in kept])
 
 
-_readers: dict[int, Reader] = {}
+_readers: dict[str, Reader] = {}
+
+
+def sent_out(documents: DataFrame, learned: dict):
+    """What was learned, for all workers, under a digest of its own: workers keep the reader that they built as long as it is the same."""
+    digest = hashlib.sha256(pickle.dumps(sorted(learned.items(), key=lambda x: x[0]))).hexdigest()
+    return documents.sparkSession.sparkContext.broadcast((digest, learned))
 
 
 def _reader(sent) -> Reader:
-    key = id(sent)
-    if key not in _readers:
+    digest, learned = sent.value
+    if digest not in _readers:
         _readers.clear()
-        _readers[key] = Reader(sent.value)
-    return _readers[key]
+        _readers[digest] = Reader(learned)
+    return _readers[digest]
 
 
 def find_personal(documents: DataFrame, parts: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """(id, kind, start_pos, end_pos): one row per occurrence; ``end_pos`` is the position of its last character."""
     rows = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("body")).where("id is not null and body is not null")
     kind = dict(rows.dtypes)["id"]
-    sent = documents.sparkSession.sparkContext.broadcast(learn(rows, parts, "body", **settings))
+    sent = sent_out(documents, learn(rows, parts, "body", **settings))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(sent)
@@ -462,7 +490,7 @@ def mask_personal(documents: DataFrame, parts: DataFrame, doc_id: str = "doc_id"
     """(id, masked text): every value replaced by its kind in brackets, the rest untouched; one row per distinct id and text."""
     rows = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("body")).where("id is not null")
     kind = dict(rows.dtypes)["id"]
-    sent = documents.sparkSession.sparkContext.broadcast(learn(rows.where("body is not null"), parts, "body", **settings))
+    sent = sent_out(documents, learn(rows.where("body is not null"), parts, "body", **settings))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(sent)
