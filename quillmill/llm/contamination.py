@@ -24,13 +24,15 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import UNIT
 
 #: Units of other letters become code points from here on; the first stands for units that no item holds.
 FIRST = 0x20000
-#: Characters of items held in one automaton; more items are scanned in further blocks, each with its own pass.
-BLOCK_CHARS = 20_000_000
+#: Characters of items held in one automaton, which has at most a node for each unit of each window (about 40 bytes each, so 13 windows'
+#: worth of 500,000 units stay below 300 MB); more items are scanned in further blocks, each with its own pass.
+BLOCK_CHARS = 500_000
 
 
 def units(text: str) -> list[str]:
@@ -86,11 +88,14 @@ def leaked_items(
 
     The corpus is never shuffled before its hits: scan, match, then one aggregation over the (few) hits that drops repeated rows.
     """
-    wanted = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("body")).where("item is not null and body is not null").distinct()
+    wanted = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("body")).where("item is not null and body is not null").distinct()
     chars = wanted.agg(F.sum(F.length("body"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
-    corpus = documents.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body")).where("doc is not null and body is not null")
-    schema = "doc_id long, item_id long, windows long, start_pos long, end_pos long"
+    corpus = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("body")).where("doc is not null and body is not null")
+    kinds = dict(corpus.dtypes)["doc"], dict(wanted.dtypes)["item"]
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, windows long, start_pos long, end_pos long"
+    types = [f.dataType for f in (corpus.schema["doc"], wanted.schema["item"])]
+    arrow = [to_arrow_type(t) for t in types] + [pa.int64()] * 3
     out = None
     for block in range(blocks):
         part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
@@ -111,7 +116,7 @@ def leaked_items(
                             spans = [m.span() for m in UNIT.finditer(body)]
                             rows += [(doc, item, n, spans[a][0] + 1, spans[b][1]) for item, (n, a, b) in found.items()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "windows", "start_pos", "end_pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], names=["doc_id", "item_id", "windows", "start_pos", "end_pos"])
 
         hits = corpus.mapInArrow(scan, schema)
         out = hits if out is None else out.unionByName(hits)

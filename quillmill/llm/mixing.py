@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
@@ -81,7 +81,9 @@ def ranked(sizes: DataFrame) -> DataFrame:
 
     placed = checkpointed(ordered.select("doc_id", "source", "n_tokens", F.spark_partition_id().alias("part")).mapInArrow(place, f"doc_id {kind}, source string, n_tokens long, part int, place long"))
     counts = placed.groupBy("source", "part").agg(F.count("*").alias("n"))
-    before = counts.alias("x").join(counts.alias("y"), (F.col("x.source") == F.col("y.source")) & (F.col("y.part") < F.col("x.part")), "left").groupBy(F.col("x.source").alias("source"), F.col("x.part").alias("part")).agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))
+    # one row per source and range: a running sum over at most as many rows as there are ranges
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("source", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     return placed.join(before, ["source", "part"]).select("doc_id", "source", "n_tokens", (F.col("before") + F.col("place")).alias("rank"))
 
 
