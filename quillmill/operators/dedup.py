@@ -33,12 +33,8 @@ def _prefix(threshold: float, size: Column) -> Column:
     return F.greatest(F.lit(1), size - F.floor(size * least).cast("int"))
 
 
-def batch_pairs(rows: DataFrame, key: str, text: str, order: str, group: tuple[str, ...] = (), threshold: float = 0.65) -> DataFrame:
-    """(group, later, earlier, similarity): pairs above the threshold; ``order`` decides which comes first.
-
-    Scores are half the cosine and three tenths of the top-token overlap; where both texts have fewer than a hundred characters, one
-    less the relative edit distance. Titles take no part. Null texts are left out.
-    """
+def batch_candidates(rows: DataFrame, key: str, text: str, order: str, group: tuple[str, ...] = (), threshold: float = 0.65) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs (group, later, earlier) that may reach the threshold, rows with their digests, long weights)"""
     kept = rows.where(F.col(text).isNotNull())
     long = vectors.vectors(kept, key, text, group)
     long = checkpointed(long)
@@ -60,7 +56,16 @@ def batch_pairs(rows: DataFrame, key: str, text: str, order: str, group: tuple[s
     tiny = full.where(F.col("_len") <= int(TINY / (1 - LENGTH_RATIO)))
     at = F.sequence(F.lit(1), F.greatest(F.col("_len") - 1, F.lit(1)))
     grams = tiny.select(*group, key, "_o", "_len", F.explode(F.array_distinct(F.transform(at, lambda i: F.col("_t").substr(i, F.lit(2))))).alias("_k"))
-    pairs = ids(spread, spread, "_k").unionByName(ids(grams, grams, "_k")).distinct()
+    return ids(spread, spread, "_k").unionByName(ids(grams, grams, "_k")).distinct(), full, long
+
+
+def batch_pairs(rows: DataFrame, key: str, text: str, order: str, group: tuple[str, ...] = (), threshold: float = 0.65) -> DataFrame:
+    """(group, later, earlier, similarity): pairs above the threshold; ``order`` decides which comes first.
+
+    Scores are half the cosine and three tenths of the top-token overlap; where both texts have fewer than a hundred characters, one
+    less the relative edit distance. Titles take no part. Null texts are left out; keys must be unique in their group.
+    """
+    pairs, full, long = batch_candidates(rows, key, text, order, group, threshold)
     side = lambda name: full.select(*group, F.col(key).alias(name), *[F.col(c).alias(f"{name}_{c.strip('_')}") for c in ("_t", "_len", "top_tokens", "norm", "n_tokens")])
     both = pairs.join(side("later"), [*group, "later"]).join(side("earlier"), [*group, "earlier"])
     c = lambda name: F.col(f"later_{name}")
