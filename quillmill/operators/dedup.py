@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import simhash
 from ..functions.similarity import edit_similarity, hamming, jaccard
 from ..functions.text import utf16_length
+from ..functions.tokens import tokens
 from ..sources.state import checkpointed
 from . import vectors
 
@@ -27,23 +28,24 @@ def _length_ok(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= LENGTH_RATIO * F.greatest(a, b)
 
 
-def _prefix(threshold: float, size: Column) -> Column:
-    """Number of rarest top tokens of which two texts above the threshold share one."""
-    least = max(0.0, (threshold - 0.5) / 0.3)
+def _prefix(threshold: float, size: Column, rest: float = 0.5) -> Column:
+    """Number of rarest top tokens of which two texts above the threshold share one; ``rest`` is what everything else can give at most."""
+    least = max(0.0, (threshold - rest) / 0.3)
     return F.greatest(F.lit(1), size - F.floor(size * least).cast("int"))
 
 
-def batch_candidates(rows: DataFrame, key: str, text: str, order: str, group: tuple[str, ...] = (), threshold: float = 0.65) -> tuple[DataFrame, DataFrame, DataFrame]:
+def batch_candidates(rows: DataFrame, key: str, text: str, order: str, group: tuple[str, ...] = (), threshold: float = 0.65, title: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs (group, later, earlier) that may reach the threshold, rows with their digests, long weights)"""
     kept = rows.where(F.col(text).isNotNull())
     long = vectors.vectors(kept, key, text, group)
     long = checkpointed(long)
     digest = vectors.summary(long, key, group)
-    base = kept.select(*group, key, F.col(order).alias("_o"), F.col(text).alias("_t"), utf16_length(F.col(text)).alias("_len"))
+    named = F.array_distinct(tokens(F.coalesce(F.col(title), F.lit("")))) if title else F.array().cast("array<string>")
+    base = kept.select(*group, key, F.col(order).alias("_o"), F.col(text).alias("_t"), utf16_length(F.col(text)).alias("_len"), named.alias("title_tokens"))
     full = base.join(digest, [*group, key], "left").withColumn("top_tokens", F.coalesce("top_tokens", F.array().cast("array<string>")))
     rare = F.transform(F.array_sort(F.arrays_zip("top_df", "top_tokens")), lambda x: x["top_tokens"])
     size = F.size("top_tokens")
-    keys = F.when(F.col("_len") < SHORT, F.col("top_tokens")).otherwise(F.slice(rare, F.lit(1), _prefix(threshold, size)))
+    keys = F.when(F.col("_len") < SHORT, F.col("top_tokens")).otherwise(F.slice(rare, F.lit(1), _prefix(threshold, size, 0.7 if title else 0.5)))
     full = checkpointed(full.withColumn("_keys", F.when(size > 0, keys).otherwise(F.array().cast("array<string>"))))
     spread = full.select(*group, key, "_o", "_len", F.explode("_keys").alias("_k"))
 
@@ -59,26 +61,27 @@ def batch_candidates(rows: DataFrame, key: str, text: str, order: str, group: tu
     return ids(spread, spread, "_k").unionByName(ids(grams, grams, "_k")).distinct(), full, long
 
 
-def batch_pairs(rows: DataFrame, key: str, text: str, order: str, group: tuple[str, ...] = (), threshold: float = 0.65) -> DataFrame:
+def batch_pairs(rows: DataFrame, key: str, text: str, order: str, group: tuple[str, ...] = (), threshold: float = 0.65, title: str | None = None) -> DataFrame:
     """(group, later, earlier, similarity): pairs above the threshold; ``order`` decides which comes first.
 
     Scores are half the cosine and three tenths of the top-token overlap; where both texts have fewer than a hundred characters, one
-    less the relative edit distance. Titles take no part. Null texts are left out; keys must be unique in their group.
+    less the relative edit distance. Null texts are left out; keys must be unique in their group. Titles take no part, as in the results
+    to be matched; with ``title``, the overlap of their tokens counts two tenths, as was meant there.
     """
-    pairs, full, long = batch_candidates(rows, key, text, order, group, threshold)
-    side = lambda name: full.select(*group, F.col(key).alias(name), *[F.col(c).alias(f"{name}_{c.strip('_')}") for c in ("_t", "_len", "top_tokens", "norm", "n_tokens")])
+    pairs, full, long = batch_candidates(rows, key, text, order, group, threshold, title)
+    side = lambda name: full.select(*group, F.col(key).alias(name), *[F.col(c).alias(f"{name}_{c.strip('_')}") for c in ("_t", "_len", "top_tokens", "norm", "n_tokens", "title_tokens")])
     both = pairs.join(side("later"), [*group, "later"]).join(side("earlier"), [*group, "earlier"])
     c = lambda name: F.col(f"later_{name}")
     d = lambda name: F.col(f"earlier_{name}")
     likely = both.withColumn("_overlap", jaccard(c("top_tokens"), d("top_tokens"))).where((F.col("_overlap") > 0) | (F.least(c("len"), d("len")) <= TINY))
     short = (c("len") < SHORT) & (d("len") < SHORT)
     edits = edit_similarity(c("t"), d("t"))
-    scored = checkpointed(likely.select(*group, "later", "earlier", "_overlap", short.alias("_short"), F.when(short, F.when(edits >= 0.7, edits)).alias("_edits"), *[f"{x}_{y}" for x in ("later", "earlier") for y in ("norm", "n_tokens")]))
-    # half the cosine is at most one half: the rest has to come from the top tokens
-    close = scored.where(~F.col("_short") & (0.5 + 0.3 * F.col("_overlap") > threshold))
+    scored = checkpointed(likely.select(*group, "later", "earlier", "_overlap", jaccard(c("title_tokens"), d("title_tokens")).alias("_title"), short.alias("_short"), F.when(short, F.when(edits >= 0.7, edits)).alias("_edits"), *[f"{x}_{y}" for x in ("later", "earlier") for y in ("norm", "n_tokens")]))
+    # half the cosine is at most one half: the rest has to come from the top tokens and titles
+    close = scored.where(~F.col("_short") & (0.5 + 0.3 * F.col("_overlap") + 0.2 * F.col("_title") > threshold))
     close = close.join(vectors.dots(close, long, long, key, "later", "earlier", group), [*group, "later", "earlier"], "left")
     cosine = vectors.sparse_cosine(F.col("dot"), c("norm"), d("norm"), c("n_tokens"), d("n_tokens"))
-    found = close.select(*group, "later", "earlier", (0.5 * cosine + 0.3 * F.col("_overlap")).alias("similarity"))
+    found = close.select(*group, "later", "earlier", (0.5 * cosine + 0.3 * F.col("_overlap") + 0.2 * F.col("_title")).alias("similarity"))
     found = found.unionByName(scored.where("_short").select(*group, "later", "earlier", F.col("_edits").alias("similarity")))
     return found.where(F.col("similarity") > threshold)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,6 +128,20 @@ def batch_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("batch", "later", "earlier", F.round("similarity", 6).alias("similarity"))
 
 
+_TITLED = (
+    _PAIRS.replace("n.content AS t, length(n.content) AS len,", f"n.content AS t, length(n.content) AS len, list_distinct({oracle.tokens('coalesce(n.title, ' + chr(39) * 2 + ')', 3)}) AS tt,")
+    .replace("x.nt AS xk, y.nt AS yk,", "x.nt AS xk, y.nt AS yk, coalesce(len(list_intersect(x.tt, y.tt)) / nullif(len(list_distinct(x.tt || y.tt)), 0), 0) AS tj,")
+    .replace("+ 0.3 * o END AS similarity", "+ 0.3 * o + 0.2 * tj END AS similarity")
+)
+
+
+@query("batch_titled_dups", f"WITH {_TITLED} SELECT batch, later, earlier, round(similarity, 6) AS similarity FROM pairs")
+def batch_titled_dups(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pairs with titles in the score."""
+    pairs = dedup.batch_pairs(distinct_notes(spark, folder), "id", "content", "id", ("batch",), title="title")
+    return pairs.select("batch", "later", "earlier", F.round("similarity", 6).alias("similarity"))
+
+
 @query(
     "batch_dropped",
     f"""WITH RECURSIVE {_PAIRS},
@@ -147,9 +163,22 @@ def _fingerprints(long: str, key: str, order: str, weight: str) -> str:
  FROM (SELECT x.*, (h64 % 4294967296)::BIGINT AS h0, (h64 // 4294967296)::BIGINT AS h1 FROM {long} x JOIN hashes USING (k)), (SELECT unnest(range(64))::INT AS b) GROUP BY {key}, b) GROUP BY {key})"""
 
 
-@query(
-    "corpus_matches",
-    f"""WITH n AS (SELECT * FROM {NOTES} WHERE content IS NOT NULL), old AS (SELECT * FROM n WHERE batch = 1), new AS (SELECT * FROM n WHERE batch > 1), {oracle.vectors('old', 'id', 'content')},
+def _named(sql: str) -> str:
+    """The CTEs of vectors under other names, so that a second set can stand beside the first."""
+    return re.sub(r"\b(sz|tx|tc|df|idf|v|vn|vr)\b", r"\1_t", sql)
+
+
+_TITLE_COSINES = rf"""old_t AS (SELECT * FROM old WHERE title IS NOT NULL), {_named(oracle.vectors('old_t', 'id', 'title'))},
+x_t AS (SELECT id, {oracle.length('title')} AS len, unnest({oracle.tokens('title', 3)}) AS k FROM new WHERE title IS NOT NULL), y_t AS (SELECT id, k, max(len) AS len, count(*) AS cnt FROM x_t GROUP BY ALL),
+w_t AS (SELECT id, k, cnt / (cnt + 1.5 * (0.25 + 0.75 * len / avg_len)) * coalesce(idf_t, ln(n_docs + 1) + 1) AS w FROM y_t LEFT JOIN idf_t USING (k) CROSS JOIN sz_t),
+n1_t AS (SELECT id, count(*) AS nt, sqrt(sum(w * w)) AS norm FROM w_t GROUP BY id), n2_t AS (SELECT id, count(*) AS nt, sqrt(sum(w * w)) AS norm FROM v_t GROUP BY id),
+d_t AS (SELECT a, b, sum(x.w * y.w) AS dot FROM p JOIN w_t x ON x.id = a JOIN v_t y ON y.id = b AND y.k = x.k GROUP BY ALL),
+titles AS (SELECT p.a, p.b, greatest(0, least(1, coalesce(dot, 0) / (n1_t.norm * n2_t.norm))) AS title FROM p JOIN n1_t ON n1_t.id = p.a JOIN n2_t ON n2_t.id = p.b LEFT JOIN d_t ON d_t.a = p.a AND d_t.b = p.b WHERE n1_t.nt >= 3 AND n2_t.nt >= 3)"""
+
+
+def _matches_sql(titled: bool) -> str:
+    title = _TITLE_COSINES if titled else "titles AS (SELECT NULL::VARCHAR AS a, NULL::VARCHAR AS b, NULL::DOUBLE AS title WHERE false)"
+    return f"""WITH n AS (SELECT * FROM {NOTES} WHERE content IS NOT NULL), old AS (SELECT * FROM n WHERE batch = 1), new AS (SELECT * FROM n WHERE batch > 1), {oracle.vectors('old', 'id', 'content')},
 n2 AS (SELECT count(*) AS d2, avg({oracle.length('content')}) AS a2 FROM new),
 tx2 AS (SELECT id, {oracle.length('content')} AS len, unnest({oracle.tokens('content', 3)}) AS k, generate_subscripts({oracle.tokens('content', 3)}, 1) - 1 AS pos FROM new),
 tc2 AS (SELECT id, k, max(len) AS len, count(*) AS cnt, min(pos) AS pos FROM tx2 GROUP BY ALL),
@@ -162,17 +191,20 @@ p AS (SELECT f2.id AS a, f1.id AS b FROM f2 JOIN f1 ON bit_count(xor(f2.lo, f1.l
 q AS (SELECT a, b, {oracle.length('x.content')} AS la, {oracle.length('y.content')} AS lb, coalesce(r2.top, []) AS ta, coalesce(r1.top, []) AS tb FROM p JOIN new x ON x.id = a JOIN old y ON y.id = b LEFT JOIN r2 ON r2.id = a LEFT JOIN r1 ON r1.id = b),
 s AS (SELECT *, coalesce(len(list_intersect(ta, tb)) / nullif(len(list_distinct(ta || tb)), 0), 0) AS o FROM q WHERE abs(la - lb) <= 0.3 * greatest(la, lb)),
 d AS (SELECT a, b, sum(x.w * y.w) AS dot FROM s JOIN v2 x ON x.id = a JOIN v y ON y.id = b AND y.k = x.k GROUP BY ALL),
-c AS (SELECT s.a, s.b, 0.6 * CASE WHEN m2.nt < 3 OR m1.nt < 3 OR m1.nt IS NULL OR m2.nt IS NULL THEN 0 ELSE greatest(0, least(1, coalesce(dot, 0) / (m1.norm * m2.norm))) END + 0.4 * o AS score FROM s LEFT JOIN d USING (a, b) LEFT JOIN m2 ON m2.id = a LEFT JOIN m1 ON m1.id = b WHERE o > 0 OR least(la, lb) <= 30),
+c0 AS (SELECT s.a, s.b, o, CASE WHEN m2.nt < 3 OR m1.nt < 3 OR m1.nt IS NULL OR m2.nt IS NULL THEN 0 ELSE greatest(0, least(1, coalesce(dot, 0) / (m1.norm * m2.norm))) END AS content FROM s LEFT JOIN d USING (a, b) LEFT JOIN m2 ON m2.id = a LEFT JOIN m1 ON m1.id = b WHERE o > 0 OR least(la, lb) <= 30),
+{title}, c AS (SELECT c0.a, c0.b, CASE WHEN title IS NOT NULL THEN 0.5 * content + 0.3 * o + 0.2 * title ELSE 0.6 * content + 0.4 * o END AS score FROM c0 LEFT JOIN titles ON titles.a = c0.a AND titles.b = c0.b),
 best AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM c)
-SELECT new.id AS id, b AS other, round(CASE WHEN score IS NOT NULL AND {oracle.length('content')} < 100 THEN least(score * 1.15, 1) ELSE score END, 6) AS score FROM new LEFT JOIN (SELECT * FROM best WHERE r = 1) ON a = new.id""",
-)
+SELECT new.id AS id, b AS other, round(CASE WHEN score IS NOT NULL AND {oracle.length('content')} < 100 THEN least(score * 1.15, 1) ELSE score END, 6) AS score FROM new LEFT JOIN (SELECT * FROM best WHERE r = 1) ON a = new.id"""
+
+
+@query("corpus_matches", _matches_sql(False))
 def corpus_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Notes of later batches with their best partner in the first batch."""
     rows = distinct_notes(spark, folder).where("content is not null")
     return dedup.corpus_matches(rows.where("batch > 1"), rows.where("batch = 1"), "id", "content").select("id", "other", F.round("score", 6).alias("score"))
 
 
-@query("titled_matches")
+@query("titled_matches", _matches_sql(True))
 def titled_matches(spark: SparkSession, folder: str) -> DataFrame:
     """The same with titles in the score."""
     rows = distinct_notes(spark, folder).where("content is not null")

@@ -88,6 +88,30 @@ def source_titles(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_id", labels.source_title(F.lit("url"), F.col("url")).alias("title"), labels.provider(F.coalesce("url", F.lit(""))).alias("provider"), labels.friendly_error(F.col("message")).alias("message"))
 
 
+@query(
+    "fetched_pages",
+    f"""WITH u AS (SELECT page_id, url, CASE WHEN url IS NULL THEN NULL WHEN length(url) % 2 = 1 THEN {oracle.trim("repeat(url || ' ', 3)")} ELSE {oracle.trim(_squeezed("'Page' || repeat(url || ' ', 10)"))} END AS c FROM url_extracts)
+SELECT page_id, url IS NOT NULL AS success, md5(c) AS content, CASE WHEN url IS NOT NULL THEN 'Page' END AS title, CASE WHEN url IS NULL THEN 'EMPTY_HTML' END AS error_code FROM u""",
+)
+def fetched_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses read through a stand-in for the network: every other page needs scripts and is tried again through a renderer."""
+    from html import escape
+
+    def fetch(url: str | None) -> str | None:
+        if url is None:
+            return None
+        return '<html><body><div id="app"></div></body></html>' if len(url) % 2 else f"<article><h1>Page</h1><p>{escape((url + ' ') * 10)}</article>"
+
+    rows = readers.fetched(table(spark, folder, "url_extracts").select("page_id", "url"), "url", fetch, lambda url: "# Page\n" + (url + " ") * 3)
+    return rows.select("page_id", "read.success", F.md5("read.content").alias("content"), "read.title", "read.error_code")
+
+
+@query("backlinks", f"SELECT id, content || chr(10) || chr(10) || '[[' || id || ']]' || chr(10) AS content FROM {NOTES} WHERE content IS NOT NULL")
+def backlinks(spark: SparkSession, folder: str) -> DataFrame:
+    rows = distinct_notes(spark, folder).where("content is not null")
+    return rows.select("id", notes.backlink(F.col("content"), F.col("id")).alias("content"))
+
+
 @query("discovery_scan", "SELECT path, mtime FROM dedup_features WHERE path IS NOT NULL")
 def discovery_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The scan of a search index, where no folder means all."""
