@@ -18,7 +18,8 @@ import xxhash
 from .common import HAN_RUN, WORD4
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-BITMAP_WORDS = 4
+#: 64-bit words of a bitmap: sets of a hundred elements leave it sparse enough to tell unlike sets apart.
+BITMAP_WORDS = 6
 _memo: dict[str, int] = {}
 
 

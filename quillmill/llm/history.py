@@ -80,7 +80,7 @@ def entry_sets(features: DataFrame) -> DataFrame:
 
 
 class Shards:
-    """The index: (path, class_key, shard) members, (class_key, elements) entries, prefix rows, and (element, rank) of common elements."""
+    """The index: (path, class_key, buckets, shard) members, (class_key, elements) entries, prefix rows, and (element, rank) of common elements."""
 
     TABLES = ("members", "entries", "prefixes", "common")
 
@@ -94,7 +94,13 @@ class Shards:
         entries = sets.select("class_key", "elements")
         common = near_dups.common_elements(entries)
         ranks = sets.sparkSession.createDataFrame(pa.table({"element": common.astype(np.int64), "rank": np.arange(len(common))}))
-        return cls(sets.select("path", "class_key", number), entries.select("*", number), near_dups.prefix_rows(entries, LEAST, common, side=1, salt=shard).select("*", number), ranks.select("*", number))
+        buckets = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return cls(
+            sets.select("path", "class_key", F.lit(buckets).alias("buckets"), number),
+            entries.select("*", number),
+            near_dups.prefix_rows(entries, LEAST, common, side=1, salt=shard, buckets=buckets).drop("buckets").withColumn("shard", number),
+            ranks.select("*", number),
+        )
 
     def write(self, folder: str) -> None:
         """Append these shards to a folder of Parquet tables; shards already there stay as they are."""
@@ -118,10 +124,11 @@ def probe(batch: DataFrame, shards: Shards, least: float = LEAST) -> DataFrame:
     """(id, path, overlap): entries of the shards whose overlap with a row of (id, class_key, elements) is at least ``least``."""
     if least < LEAST:
         raise ValueError(f"the shards hold prefixes for overlaps from {LEAST} on")
-    spread = shards.prefixes.drop("shard")
-    for shard in sorted(r.shard for r in shards.members.select("shard").distinct().collect()):
+    spread = shards.prefixes.select("bucket", "members")
+    for shard, buckets in sorted((r.shard, r.buckets) for r in shards.members.select("shard", "buckets").distinct().collect()):
         ranks = shards.common.where(F.col("shard") == shard).select("element", "rank").toArrow().sort_by("rank")
-        spread = spread.unionByName(near_dups.prefix_rows(batch, LEAST, ranks.column("element").to_numpy().astype(np.uint32), salt=shard))
+        mine = near_dups.prefix_rows(batch, LEAST, ranks.column("element").to_numpy().astype(np.uint32), salt=shard, buckets=buckets)
+        spread = spread.unionByName(mine.drop("buckets"))
     pairs = near_dups.candidate_pairs(spread, least, two_sided=True)
     links = near_dups.compared(pairs, batch, shards.entries.select("class_key", "elements"), least)
     ids = batch.select("id", F.col("class_key").alias("a")).distinct()

@@ -28,7 +28,7 @@ from .common import checkpointed, js_blank
 
 #: Members of a sub-group, whose union is bounded before its members are.
 SUBGROUP = 64
-#: ``place`` holds the place of the group's element in the set (16 bits), the group (32), the side (1) and the set's size (15).
+#: Layout of a place, see ``unpacked``.
 _SIZE_BITS = 16
 _GROUP = np.uint64(0xFFFFFFFF)
 _BIG = (1 << (_SIZE_BITS - 1)) - 1
@@ -68,12 +68,31 @@ def common_elements(sets: DataFrame, share: float = COMMON_SHARE) -> np.ndarray:
     return element[np.lexsort((element, n))].astype(np.uint32)
 
 
-def prefix_rows(sets: DataFrame, least: float, common: np.ndarray, side: int = 0, salt: int = 0) -> DataFrame:
-    """(place, class_key, bits0, ...): one row per set and element of its prefix, in the order of ``common``; other elements come before them.
+def lanes(n: int) -> np.ndarray:
+    """n numbers that Spark's hash partitioning sends to n different partitions, in order."""
+    tries = np.arange(max(64, 30 * n), dtype=np.uint32)
+    turned = lambda x, by: (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+    h = turned(turned(tries * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    for by, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(by))) * np.uint32(factor)
+    place = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % n
+    found, first = np.unique(place, return_index=True)
+    out = np.arange(n)
+    out[found] = first  # a number that was not met keeps its own, which only makes it share a partition
+    return out.astype(np.int32)
 
-    Both sides of a comparison need the same ``common`` and ``salt``.
+
+def prefix_rows(sets: DataFrame, least: float, common: np.ndarray, side: int = 0, salt: int = 0, buckets: int | None = None) -> DataFrame:
+    """(bucket, buckets, members): the sets' places in the groups of their prefixes, in the order of ``common``; other elements come before
+    them. Groups lie in ``buckets`` (by default as many as the session has shuffle partitions, numbered so that each gets one), and what a batch of sets has in one bucket
+    is one row, packed: a set's key and bitmap stand there once, however many of the bucket's groups it is in.
+
+    Both sides of a comparison need the same ``common``, ``salt`` and ``buckets``.
     """
-    sent = sets.sparkSession.sparkContext.broadcast(common)
+    spark = sets.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = spark.sparkContext.broadcast(common)
     salted = np.uint64(bags.mix(np.array([salt], np.uint64))[0] >> np.uint64(32))
     first = np.uint64(1 << 32)
 
@@ -102,13 +121,42 @@ def prefix_rows(sets: DataFrame, least: float, common: np.ndarray, side: int = 0
             element = rank.copy()
             element[rank >= first] = common[(rank[rank >= first] - first).astype(np.int64)]
             # sets too large for their size to be told are never bounded
-            place = np.where(size[doc] >= _BIG, 0, place[inside]).astype(np.uint64)
-            place = (place << np.uint64(48)) | ((element ^ salted) << np.uint64(_SIZE_BITS)) | np.uint64(side << (_SIZE_BITS - 1)) | np.minimum(size[doc], _BIG).astype(np.uint64)
-            bits = bags.bitmaps(read.flat, read.starts)[doc].view(np.int64)
-            words = [pa.array(np.ascontiguousarray(bits[:, w])) for w in range(bits.shape[1])]
-            yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(batch.column(0).to_numpy()[doc]), *words], names=["place", "class_key", *(f"bits{w}" for w in range(len(words)))])
-
-    return sets.select("class_key", "elements").mapInArrow(spread, "place long, class_key long, " + ", ".join(f"bits{w} long" for w in range(bags.BITMAP_WORDS)))
+            place = np.where(size[doc] >= _BIG, 0, place[inside])
+            element ^= salted
+            bucket = (bags.mix(element) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((doc, bucket))
+            bucket, doc, element, place = bucket[order], doc[order], element[order].astype(np.uint32), place[order].astype(np.uint16)
+            keys, bits = batch.column(0).to_numpy(), bags.bitmaps(read.flat, read.starts)
+            found, starts = np.unique(bucket, return_index=True)
+            lane = lanes(buckets)
+            packed = []
+            for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
+                members, times = np.unique(doc[a:b], return_counts=True)
+                head = np.array([len(members), b - a], np.int64)
+                sizes = (np.minimum(size[members], _BIG) | (side << (_SIZE_BITS - 1))).astype(np.uint16)
+                packed.append(b"".join(x.tobytes() for x in (head, keys[members], bits[members], element[a:b], sizes, times.astype(np.uint16), place[a:b])))
+            yield pa.RecordBatch.from_arrays([pa.array(lane[found]), pa.array(np.full(len(found), buckets, np.int32)), pa.array(packed, pa.binary())], names=["bucket", "buckets", "members"])
+
+    return sets.select("class_key", "elements").mapInArrow(spread, "bucket int, buckets int, members binary")
+
+
+def unpacked(members: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, class key, bitmap) of each set in each group: ``place`` holds the place of the group's element in the set (16 bits), the group
+    (32), the side (1) and the set's size (15)."""
+    places, keys, bits = [], [], []
+    for blob in members:
+        n, m = np.frombuffer(blob, np.int64, 2)
+        at = 16
+        parts = []
+        for kind, length in ((np.int64, n), (np.uint64, n * bags.BITMAP_WORDS), (np.uint32, m), (np.uint16, n), (np.uint16, n), (np.uint16, m)):
+            parts.append(np.frombuffer(blob, kind, int(length), at))
+            at += parts[-1].nbytes
+        key, bitmap, element, size, times, place = parts
+        row = np.repeat(np.arange(n), times)
+        places.append((place.astype(np.uint64) << np.uint64(48)) | (element.astype(np.uint64) << np.uint64(_SIZE_BITS)) | size[row].astype(np.uint64))
+        keys.append(key[row])
+        bits.append(bitmap.reshape(n, bags.BITMAP_WORDS)[row])
+    return np.concatenate(places).view(np.int64), np.concatenate(keys), np.concatenate(bits)
 
 
 def qualifying(place: np.ndarray, key: np.ndarray, bits: np.ndarray, least: float, two_sided: bool) -> Iterator[np.ndarray]:
@@ -158,40 +206,61 @@ def qualifying(place: np.ndarray, key: np.ndarray, bits: np.ndarray, least: floa
     for g in np.flatnonzero(count > SUBGROUP):
         at = np.arange(start[g], start[g] + count[g])
         queries, others = (at[side[at] == 0], at[side[at] == 1]) if two_sided else (at, at)
-        if not len(queries) or not len(others):
+        if len(queries) and len(others):
+            queries, others = (x[np.lexsort((bits[x, 0], size[x]))] for x in (queries, others))
+            yield from _across(queries, others, not two_sided, key, size, bits, room, share, need, big, least)
+
+
+def _across(queries: np.ndarray, others: np.ndarray, same: bool, key: np.ndarray, size: np.ndarray, bits: np.ndarray, room: np.ndarray, share: np.ndarray, need: np.ndarray, big: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """Pairs of two sides of a group, in pieces; ``same`` where they are one list in one order, whose pairs count once."""
+    edges = np.arange(0, len(others), SUBGROUP)
+    union = np.bitwise_or.reduceat(bits[others], edges, axis=0)
+    low, roomy = np.minimum.reduceat(share[others], edges), np.maximum.reduceat(room[others], edges)
+    smallest, largest = np.minimum.reduceat(size[others], edges), np.maximum.reduceat(size[others], edges)
+    shares, rooms, needs, bigs = share[others], room[others], need[others], big[others]
+    columns = np.ascontiguousarray(bits[others].T)
+    for k in range(0, len(queries), SUBGROUP):
+        q = queries[k : k + SUBGROUP]
+        wide = big[q].any() or bigs.any()
+        # sizes differ by the factor of the overlap at most, and what the element leaves of either side must reach the other's part
+        some = (largest >= least * size[q].min() - 0.01) & (smallest <= size[q].max() / least + 0.01)
+        if not wide:
+            some &= (roomy >= share[q].min()) & (low <= room[q].max())
+        if same:
+            some[: k // SUBGROUP] = False  # each pair once
+        blocks = np.flatnonzero(some)
+        if not len(blocks):
             continue
-        queries, others = (x[np.lexsort((bits[x, 0], size[x]))] for x in (queries, others))
-        edges = np.arange(0, len(others), SUBGROUP)
-        union = np.bitwise_or.reduceat(bits[others], edges, axis=0)
-        low = share[others[edges]]  # sorted by size: the first is the smallest
-        sizes = size[others]
-        columns = np.ascontiguousarray(bits[others].T)
-        for k in range(0, len(queries), SUBGROUP):
-            q = queries[k : k + SUBGROUP]
-            # sizes differ by the factor of the overlap at most
-            left = int(np.searchsorted(sizes, least * size[q[0]] - 0.01))
-            right = int(np.searchsorted(sizes, size[q[-1]] / least + 0.01, "right"))
-            if not two_sided:
-                left = max(left, k)  # each pair once
-            if left >= right:
+        # a set of the sub-group is at least as large as its smallest and shares at most what the union covers
+        covered = np.bitwise_count(bits[q][:, None, :] & union[None, blocks, :]).sum(axis=2)
+        opened = ((covered >= need[q][:, None] + low[None, blocks]) | big[q][:, None]).any(axis=0)
+        blocks = blocks[opened]
+        if not len(blocks):
+            continue
+        reached = (blocks[:, None] * SUBGROUP + np.arange(SUBGROUP)).ravel()
+        reached = reached[reached < len(others)]
+        for c in range(0, len(reached), _PAIR_COLUMNS):
+            o = reached[c : c + _PAIR_COLUMNS]
+            good = (room[q][:, None] >= shares[o][None, :]) & (rooms[o][None, :] >= share[q][:, None])
+            if wide:
+                good |= big[q][:, None] | bigs[o][None, :]
+            if same:
+                good &= o[None, :] > np.arange(k, k + len(q))[:, None]
+            i, j = np.nonzero(good)
+            if not len(i):
                 continue
-            # a set of the sub-group is at least as large as its smallest and shares at most what the union covers
-            covered = np.bitwise_count(bits[q][:, None, :] & union[None, :, :]).sum(axis=2)
-            opened = ((covered >= need[q][:, None] + low[None, :]) | big[q][:, None]).any(axis=0)
-            reached = left + np.flatnonzero(opened[np.arange(left, right) // SUBGROUP])
-            for c in range(0, len(reached), _PAIR_COLUMNS):
-                at = reached[c : c + _PAIR_COLUMNS]
-                o = others[at]
-                good = (room[q][:, None] >= share[o][None, :]) & (room[o][None, :] >= share[q][:, None])
-                common = np.zeros(good.shape, np.uint16)
+            if len(i) * 4 < good.size:
+                common = np.bitwise_count(bits[q[i]] & bits[others[o[j]]]).sum(axis=1)
+            else:
+                table = np.zeros(good.shape, np.uint16)
                 for w in range(len(columns)):
-                    common += np.bitwise_count(bits[q, w][:, None] & columns[w, at][None, :])
-                good &= (common >= need[q][:, None] + share[o][None, :]) & (common >= need[o][None, :] + share[q][:, None])
-                good |= big[q][:, None] | big[o][None, :]
-                if not two_sided:
-                    good &= at[None, :] > np.arange(k, k + len(q))[:, None]
-                i, j = np.nonzero(good)
-                yield np.stack([key[q[i]], key[o[j]]], axis=1)
+                    table += np.bitwise_count(bits[q, w][:, None] & columns[w, o][None, :])
+                common = table[i, j]
+            a, b = q[i], o[j]
+            close = (common >= need[a] + shares[b]) & (common >= needs[b] + share[a])
+            if wide:
+                close |= big[a] | bigs[b]
+            yield np.stack([key[a[close]], key[others[b[close]]]], axis=1)
 
 
 def candidate_pairs(rows: DataFrame, least: float, two_sided: bool = False) -> DataFrame:
@@ -199,14 +268,14 @@ def candidate_pairs(rows: DataFrame, least: float, two_sided: bool = False) -> D
     schema = "a long, b long"
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not parts:
+        members = [m for batch in batches for m in batch.column(0).to_pylist()]
+        if not members:
             return
-        columns = [np.concatenate([p.column(k).to_numpy() for p in parts]) for k in range(2 + bags.BITMAP_WORDS)]
-        del parts
+        place, key, bits = unpacked(members)
+        del members
         held: list[np.ndarray] = []
         total = 0
-        for found in qualifying(columns[0], columns[1], np.stack(columns[2:], axis=1).view(np.uint64), least, two_sided):
+        for found in qualifying(place, key, bits, least, two_sided):
             if not two_sided:
                 found = np.sort(found, axis=1)
             held.append(found)
@@ -217,8 +286,7 @@ def candidate_pairs(rows: DataFrame, least: float, two_sided: bool = False) -> D
         if total:
             yield _unique(held)
 
-    spread = rows.repartition(F.expr(f"shiftrightunsigned(place, {_SIZE_BITS}) & {_GROUP}"))
-    return spread.mapInArrow(match, schema).distinct()
+    return rows.repartition("bucket").select("members").mapInArrow(match, schema).distinct()
 
 
 def _unique(held: list[np.ndarray]) -> pa.RecordBatch:
