@@ -4,7 +4,7 @@ Layout-aware rendering: every line gets a tag, the lines build a tree with impli
 (``layout``). Pages that are still HTML are rendered to lines first by the same module.
 
 The tags rest on statistics over all pages: how many different articles hold a line, over the whole crawl and on its host (a line
-that many articles share is furniture, whatever it says; reprints of one article count once, by their longest line), and how much a
+that many articles share is furniture, whatever it says; reprints of one article count once, by their two longest lines), and how much a
 line's word classes differ from prose (``prose``). Lists of words for section labels, bylines and notices help where a line varies.
 
 Texts are read once (``pages``); what is counted, joined and judged after that are narrow rows. The shared lines of the crawl number at

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import nlargest
 from itertools import count
 
 import numpy as np
@@ -166,7 +167,7 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 
 def read_page(body: str, title: str | None) -> tuple[prose.Lines, np.ndarray, int]:
-    """(classes, line records, key of the article: its longest line)"""
+    """(classes, line records, key of the article)"""
     before = repaired(body)
     fixed = softened(before)
     parts = fixed.split("\n")
@@ -201,7 +202,12 @@ def read_page(body: str, title: str | None) -> tuple[prose.Lines, np.ndarray, in
         keys.append(key)
         flags.append(flag)
     out["key"], out["flags"], out["tokens"], out["size"], out["own"] = keys, flags, tokens, list(map(len, parts)), own_losses(fixed, lines)
-    return lines, out, xxhash.xxh3_64_intdigest(max(parts, key=len).strip()) - (1 << 63)
+    return lines, out, article_key(parts)
+
+
+def article_key(parts: list[str]) -> int:
+    """Key of an article by its two longest lines, so that reprints count once and a long notice alone doesn't make all pages one."""
+    return xxhash.xxh3_64_intdigest("\n".join(p.strip() for p in nlargest(2, parts, key=len))) - (1 << 63)
 
 
 class Pages:
