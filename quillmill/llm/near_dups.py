@@ -239,6 +239,8 @@ def _across(queries: np.ndarray, others: np.ndarray, same: bool, key: np.ndarray
             continue
         reached = (blocks[:, None] * SUBGROUP + np.arange(SUBGROUP)).ravel()
         reached = reached[reached < len(others)]
+        if not wide:
+            reached = reached[(rooms[reached] >= share[q].min()) & (shares[reached] <= room[q].max())]
         for c in range(0, len(reached), _PAIR_COLUMNS):
             o = reached[c : c + _PAIR_COLUMNS]
             good = (room[q][:, None] >= shares[o][None, :]) & (rooms[o][None, :] >= share[q][:, None])
