@@ -7,10 +7,15 @@ corpus, fingerprints within two bits agree in one of three bands.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import edits
 from ..functions.hashing import simhash
 from ..functions.similarity import edit_similarity, hamming, jaccard
 from ..functions.text import utf16_length
@@ -115,28 +120,125 @@ def greedy_kept(pairs: DataFrame, group: tuple[str, ...] = (), order: DataFrame
 def edit_pairs(rows: DataFrame, text: str, least: float) -> DataFrame:
     """(a, b, similarity): pairs a < b of different texts whose edit similarity is at least ``least``, which must be above 0.5; no pair is lost.
 
-    An edit touches two pairs of adjacent characters at most, so texts of up to n characters at that similarity have
-    (2 * least - 1) * n - 1 in common, the n-th occurrence of a pair counting as its own. They share one in a prefix of the rarest. Texts
-    so short that this demands none are compared with all that are as short.
+    Texts lie in blocks of like length, and only blocks whose lengths fit meet, each two in a cell of their own. There bitmaps of characters
+    and of their neighbours bound every pair, and the distances of those that pass are computed many at a time (``functions/edits.py``).
+    What moves is texts x the blocks that one meets, of which there are at most some tens.
     """
-    share = 2 * least - 1
-    if share <= 0:
+    if 2 * least - 1 <= 0:
         raise ValueError("edit similarities up to 0.5 leave no pair of characters in common")
-    source = rows.select(F.col(text).alias("t")).where(F.length("t") > 0).distinct().withColumn("n", F.length("t"))
-    demand = lambda n: F.ceil(share * n - 1 - 1e-9)
-    grams = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.col("t").substr(i, F.lit(2)))
-    long = checkpointed(source.where("n > 1").select("t", "n", F.explode(grams).alias("g")).groupBy("t", "n", "g").agg(F.count("*").alias("c")).select("t", "n", "g", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("k")))
-    df = long.groupBy("g", "k").agg(F.count("*").alias("df"))
-    ordered = long.join(df, ["g", "k"]).groupBy("t", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g", "k"))).alias("all"))
-    length = F.col("n") - 1 - F.greatest(F.lit(1), demand(F.col("n"))) + 1
-    prefix = ordered.select("t", "n", F.explode(F.slice("all", F.lit(1), length.cast("int"))).alias("x")).select("t", "n", "x.g", "x.k")
-    # demand is below one up to this length
-    tiny = source.where(demand(F.col("n")) < 1).select("t", "n", F.lit("").alias("g"), F.lit(0).alias("k"))
-    keyed = checkpointed(prefix.unionByName(tiny))
-    a, b = (keyed.select(F.col("t").alias(x), F.col("n").alias(f"n{x}"), "g", "k") for x in "ab")
-    fit = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
-    pairs = a.join(b, ["g", "k"]).where((F.col("a") < F.col("b")) & fit).select("a", "b").distinct()
-    return pairs.withColumn("similarity", edit_similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= least - 1e-9)
+    source = checkpointed(rows.select(F.col(text).alias("t")).where(F.length("t") > 0).distinct().withColumn("n", F.length("t")))
+    spark = source.sparkSession
+    lengths = sorted((r.n, r["count"]) for r in source.groupBy("n").count().collect())
+    size = max(CELL, -(-sum(c for _, c in lengths) // BLOCKS))
+    # blocks: (shortest, longest) of each, where a length stands, and in how many pieces
+    blocks: list[tuple[int, int]] = []
+    places: list[tuple[int, int, int]] = []
+    held = size
+    for n, count in lengths:
+        pieces = -(-count // size)
+        if pieces == 1 and held + count <= size:
+            blocks[-1] = (blocks[-1][0], n)
+            held += count
+        else:
+            blocks += [(n, n)] * pieces
+            held = count if pieces == 1 else size
+        places.append((n, len(blocks) - pieces, pieces))
+    cells = [(i, j) for j in range(len(blocks)) for i in range(j + 1) if blocks[i][1] >= least * blocks[j][0] - 1e-9]
+    meets = [(x, c, x == j) for c, (i, j) in enumerate(cells) for x in {i, j}]
+    placed = source.join(F.broadcast(spark.createDataFrame(places, "n int, first int, pieces int")), "n").select("t", (F.col("first") + F.pmod(F.xxhash64("t"), F.col("pieces"))).cast("int").alias("block"))
+    keyed = placed.join(F.broadcast(spark.createDataFrame(meets, "block int, cell int, second boolean")), "block").select("cell", "second", "t")
+    inside = [i == j for i, j in cells]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in edits.grouped(batches, 1):
+            texts, second = table.column("t").combine_chunks(), table.column("second").combine_chunks()
+            same = inside[table.column("cell")[0].as_py()]
+            b = edits.Texts(texts.filter(second))
+            a = b if same else edits.Texts(texts.filter(pa.compute.invert(second)))
+            for i, j, distance in edits.close_pairs(a, b, least, same):
+                yield _pair_rows(a.texts.take(pa.array(i)), b.texts.take(pa.array(j)), distance, np.maximum(a.size[i], b.size[j]))
+
+    found = keyed.repartition(_parts(spark, len(cells)), "cell").sortWithinPartitions("cell").mapInArrow(compare, "a string, b string, similarity double")
+    return found.withColumn("similarity", F.coalesce("similarity", edit_similarity(F.col("a"), F.col("b")))).where(F.col("similarity") >= least - 1e-9)
+
+
+#: Texts of a block at least, and how many blocks there are at most, besides those of a single length.
+CELL, BLOCKS = 2_048, 32
+#: Rows that a comparison gives out at once, and texts of a group that is compared together with others.
+_ROWS, _FEW = 100_000, 128
+
+
+def _parts(spark: SparkSession, cells: int) -> int:
+    """Tasks for so many cells: each cell can be a long one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2_000, cells))
+
+
+def _pair_rows(x: pa.Array, y: pa.Array, distance: np.ndarray, longest: np.ndarray) -> pa.RecordBatch:
+    """Pairs with the smaller text first."""
+    swap = pa.compute.greater(x, y)
+    return pa.RecordBatch.from_arrays([pa.compute.if_else(swap, y, x), pa.compute.if_else(swap, x, y), edits.similarities(distance, longest)], names=["a", "b", "similarity"])
+
+
+def group_edits(rows: DataFrame, group: str, text: str, digits: int = 9) -> DataFrame:
+    """(a, b, similarity): all pairs a < b of different texts of a group with their edit similarity, rounded.
+
+    Every pair is a row of the result, so work grows with the square of a group. Groups are cut into blocks of bounded size, and each two
+    blocks are a cell, so that a large group is many tasks' work, while small groups are taken together; distances are computed many at a time (``functions/edits.py``).
+    """
+    source = checkpointed(rows.select(F.col(group).alias("g"), F.col(text).alias("t")).where("g is not null and t is not null").distinct())
+    spark = source.sparkSession
+    sizes = source.groupBy("g").count().where("count > 1")
+    pairs = sizes.agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2)).first()[0] or 0
+    pieces = F.ceil(F.col("count") / CELL).cast("int")
+    sized = source.join(sizes, "g")
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            size = lists.value_lengths().to_numpy()
+            texts, start = lists.flatten(), np.concatenate([[0], np.cumsum(size)])
+            run = np.cumsum(size * (size - 1) // 2) // _ROWS
+            for r in np.unique(run):
+                first, last = np.searchsorted(run, r), np.searchsorted(run, r, side="right")
+                part = edits.Texts(texts.slice(start[first], start[last] - start[first]))
+                # every text with those before it in its group
+                before = np.arange(len(part)) - np.repeat(start[first:last] - start[first], size[first:last])
+                x = np.repeat(np.arange(len(part)), before)
+                y = np.arange(len(x)) - np.repeat(np.cumsum(before) - before, before) + np.repeat(np.arange(len(part)) - before, before)
+                yield rounded(part.texts.take(pa.array(x)), part.texts.take(pa.array(y)), edits.Pairs(part, part).distances(x, y), np.maximum(part.size[x], part.size[y]))
+
+    def rounded(x: pa.Array, y: pa.Array, distance: np.ndarray, longest: np.ndarray) -> pa.RecordBatch:
+        out = _pair_rows(x, y, distance, longest)
+        return out.set_column(2, "similarity", pa.compute.round(out.column(2), digits))
+
+    schema = "a string, b string, similarity double"
+    small = sized.where(F.col("count") <= _FEW).groupBy("g").agg(F.collect_list("t").alias("t")).select("t").mapInArrow(within, schema)
+    cut = sized.where(F.col("count") > _FEW).select("g", "t", pieces.alias("pieces"), F.pmod(F.xxhash64("t"), pieces).cast("int").alias("block"))
+    cut = cut.select("g", "t", "block", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    keyed = cut.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "t")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in edits.grouped(batches, 3):
+            i, j = (table.column(k)[0].as_py() for k in "ij")
+            texts, block = table.column("t").combine_chunks(), table.column("block").combine_chunks()
+            texts, block = texts.take(order := pa.compute.sort_indices(texts)), block.take(order).to_numpy()
+            b = edits.Texts(texts.filter(pa.array(block == j)))
+            a = b if i == j else edits.Texts(texts.filter(pa.array(block == i)))
+            held_a, held_b, held = [], [], []
+            waiting = 0
+            for k, distance in edits.all_distances(a, b):
+                mine = np.arange(k if i == j else len(a))  # within a block, each pair once
+                held_a.append(mine)
+                held_b.append(np.full(len(mine), k))
+                held.append(distance[: len(mine)])
+                waiting += len(mine)
+                if waiting >= _ROWS or k == len(b) - 1 and waiting:
+                    x, y, distance = (np.concatenate(h) for h in (held_a, held_b, held))
+                    held_a, held_b, held, waiting = [], [], [], 0
+                    yield rounded(a.texts.take(pa.array(x)), b.texts.take(pa.array(y)), distance, np.maximum(a.size[x], b.size[y]))
+
+    found = keyed.repartition(_parts(spark, int(pairs / CELL**2)), "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(compare, schema).unionByName(small)
+    return found.withColumn("similarity", F.when(F.col("similarity").isNull(), F.round(edit_similarity(F.col("a"), F.col("b")), digits)).otherwise(F.col("similarity")))
 
 
 def fingerprints(rows: DataFrame, key: str, text: str, group: tuple[str, ...] = ()) -> DataFrame:

@@ -92,3 +92,26 @@ def test_markdown_files_may_be_written_again(spark, tmp_path):
     for _ in range(2):
         readers.write_markdown(rows, "file", "body", str(tmp_path / "out"))
     assert [p.name for p in (tmp_path / "out").iterdir()] == ["one.md"] and (tmp_path / "out" / "one.md").read_text() == "text"
+
+
+def test_group_edits_and_edit_pairs_of_large_groups(spark, monkeypatch):
+    """Every pair of a group once, whatever the blocks; long texts, texts beyond the basic plane and lone groups too."""
+    from pyspark.sql import functions as F
+
+    from quillmill.operators import dedup
+
+    monkeypatch.setattr(dedup, "CELL", 50)
+    monkeypatch.setattr(dedup, "_FEW", 8)
+    rng = random.Random(7)
+    texts = {"".join(rng.choices("abcé𝄞", k=rng.randrange(1, 14))) for _ in range(180)} | {"ab" * n for n in (31, 32, 33, 40, 41, 600, 601)}
+    rows = spark.createDataFrame([(f"{len(t) % 3}" if len(t) < 9 else t[:2], t) for t in texts] + [("x", None), (None, "x")], "g string, t string")
+    both = rows.selectExpr("g", "t as a").join(rows.selectExpr("g as g2", "t as b"), F.expr("g = g2 and a < b"))
+    want = sorted((r.a, r.b, r.s) for r in both.selectExpr("a", "b", "round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 9) as s").collect())
+    parts = dedup.group_edits(rows, "g", "t")
+    assert sorted(map(tuple, parts.collect())) == want and len(want) > 1000
+    # a group above CELL was more than one task's work
+    assert parts.groupBy(F.spark_partition_id()).count().count() > 2
+    every = rows.selectExpr("t as a").crossJoin(rows.selectExpr("t as b")).where("a < b").distinct()
+    close = {(r.a, r.b) for r in every.where("1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.7 - 1e-9").collect()}
+    got = [(r.a, r.b) for r in dedup.edit_pairs(rows, "t", 0.7).collect()]
+    assert len(got) == len(set(got)) and set(got) == close and ("ab" * 600, "ab" * 601) in close
