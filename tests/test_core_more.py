@@ -115,3 +115,17 @@ def test_group_edits_and_edit_pairs_of_large_groups(spark, monkeypatch):
     close = {(r.a, r.b) for r in every.where("1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.7 - 1e-9").collect()}
     got = [(r.a, r.b) for r in dedup.edit_pairs(rows, "t", 0.7).collect()]
     assert len(got) == len(set(got)) and set(got) == close and ("ab" * 600, "ab" * 601) in close
+
+
+def test_batch_candidates_are_judged_where_they_meet(spark):
+    """Texts that share a rare word but can't reach the threshold don't move on, and only rows of a pair have their weights written."""
+    from quillmill.operators import dedup
+
+    filler = lambda k: " ".join(f"w{k}x{n}" for n in range(30))
+    rows = [(k, 1, f"zebra zebra zebra {filler(k)}") for k in range(20)] + [(100, 1, filler("q") + " end"), (101, 1, filler("q") + " stop"), (102, 2, filler("q"))]
+    df = spark.createDataFrame(rows, "id long, g int, t string")
+    pairs, full, long = dedup.batch_candidates(df, "id", "t", "id", ("g",))
+    assert [(r.g, r.later, r.earlier) for r in pairs.collect()] == [(1, 101, 100)]
+    assert {r.id for r in long.select("id").collect()} == {100, 101} and full.count() == 23
+    # without groups, and in parts of a few rows, the same
+    assert [(r.later, r.earlier) for r in dedup.batch_pairs(df.where("id <> 102"), "id", "t", "id").collect()] == [(101, 100)]
