@@ -129,3 +129,15 @@ def test_batch_candidates_are_judged_where_they_meet(spark):
     assert {r.id for r in long.select("id").collect()} == {100, 101} and full.count() == 23
     # without groups, and in parts of a few rows, the same
     assert [(r.later, r.earlier) for r in dedup.batch_pairs(df.where("id <> 102"), "id", "t", "id").collect()] == [(101, 100)]
+
+
+def test_diverse_of_all_in_blocks_with_little_kept(spark, monkeypatch):
+    """Blocks of queries and few kept similarities give the same choices as everything at once."""
+    rng = random.Random(5)
+    rows = [(k, [f"w{rng.randrange(25)}" for _ in range(rng.randrange(0, 9))]) for k in range(40)] + [(None, ["w1"]), (40, None)]
+    df = spark.createDataFrame(rows, "id long, words array<string>")
+    asked = df.where("id % 5 = 0")
+    whole = sorted(map(tuple, related.diverse_of_all(asked, df, "id", "words", top=4).collect()))
+    monkeypatch.setattr(related, "DIVERSE_WORDS", 40)
+    monkeypatch.setattr(related, "DIVERSE_KEPT", 2)
+    assert sorted(map(tuple, related.diverse_of_all(asked, df, "id", "words", top=4).collect())) == whole and len(whole) == 9 * 4
