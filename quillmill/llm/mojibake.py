@@ -6,8 +6,8 @@ characters are joined with that table by hash. A hit that isn't quoted marks the
 are decoded back along the chain that the hits name. Replacement characters and the residue of a second lossy round mark damage
 that can't be undone.
 
-Neither the vocabulary nor the table is collected or broadcast; both are partial aggregates, joined by shuffle. Only words seen on
-at least ``min_pages`` pages count as clean, so that one damaged page doesn't prove its own words.
+Neither the vocabulary nor the table is collected or broadcast; both are partial aggregates, joined by shuffle. Words seen on fewer than
+``min_pages`` pages prove only forms that are longer than they are, so that one damaged page doesn't prove its own words.
 
 Null and empty texts are never cases, rows with a null id are kept out, repeated rows count once, other columns are ignored.
 """
@@ -223,8 +223,8 @@ def vocabulary(pages: DataFrame, text: str) -> DataFrame:
     return pages.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(count, "word string, pages long").groupBy("word").agg(F.sum("pages").alias("pages"))
 
 
-def garbled_forms(words: DataFrame, min_pages: int = 2) -> DataFrame:
-    """(garbled, original, chain): every clean word in every chain, forms that might be clean text themselves left out."""
+def garbled_forms(words: DataFrame) -> DataFrame:
+    """(garbled, original, chain): every clean word in every chain, words of a single page too; forms that might be clean text themselves left out."""
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +246,7 @@ def garbled_forms(words: DataFrame, min_pages: int = 2) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["garbled", "original", "chain"])
 
-    return words.where(F.col("pages") >= min_pages).select("word").mapInArrow(forms, "garbled string, original string, chain string")
+    return words.select("word").mapInArrow(forms, "garbled string, original string, chain string")
 
 
 def verified(pages: DataFrame, page_id: str, text: str, min_pages: int) -> DataFrame:
@@ -255,7 +255,7 @@ def verified(pages: DataFrame, page_id: str, text: str, min_pages: int) -> DataF
     rows = pages.select(F.col(page_id).alias("id"), F.col(text).alias("body")).where("id is not null and body is not null")
     kind = dict(rows.dtypes)["id"]
     words = vocabulary(rows, "body")
-    table = garbled_forms(words, min_pages)
+    table = garbled_forms(words)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,6 +277,8 @@ def verified(pages: DataFrame, page_id: str, text: str, min_pages: int) -> DataF
     # a word that the corpus itself uses as often as the original is no sign of damage
     known = words.where(F.col("pages") >= min_pages).select(F.col("word").alias("garbled"), F.col("pages").alias("own"))
     sized = table.join(words.withColumnRenamed("word", "original"), "original").join(known, "garbled", "left").where("own is null or own < pages")
+    # of a word seen on fewer pages only a longer form proves damage: a form of the same length might as well be the original
+    sized = sized.where((F.col("pages") >= min_pages) | (F.length("garbled") > F.length("original")))
     best = sized.groupBy("garbled").agg(F.max_by(F.struct("chain", "original"), F.struct("pages", "chain", "original")).alias("best"))
     return tokens.join(best, "garbled", "left").where("lossy or best is not null").select("id", "garbled", "best.original", "best.chain", "lossy")
 

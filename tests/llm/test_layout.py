@@ -137,6 +137,13 @@ def test_long_words_are_known(spark):
     assert [r.page_id for r in mojibake.find_garbled(spark.createDataFrame(rows, "page_id long, content string")).select("page_id").distinct().collect()] == [9]
 
 
+def test_words_of_one_page_are_in_the_table(spark):
+    """A word that a single page holds proves its longer garbled forms; clean pages stay clean."""
+    rows = [(1, "Ein Käsefrühstück am Morgen."), (2, "Ein " + "Käsefrühstück".encode().decode("cp1252") + " am Abend."), (3, "Die Öfen stehen still.")]
+    found = mojibake.find_garbled(spark.createDataFrame(rows, "page_id long, content string"))
+    assert [r.page_id for r in found.select("page_id").distinct().collect()] == [2]
+
+
 def test_readers_follow_what_was_learned(spark):
     """Workers that live on never read with a lexicon from before."""
     docs = spark.createDataFrame([(1, "We met Zanthe Quorlix at the gate.")], "doc_id long, text string")
