@@ -34,7 +34,9 @@ _GROUP = np.uint64(0xFFFFFFFF)
 _BIG = (1 << (_SIZE_BITS - 1)) - 1
 #: Share of all sets from which on an element's frequency counts in the order; a set has few such elements, so their list is bounded.
 COMMON_SHARE = 1e-4
-_PAIR_COLUMNS = 2048
+_PAIR_COLUMNS = 1024
+#: Words of the bitmaps that are met for all pairs of a table; the others are met for pairs that these let through.
+_FIRST_WORDS = 4
 #: Keys that are broadcast at most, eight bytes each; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -166,6 +168,7 @@ def qualifying(place: np.ndarray, key: np.ndarray, bits: np.ndarray, least: floa
     place on, and the bits that both have, with the elements that share a bit, bound what is common. Both bounds are exact.
     Groups of up to ``SUBGROUP`` members are compared member by member, all groups of a partition at once, by distance in the
     sorted order. In larger groups blocks of members first meet the unions of sub-groups and only open those that qualify.
+    Of a set too large for its size to be told, only the bits of the other bound what is common, and that its size is this or more.
     """
     word = place.view(np.uint64)
     group = (word >> np.uint64(_SIZE_BITS)) & _GROUP
@@ -184,11 +187,13 @@ def qualifying(place: np.ndarray, key: np.ndarray, bits: np.ndarray, least: floa
     members = np.repeat(count, count)
     part = least / (1 + least)
     big = size >= _BIG
-    ones = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+    ones, later = (np.bitwise_count(x).sum(axis=1).astype(np.int64) for x in (bits, bits[:, _FIRST_WORDS:]))
     # part of the size; what is left for the other's part from the element on; common bits needed besides the other's part
     share = (part * size).astype(np.float32)
     room = (size - skipped - part * size + 0.01).astype(np.float32)
     need = (part * size - (size - ones) - 0.01).astype(np.float32)
+    room[big], need[big] = np.inf, -np.inf
+    early = need - later  # of them in the first words, if the other has all later bits too
 
     small = np.flatnonzero((members > 1) & (members <= SUBGROUP))
     for step in range(1, SUBGROUP):
@@ -198,71 +203,70 @@ def qualifying(place: np.ndarray, key: np.ndarray, bits: np.ndarray, least: floa
         if not same.any():
             break
         i, j = i[same], j[same]
-        good = (((room[i] >= share[j]) & (room[j] >= share[i])) | big[i] | big[j]) & ((side[i] != side[j]) if two_sided else (key[i] != key[j]))
+        good = (room[i] >= share[j]) & (room[j] >= share[i]) & ((side[i] != side[j]) if two_sided else (key[i] != key[j]))
         i, j = i[good], j[good]
         common = np.bitwise_count(bits[i] & bits[j]).sum(axis=1)
-        good = (common >= np.maximum(need[i] + share[j], need[j] + share[i])) | big[i] | big[j]
+        good = common >= np.maximum(need[i] + share[j], need[j] + share[i])
         yield np.stack([key[i[good]], key[j[good]]], axis=1)
     for g in np.flatnonzero(count > SUBGROUP):
         at = np.arange(start[g], start[g] + count[g])
         queries, others = (at[side[at] == 0], at[side[at] == 1]) if two_sided else (at, at)
         if len(queries) and len(others):
             queries, others = (x[np.lexsort((bits[x, 0], size[x]))] for x in (queries, others))
-            yield from _across(queries, others, not two_sided, key, size, bits, room, share, need, big, least)
+            yield from _across(queries, others, not two_sided, key, bits, room, share, need, early)
 
 
-def _across(queries: np.ndarray, others: np.ndarray, same: bool, key: np.ndarray, size: np.ndarray, bits: np.ndarray, room: np.ndarray, share: np.ndarray, need: np.ndarray, big: np.ndarray, least: float) -> Iterator[np.ndarray]:
-    """Pairs of two sides of a group, in pieces; ``same`` where they are one list in one order, whose pairs count once."""
+def _across(queries: np.ndarray, others: np.ndarray, same: bool, key: np.ndarray, bits: np.ndarray, room: np.ndarray, share: np.ndarray, need: np.ndarray, early: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of two sides of a group, in pieces; ``same`` where they are one list, smaller sets first, whose pairs count once."""
     edges = np.arange(0, len(others), SUBGROUP)
-    union = np.bitwise_or.reduceat(bits[others], edges, axis=0)
-    low, roomy = np.minimum.reduceat(share[others], edges), np.maximum.reduceat(room[others], edges)
-    smallest, largest = np.minimum.reduceat(size[others], edges), np.maximum.reduceat(size[others], edges)
-    shares, rooms, needs, bigs = share[others], room[others], need[others], big[others]
+    union = np.ascontiguousarray(np.bitwise_or.reduceat(bits[others], edges, axis=0).T)
+    shares, rooms, earlies = share[others], room[others], early[others]
+    low = np.minimum.reduceat(shares, edges)
     columns = np.ascontiguousarray(bits[others].T)
-    for k in range(0, len(queries), SUBGROUP):
-        q = queries[k : k + SUBGROUP]
-        wide = big[q].any() or bigs.any()
-        # sizes differ by the factor of the overlap at most, and what the element leaves of either side must reach the other's part
-        some = (largest >= least * size[q].min() - 0.01) & (smallest <= size[q].max() / least + 0.01)
-        if not wide:
-            some &= (roomy >= share[q].min()) & (low <= room[q].max())
+    # of one list the smaller set of a pair asks, for which the element must leave its own part twice
+    asking = np.flatnonzero(rooms >= shares) if same else np.arange(len(queries))
+    # sets of like size and room ask together, so that few members that one of them can reach are out of the others' reach
+    strata = int(np.ceil(np.sqrt(len(asking) / SUBGROUP)))
+    asking = asking[np.lexsort((room[queries[asking]], np.arange(len(asking)) * strata // max(1, len(asking))))]
+    for k in range(0, len(asking), SUBGROUP):
+        rank = asking[k : k + SUBGROUP]
+        q = queries[rank]
+        # what the element leaves of either side must reach the other's part
+        within = (rooms >= share[q].min()) & (shares <= room[q].max())
         if same:
-            some[: k // SUBGROUP] = False  # each pair once
-        blocks = np.flatnonzero(some)
+            within[: rank.min() + 1] = False  # each pair once
+        blocks = np.flatnonzero(np.logical_or.reduceat(within, edges))
         if not len(blocks):
             continue
         # a set of the sub-group is at least as large as its smallest and shares at most what the union covers
-        covered = np.bitwise_count(bits[q][:, None, :] & union[None, blocks, :]).sum(axis=2)
-        opened = ((covered >= need[q][:, None] + low[None, blocks]) | big[q][:, None]).any(axis=0)
-        blocks = blocks[opened]
-        if not len(blocks):
-            continue
-        reached = (blocks[:, None] * SUBGROUP + np.arange(SUBGROUP)).ravel()
-        reached = reached[reached < len(others)]
-        if not wide:
-            reached = reached[(rooms[reached] >= share[q].min()) & (shares[reached] <= room[q].max())]
+        opened = np.zeros(len(edges), bool)
+        opened[blocks] = (_common(bits[q], union[:, blocks], np.uint16) >= need[q][:, None] + low[blocks]).any(axis=0)
+        reached = np.flatnonzero(within & np.repeat(opened, SUBGROUP)[: len(others)])
         for c in range(0, len(reached), _PAIR_COLUMNS):
             o = reached[c : c + _PAIR_COLUMNS]
-            good = (room[q][:, None] >= shares[o][None, :]) & (rooms[o][None, :] >= share[q][:, None])
-            if wide:
-                good |= big[q][:, None] | bigs[o][None, :]
+            seen = _common(bits[q, :_FIRST_WORDS], columns[:_FIRST_WORDS, o], np.uint8)
+            good = seen - shares[o] >= early[q][:, None]
+            good &= seen - earlies[o] >= share[q][:, None]
+            at = np.flatnonzero(good)
+            i, j = np.divmod(at, len(o))
+            left = (room[q][i] >= shares[o][j]) & (rooms[o][j] >= share[q][i])
             if same:
-                good &= o[None, :] > np.arange(k, k + len(q))[:, None]
-            i, j = np.nonzero(good)
-            if not len(i):
+                left &= o[j] > rank[i]
+            at, i, j = at[left], i[left], j[left]
+            if not len(at):
                 continue
-            if len(i) * 4 < good.size:
-                common = np.bitwise_count(bits[q[i]] & bits[others[o[j]]]).sum(axis=1)
-            else:
-                table = np.zeros(good.shape, np.uint16)
-                for w in range(len(columns)):
-                    table += np.bitwise_count(bits[q, w][:, None] & columns[w, o][None, :])
-                common = table[i, j]
-            a, b = q[i], o[j]
-            close = (common >= need[a] + shares[b]) & (common >= needs[b] + share[a])
-            if wide:
-                close |= big[a] | bigs[b]
-            yield np.stack([key[a[close]], key[others[b[close]]]], axis=1)
+            a, b = q[i], others[o[j]]
+            common = seen.ravel()[at] + np.bitwise_count(bits[a, _FIRST_WORDS:] & bits[b, _FIRST_WORDS:]).sum(axis=1)
+            close = common >= np.maximum(need[a] + share[b], need[b] + share[a])
+            yield np.stack([key[a[close]], key[b[close]]], axis=1)
+
+
+def _common(rows: np.ndarray, columns: np.ndarray, kind: type) -> np.ndarray:
+    """Table of the numbers of bits that each row (sets, words) has in common with each column (words, sets)."""
+    table = np.zeros((len(rows), columns.shape[1]), kind)
+    for w in range(len(columns)):
+        table += np.bitwise_count(rows[:, w, None] & columns[w])
+    return table
 
 
 def candidate_pairs(rows: DataFrame, least: float, two_sided: bool = False) -> DataFrame:

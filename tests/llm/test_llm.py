@@ -100,6 +100,48 @@ def test_bound_is_exact_in_large_groups():
     assert true <= got and len(true) > 100
 
 
+@pytest.mark.parametrize(("least", "two_sided"), [(0.6, False), (0.5, True)])
+def test_large_groups_meet_few_pairs_and_lose_none(monkeypatch, least, two_sided):
+    rng = np.random.default_rng(1)
+    n = 3000
+    size = rng.integers(40, 160, n)
+    sets = [rng.choice(600, k, replace=False) for k in size]
+    for k in range(0, n, 3):  # near copies of another set, up to a few elements at its end
+        like = sets[rng.integers(n)]
+        sets[k] = np.unique(np.concatenate([like[: len(like) - rng.integers(0, 20)], rng.choice(600, 5)]))
+    size = np.array([len(x) for x in sets])
+    flat = (bags.mix(np.concatenate(sets).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    bits = bags.bitmaps(flat, np.concatenate([[0], np.cumsum(size)]))
+    skipped = (rng.random(n) * (size - np.ceil(least * size - 1e-9) + 1)).astype(int)
+    side = rng.integers(0, 2, n) if two_sided else np.zeros(n, int)
+    i, j = np.nonzero(side[:, None] < side) if two_sided else np.triu_indices(n, 1)
+    part = least / (1 + least) * (size[i] + size[j]) - 0.01
+    fits = (size[i] - skipped[i] >= part) & (size[j] - skipped[j] >= part)
+    i, j, part = i[fits], j[fits], part[fits]
+    ones = np.bitwise_count(bits).sum(axis=1).astype(int)
+    common = np.bitwise_count(bits[i] & bits[j]).sum(axis=1)
+    good = (common + (size - ones)[i] >= part) & (common + (size - ones)[j] >= part)
+    pairs = {tuple(sorted(p)) for p in zip(i[good].tolist(), j[good].tolist(), strict=True)}
+
+    place = (skipped.astype(np.uint64) << np.uint64(48)) | np.uint64(7 << near_dups._SIZE_BITS) | (side.astype(np.uint64) << np.uint64(near_dups._SIZE_BITS - 1)) | size.astype(np.uint64)
+    words, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: words.append(x.size) or count(x))
+    found = np.concatenate(list(near_dups.qualifying(place.view(np.int64), np.arange(n), bits, least, two_sided)))
+    assert {tuple(sorted(p)) for p in found.tolist()} == pairs and len(pairs) > 100
+    # bitmaps meet for the pairs that sizes and places allow, and few others; most pairs are settled by their first words
+    assert sum(words) < 9 * fits.sum()
+
+
+@pytest.mark.parametrize("others", [20, 500])
+def test_sets_of_unknown_size_are_kept(others):
+    size = np.array([near_dups._BIG, near_dups._BIG, 30_000] + [50] * others)
+    bits = np.full((len(size), bags.BITMAP_WORDS), ~np.uint64(0))
+    bits[3:] = np.random.default_rng(2).integers(0, 2**62, (others, bags.BITMAP_WORDS), np.uint64)
+    place = (np.uint64(7) << np.uint64(near_dups._SIZE_BITS)) | size.astype(np.uint64)
+    found = np.concatenate(list(near_dups.qualifying(place.view(np.int64), np.arange(len(size)), bits, 0.6, False)))
+    assert {(0, 1), (0, 2), (1, 2)} <= {tuple(sorted(p)) for p in found.tolist()}
+
+
 def test_history(spark, tmp_path):
     rows = corpus(150, 2)
     old, new = rows[:90], rows[60:]
